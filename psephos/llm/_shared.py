@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int, text: str = "text"
     """Cuts Arrow batches so that each holds about ``max_bytes`` of text; one long text stands alone."""
     for b in batches:
         start, size = 0, 0
-        lengths = pa.compute.binary_length(b.column(b.schema.get_field_index(text))).to_pylist()
+        lengths = pc.binary_length(b.column(b.schema.get_field_index(text))).to_pylist()
         for i, n in enumerate(lengths):
             if i > start and size + n > max_bytes:
                 yield b.slice(start, i - start)
@@ -68,6 +70,21 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int, text: str = "text"
             yield b.slice(start)
 
 
+def added_up(rows: DataFrame) -> tuple[int, np.ndarray | None]:
+    """Sums of ``n long, sums array<double>`` rows, one for each task, in two levels; null sums without rows."""
+    fan = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.asarray(x) for x in table.column("sums").to_pylist()], axis=0)
+        return pa.Table.from_pydict({"n": [sum(table.column("n").to_pylist())], "sums": [total.tolist()]})
+
+    dealt = rows.withColumn("part", F.spark_partition_id() % fan)
+    n, total = 0, None
+    for r in dealt.groupBy("part").applyInArrow(add, "n long, sums array<double>").toLocalIterator():
+        n, total = n + r.n, np.asarray(r.sums) + (0 if total is None else total)
+    return n, total
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of the undirected ``edges(a, b)``: ``node, component`` with the smallest node reached.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,12 @@ from psephos.llm._shared import SPACES, durable, lower_az
 
 
 def deduplicate_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Drops lines that ``min_docs`` documents or more hold, except in the document with the largest id.
 
-    Returns ``id, text, n_lines, n_dropped`` for every row. Lines part at \\n
+    Returns ``id, text, n_lines, n_dropped`` for every row, and the columns
+    ``carry`` of ``docs`` as fields of a struct ``rest``, so that no name clashes. Lines part at \\n
     (null or empty text: one empty line). The key of a line is the line
     stripped of ASCII white space with A-Z lower-cased; keys of under
     ``min_chars`` code points are never dropped. Documents are counted by id:
@@ -25,7 +28,8 @@ def deduplicate_lines(
     are joined back, and texts are shuffled once for reassembly by position.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_col].alias("id"), text.alias("text"))
+    rest = [F.struct(*[docs[c] for c in carry]).alias("rest")] if carry else []
+    rows = docs.select(docs[id_col].alias("id"), text.alias("text"), *rest)
     key = lower_az(F.btrim("line", F.lit(SPACES)))
     lines = (
         rows.where("id IS NOT NULL")
@@ -57,6 +61,7 @@ def deduplicate_lines(
             F.when(F.col("drop").isNull(), F.col("text")).otherwise(joined).alias("text"),
             F.size("parts").cast("long").alias("n_lines"),
             F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+            *(["rest"] if carry else []),
         )
     )
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm._shared import durable, slices
+from psephos.llm._shared import added_up, durable, slices
 
 END = b"\n"  # no word holds it
 OTHER, STOP = 0, 1  # classes
@@ -219,8 +219,6 @@ def train(rows: DataFrame, head: list[bytes], head_n: np.ndarray, total: int, p:
     share = unigram(kinds, head_n, total, p)
     start = start_model(share, p)
     words = spark.sparkContext.broadcast(head)
-    fan = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
-
     def run(batches):
         number, model, tokens = numbered(words), start, 0
         task = TaskContext.get().partitionId()
@@ -230,18 +228,9 @@ def train(rows: DataFrame, head: list[bytes], head_n: np.ndarray, total: int, p:
             model = fit_nce(model, share, contexts_of(own, sizes), own, p, p.seed + 1000 * task + i)
             tokens += len(own)
         if tokens:
-            summed = pack(model) * tokens
-            yield pa.RecordBatch.from_pydict({"part": [task % fan], "tokens": [tokens], "sums": [summed.tolist()]})
-
-    def add(table: pa.Table) -> pa.Table:
-        sums = np.sum([np.asarray(x) for x in table.column("sums").to_pylist()], axis=0)
-        return pa.Table.from_pydict({"part": [0], "tokens": [sum(table.column("tokens").to_pylist())], "sums": [sums.tolist()]})
-
-    schema = "part long, tokens long, sums array<double>"
-    models = rows.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema)
-    tokens, sums = 0, np.zeros(pack(start).size)
-    for r in models.toLocalIterator():
-        tokens, sums = tokens + r.tokens, sums + np.asarray(r.sums)
+            yield pa.RecordBatch.from_pydict({"n": [tokens], "sums": [(pack(model) * tokens).tolist()]})
+
+    tokens, sums = added_up(rows.mapInArrow(run, "n long, sums array<double>"))
     return unpack(sums / tokens, start) if tokens else start
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm import line_dedup, lm, sharding, simhash
+from psephos.llm import langid, line_dedup, lm, media, quality, sharding, simhash
 from psephos.llm._shared import crc_mod
 
 
@@ -18,11 +18,28 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, crc_mod(docs["doc_id"], 7) == 2).withColumnRenamed("id", "doc_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, crc_mod(docs["doc_id"], 3) == 1).withColumnRenamed("id", "doc_id")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.deduplicate_lines(documents(spark, sf_dir))
     return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = docs.select("doc_id", "text", F.octet_length("text").alias("n"))
+    keyed = rows.select(F.struct("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_bytes")).alias("id"), "text")
+    return media.digests(media.sniff(media.stored_texts(keyed, "id"))).select("id.*", "*").drop("id")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.resample(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select(
@@ -38,7 +55,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
+    "op6_media_columns": op6_media_columns,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op10_sharding": op10_sharding,
 }

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm import langid, line_dedup, lm, media, quality, sharding, simhash
+from psephos.llm import decontamination, langid, line_dedup, lm, media, pieces, quality, secrets, sharding, simhash
 from psephos.llm._shared import crc_mod
 
 
+#: The public byte-pair model of the installed tokenizer files.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -28,6 +32,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segmentation_digests(documents(spark, sf_dir), PIECE_MODEL).withColumnRenamed("id", "doc_id")
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = docs.select("doc_id", "text", F.octet_length("text").alias("n"))
@@ -47,6 +59,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "word_at", "run_at", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shuffle_into_shards(documents(spark, sf_dir))
     crc = F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
@@ -57,9 +74,12 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_media_columns": op6_media_columns,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
+    "op9_secret_scan": op9_secret_scan,
     "op10_sharding": op10_sharding,
 }
 

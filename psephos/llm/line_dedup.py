@@ -45,6 +45,7 @@ def deduplicate_lines(
         .where(F.col("n") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    shared = durable(shared, "shared-lines")  # a plain join of two exchanges follows, which Spark splits where a line is hot
     dropped = (
         lines.join(shared, ["h1", "h2"]).where("id <> keeper")
         .groupBy("id", "version").agg(F.collect_set("pos").alias("drop"))

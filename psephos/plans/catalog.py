@@ -1,10 +1,6 @@
-"""The registered queries over the given tables, with the SQL that must give the same rows."""
+"""All registered queries over the given tables."""
 
-from __future__ import annotations
+from psephos.plans import events, panel, posts, simulation  # noqa: F401  they register themselves
+from psephos.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -8,7 +8,7 @@ built once for each distinct chunk.
 
 A segmentation has the product of its pieces' probabilities; a byte-pair model
 has merge ranks only, so a piece of rank r gets the Zipfian log-probability
-``-log(r + zipf)``, bytes that of a rank past the last. Backward sums make
+``-log(r + zipf)``, bytes that of a rank past the last. Forward sums make
 every step of a path a normalised choice.
 
 The search is A* on perturbed log-probabilities. The first sample is the path
@@ -28,7 +28,6 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -61,17 +60,39 @@ def load(model_file: str, zipf: float = 10.0) -> Model:
     return Model(pieces, sp.piece_to_id("<0x00>"), -float(np.log(2.0 * sp.get_piece_size() + zipf)), sp.get_piece_size())
 
 
+class Numbers(dict):
+    """Numbers keys as they come, and notes the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
 class Lattices:
     """Arcs of all chunks seen so far, in arrays; starts anew beyond ``max_arcs``."""
 
-    def __init__(self, model: Model, max_arcs: int = 4_000_000) -> None:
+    def __init__(self, model: Model, max_arcs: int = 3_000_000) -> None:
         self.model, self.max_arcs = model, max_arcs
-        self.automaton = ahocorasick.Automaton()
+        # a trie of the pieces: transitions by (node, character), the piece that ends at each node or -1
+        node, step, ends = {"": 0}, {}, [-1]
         for n, (text, _, _) in enumerate(model.pieces):
-            self.automaton.add_word(text, n)
-        self.automaton.make_automaton()
-        self.length, self.id, self.lp = (np.array([f(x) for x in model.pieces]) for f in (lambda x: len(x[0]), lambda x: x[1], lambda x: x[2]))
-        self.singles = np.array(sorted(ord(t) for t, _, _ in model.pieces if len(t) == 1))
+            for i in range(1, len(text) + 1):
+                if text[:i] not in node:
+                    node[text[:i]] = len(node)
+                    ends.append(-1)
+                    step[node[text[: i - 1]] << 21 | ord(text[i - 1])] = node[text[:i]]
+            ends[node[text]] = n
+        self.keys = np.array(sorted(step), np.int64)
+        self.child = np.array([step[k] for k in self.keys.tolist()], np.int64)
+        self.ends = np.array(ends, np.int32)
+        self.maybe = np.zeros(1 << 20, bool)  # most transitions that don't exist fail here
+        self.maybe[self.slot(self.keys)] = True
+        self.id, self.lp = np.array([i for _, i, _ in model.pieces], np.int32), np.array([w for _, _, w in model.pieces])
         self.bytes_of = [b""] * model.size
         for text, i, _ in model.pieces:
             self.bytes_of[i] = text.replace(MARK, " ").encode()
@@ -79,24 +100,46 @@ class Lattices:
             self.bytes_of[model.bytes_at + x] = bytes([x])
         self.clear()
 
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+
+    def matches(self, code: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length, the starts and pieces of all matches: every place walks down the trie at once."""
+        out, at, node, n = [], np.arange(len(code)), np.zeros(len(code), np.int64), 0
+        while len(at):
+            inside = at + n < len(code)
+            at, node = at[inside], node[inside]
+            key = node << 21 | code[at + n]
+            some = np.flatnonzero(self.maybe[self.slot(key)])
+            key = key[some]
+            to = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = self.keys[to] == key
+            at, node = at[some[ok]], self.child[to[ok]]
+            n += 1
+            end = self.ends[node]
+            out.append((at[end >= 0], end[end >= 0]))
+        return out
+
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.unknown: dict[str, int] = {}  # characters outside the vocabulary, numbered after the pieces
         self.unknown_bytes: list[bytes] = []
-        self.start = np.zeros(0, np.int64)  # of each chunk, its first node
+        self.start = np.zeros(0, np.int64)  # of each chunk, its last node, where paths start
         self.first = np.zeros(1, np.int64)  # of each node, its first arc; one more at the end
-        self.cum, self.log, self.rest = np.zeros(0, np.float32), np.zeros(0), np.zeros(0)  # of each arc: cumulative probability in its node, log-probability, that of its siblings
-        self.next, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)  # next node (-1: end of the chunk)
+        self.cum = np.zeros(0, np.float32)  # of each arc: cumulative probability in its node
+        self.log, self.rest = np.zeros(0), np.zeros(0)  # log-probability of each arc, and of its siblings together
+        self.next, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)  # next node (-1: start of the chunk)
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """Number of each chunk; lattices of new ones are built."""
         if len(self.cum) > self.max_arcs:
             self.clear()
-        number = self.number
-        new = set(chunks).difference(number)
-        if new:
-            self.build(sorted(new))
-        return np.fromiter((number[c] for c in chunks), np.int64, len(chunks))
+        got = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        if self.number.new:
+            self.build(self.number.new)
+            self.number.new = []
+        return got
 
     def fallback(self, c: str) -> tuple[int, float]:
         raw = c.encode("utf-8", "surrogatepass")
@@ -108,70 +151,83 @@ class Lattices:
         return self.unknown[c], self.model.byte_log * len(raw)
 
     def build(self, chunks: list[str]) -> None:
+        """Adds the lattices of new chunks. Paths run from the end of a chunk to its start, as arcs are kept in the order of their ends."""
         inside = [c.replace(" ", MARK) if c != MARK else "\n" for c in chunks]
         joined = "\n".join(inside) + "\n"
         sizes = np.fromiter(map(len, inside), np.int64, len(inside))
         begin = np.cumsum(sizes + 1) - sizes - 1
-        last, which = (np.array(x, np.int64) for x in zip(*self.automaton.iter(joined), strict=True)) if len(joined) > len(inside) else (np.zeros(0, np.int64),) * 2
-        start, end, piece, weight = last + 1 - self.length[which], last + 1, self.id[which], self.lp[which]
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        code[begin + sizes] = -1
+        code[begin + sizes] = 0x1FFFFF  # no character
         if MARK in chunks:  # a mark in the text is no space
-            code[begin[chunks.index(MARK)]] = -2
-        kinds, which = np.unique(code, return_inverse=True)
-        alone = {i: self.fallback(MARK if c == -2 else chr(c)) for i, c in enumerate(kinds.tolist()) if c != -1 and not (len(self.singles) and np.isin(c, self.singles))}
-        if alone:  # characters without a piece
-            at = np.flatnonzero(np.isin(which, list(alone)))
-            start, end = np.concatenate([start, at]), np.concatenate([end, at + 1])
-            piece = np.concatenate([piece, [alone[i][0] for i in which[at].tolist()]])
-            weight = np.concatenate([weight, [alone[i][1] for i in which[at].tolist()]])
-        # nodes: the characters; the place after each chunk is its end
+            code[begin[chunks.index(MARK)]] = 0x1FFFFE
+        found = self.matches(code)
+        lone = code != 0x1FFFFF
+        lone[found[0][0]] = False
+        odd = np.flatnonzero(lone)  # characters without a piece
+        given = [self.fallback(MARK if c == 0x1FFFFE else chr(c)) for c in code[odd].tolist()]
+        # the longest piece of an end first
+        start = np.concatenate([*[x for x, _ in found[::-1]], odd]).astype(np.int32)
+        last = np.concatenate([*[x + n for n, (x, _) in reversed(list(enumerate(found)))], odd]).astype(np.int32)
+        which = np.concatenate([y for _, y in found[::-1]])
+        piece = np.concatenate([self.id[which], np.array([g[0] for g in given], np.int32)])
+        weight = np.concatenate([self.lp[which], np.array([g[1] for g in given], float)])
+        order = np.argsort(last, kind="stable")
+        start, last, piece, weight = start[order], last[order], piece[order], weight[order]
+        # nodes are the characters, each as the end of what comes before
         nodes = int(sizes.sum())
-        ends = np.zeros(len(joined) + 1, bool)
-        ends[begin + sizes] = True
-        node = np.cumsum(~ends[:-1]) - 1
-        left = np.repeat(begin + sizes, sizes + 1) - np.arange(len(joined))  # characters up to the end of the chunk
-        order = np.argsort(left[start] * len(joined) + start)
-        s, e, w = start[order], end[order], weight[order]
-        beta = np.zeros(len(joined))
-        heads = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-        depth = left[s[heads]]
-        cuts = np.flatnonzero(np.concatenate([[True], depth[1:] != depth[:-1]])) if len(s) else np.zeros(0, np.int64)
-        for i, lo in enumerate(cuts):
-            hi = cuts[i + 1] if i + 1 < len(cuts) else len(heads)
-            x, y = heads[lo], heads[hi] if hi < len(heads) else len(s)
-            v = w[x:y] + beta[e[x:y]]
-            seg = heads[lo:hi] - x
-            top = np.maximum.reduceat(v, seg)
-            beta[s[heads[lo:hi]]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(seg, y - x)))), seg))
-        log = np.minimum(weight + beta[end] - beta[start], 0.0)
-        order = np.argsort(start * 64 + 63 - np.minimum(end - start, 63))  # the longest piece of a node first
-        s, e, log, piece = start[order], end[order], log[order], piece[order]
-        first = np.searchsorted(node[s], np.arange(nodes + 1))
+        inner = np.ones(len(joined), bool)
+        inner[begin + sizes] = False
+        node = (np.cumsum(inner) - 1).astype(np.int32)
+        place = (np.arange(len(joined)) - np.repeat(begin, sizes + 1)).astype(np.int32)
+        here = node[last]
+        ahead = np.where(place[start] == 0, np.int32(-1), node[start] - 1)
+        first = np.concatenate([[0], np.cumsum(np.bincount(here, minlength=nodes))])
+        # forward sums, one place after the other for all chunks at once; the last entry (-1) is the start of a chunk
+        alpha = np.zeros(nodes + 1)
+        depth = place[last]
+        order = np.argsort(depth.astype(np.uint16) if len(joined) < 1 << 16 or sizes.max(initial=0) < 1 << 16 else depth, kind="stable")
+        of, w, frm = here[order], weight[order], ahead[order]
+        heads = np.flatnonzero(np.diff(of, prepend=-1))
+        cuts = np.flatnonzero(np.diff(depth[order][heads], prepend=-1))
+        for lo, hi in zip(cuts, [*cuts[1:], len(heads)], strict=True):
+            x, y = heads[lo], heads[hi] if hi < len(heads) else len(of)
+            v, seg = np.exp(w[x:y] + alpha[frm[x:y]] - (base := alpha[frm[x:y]].max())), heads[lo:hi] - x
+            sums = np.add.reduceat(v, seg)
+            if sums.min() < 1e-200:  # far apart: each node by its own maximum
+                v = w[x:y] + alpha[frm[x:y]]
+                top = np.maximum.reduceat(v, seg)
+                alpha[of[heads[lo:hi]]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(seg, y - x)))), seg))
+            else:
+                alpha[of[heads[lo:hi]]] = base + np.log(sums)
+        log = np.minimum(weight + alpha[ahead] - alpha[here], 0.0)
         prob = np.exp(log)
         total = np.cumsum(prob)
-        base = np.concatenate([[0.0], total])[first[:-1]]
-        cum = total - np.repeat(base, np.diff(first))
+        cum = (total - np.concatenate([[0.0], total])[first[:-1]][here]).astype(np.float32)
+        rest = np.zeros(len(log))
         if nodes:
             cum[first[1:] - 1] = 2.0  # the last arc of a node takes the rest
-        ahead = np.where(ends[e], -1, node[e] + len(self.first) - 1)
+            # what the siblings have; those of a likely arc are summed, as 1 - p would lose their digits
+            likely = log > -0.5
+            rest = np.where(likely, np.add.reduceat(np.where(likely, 0.0, prob), first[:-1])[here], 1 - prob)
+        with np.errstate(divide="ignore"):
+            rest = np.log(rest)
         arcs_before, nodes_before = len(self.cum), len(self.first) - 1
-        self.number.update(zip(chunks, range(len(self.start), len(self.start) + len(chunks)), strict=True))
-        self.start = np.concatenate([self.start, node[begin] + nodes_before])
+        self.start = np.concatenate([self.start, node[begin + sizes - 1] + nodes_before])
         self.first = np.concatenate([self.first[:-1], first + arcs_before])
-        self.cum, self.log = np.concatenate([self.cum, cum.astype(np.float32)]), np.concatenate([self.log, log])
-        self.rest = np.concatenate([self.rest, rest_log(prob)])
-        self.next, self.piece = np.concatenate([self.next, ahead.astype(np.int32)]), np.concatenate([self.piece, piece.astype(np.int32)])
+        self.cum, self.log, self.rest = np.concatenate([self.cum, cum]), np.concatenate([self.log, log]), np.concatenate([self.rest, rest])
+        self.next = np.concatenate([self.next, np.where(ahead < 0, np.int32(-1), ahead + np.int32(nodes_before))])
+        self.piece = np.concatenate([self.piece, piece])
 
-    def ids(self, pieces: np.ndarray) -> list[int]:
-        """Piece ids; an unknown character becomes the ids of its bytes."""
+    def ids(self, arcs: np.ndarray) -> np.ndarray:
+        """Piece ids of a path in the order of the text; an unknown character becomes the ids of its bytes."""
+        pieces = self.piece[arcs[::-1]]
         size = self.model.size
         if not len(pieces) or pieces.max() < size:
-            return pieces.tolist()
+            return pieces
         out: list[int] = []
         for p in pieces.tolist():
             out.extend((p,) if p < size else (self.model.bytes_at + x for x in self.unknown_bytes[p - size]))
-        return out
+        return np.array(out, np.int32)
 
     def decode(self, ids: Sequence[int]) -> bytes:
         """The text of the ids, without the dummy prefix."""
@@ -188,7 +244,7 @@ def uniform(seed: np.ndarray, salt: int) -> np.ndarray:
 
 
 def walk(lat: Lattices, node: np.ndarray, seed: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """From each node (-1: none) to the end of its chunk, each step in proportion: arcs in order, and the number of them for each start."""
+    """From each node (-1: none) to the start of its chunk, each step in proportion: arcs in order, and the number of them for each start."""
     live, steps, step = np.flatnonzero(node >= 0), [], 0
     at = node[live]
     count = np.zeros(len(node), np.int64)
@@ -222,7 +278,7 @@ def truncated(place: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Found:
-    """One sampled segmentation of a text, as arcs with the numbers of the chunks they stand in."""
+    """One sampled segmentation of a text, as arcs from its end to its start with the numbers of the chunks they stand in."""
 
     arcs: np.ndarray
     chunk: np.ndarray
@@ -230,16 +286,9 @@ class Found:
     value: float
 
 
-def rest_log(prob: np.ndarray) -> np.ndarray:
-    """Logarithm of what a probability leaves, minus infinity if nothing but rounding."""
-    left = 1 - prob
-    with np.errstate(divide="ignore"):
-        return np.where(left > 1e-12, np.log(np.maximum(left, 1e-300)), -np.inf)
-
-
 def top_k(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> Iterator[tuple[list[Found], float]]:
     """The k segmentations of each text with the largest perturbed values (fewer if there are no more), and the value after them."""
-    chunks = [CHUNK.findall(" " + t) if t else [] for t in texts]
+    chunks = [CHUNK.findall(" " + t)[::-1] if t else [] for t in texts]  # from the end of the text to its start
     sizes = [len(c) for c in chunks]
     numbers = lat.numbers([c for own in chunks for c in own])
     row = np.repeat(np.array(seeds, np.uint64), sizes)
@@ -262,7 +311,7 @@ def top_k(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> Iterator
         for i, queue in enumerate(queues):
             if len(found[i]) != turn - 1:
                 continue
-            best, path, at = max(((float(e[0].max(initial=-np.inf)), -n, int(e[0].argmax()) if len(e[0]) else 0) for n, e in enumerate(queue)), default=(-np.inf, 0, 0))
+            best, path, at = max(((float(e[0].max(initial=-np.inf)), -n, e[3] + int(e[0].argmax()) if len(e[0]) else 0) for n, e in enumerate(queue)), default=(-np.inf, 0, 0))
             if best == -np.inf:
                 continue
             if turn == k + 1:
@@ -297,18 +346,16 @@ def top_k(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> Iterator
 
 
 def entries(lat: Lattices, arcs: np.ndarray, since: int, value: float, seed: int, path: int) -> list:
-    """Queue entries of a new path from position ``since`` on: values, places before the siblings' own, siblings taken."""
+    """Queue entries of a new path from position ``since`` on: values, places before the siblings' own, siblings taken, ``since``."""
     log = lat.log[arcs]
-    before = np.concatenate([[0.0], np.cumsum(log)])[:-1]
-    place = before + lat.rest[arcs]
-    place[:since] = -np.inf
-    u = uniform(np.uint64(seed) + np.arange(len(arcs), dtype=np.uint64) * np.uint64(0xA0761D6478BD642F), 100 + path)
-    return [truncated(place, np.float64(value), u), before, {}]
+    before = (np.cumsum(log) - log)[since:]
+    u = uniform(np.uint64(seed) + np.arange(since, len(arcs), dtype=np.uint64) * np.uint64(0xA0761D6478BD642F), 100 + path)
+    return [truncated(before + lat.rest[arcs[since:]], np.float64(value), u), before, {}, since]
 
 
 def take_sibling(lat: Lattices, entry: list, arcs: np.ndarray, at: int, value: float, seed: int, turn: int) -> int:
     """Draws a sibling of the path's arc at the popped entry, in proportion, and puts what is left of it back."""
-    values, before, taken = entry
+    values, before, taken, since = entry
     gone = taken.setdefault(at, [int(arcs[at])])
     node_first = int(arcs[at])
     while node_first > 0 and lat.cum[node_first - 1] < 1.5:
@@ -321,8 +368,8 @@ def take_sibling(lat: Lattices, entry: list, arcs: np.ndarray, at: int, value: f
     u, again = uniform(np.array([seed, seed], np.uint64) + np.array([at, at + 1], np.uint64), 5000 + turn)
     chosen = others[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), "right")), len(others) - 1)]
     gone.append(chosen)
-    left = float(p.sum() - np.exp(lat.log[chosen]))
-    values[at] = truncated(np.array([before[at] + np.log(left)]), np.float64(value), np.array([again]))[0] if len(others) > 1 and left > 1e-12 else -np.inf
+    left = sum(float(np.exp(lat.log[x])) for x in others if x != chosen)
+    values[at - since] = truncated(np.array([before[at - since] + np.log(left)]), np.float64(value), np.array([again]))[0] if left > 0 else -np.inf
     return chosen
 
 
@@ -340,9 +387,9 @@ def sampled(docs: DataFrame, model_file: str, k: int, id_col: str, text_col: str
             rows: list[tuple] = []
             for i, (own, after) in enumerate(top_k(lat, [t.decode("utf-8", "replace") for t in raw], seeds, k)):
                 for n, f in enumerate(own):
-                    ids = lat.ids(lat.piece[f.arcs])
+                    ids = lat.ids(f.arcs)
                     inclusion = 1.0 if after == -np.inf else float(-np.expm1(-np.exp(min(50.0, f.log_prob - after))))
-                    out = (len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), lat.decode(ids) == raw[i]) if digest else (ids,)
+                    out = (len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), lat.decode(ids.tolist()) == raw[i]) if digest else (ids,)
                     rows.append((i, n + 1, f.log_prob, f.value, inclusion, *out))
             columns = list(zip(*rows, strict=True)) or [[]] * (5 + 3 * digest + (not digest))
             kinds = [pa.int32(), pa.float64(), pa.float64(), pa.float64(), *([pa.int64(), pa.string(), pa.bool_()] if digest else [pa.list_(pa.int32())])]
@@ -357,7 +404,7 @@ def sampled(docs: DataFrame, model_file: str, k: int, id_col: str, text_col: str
 
 
 def sample_segmentations(
-    docs: DataFrame, model_file: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, slice_bytes: int = 2 << 20
+    docs: DataFrame, model_file: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, slice_bytes: int = 1 << 20
 ) -> DataFrame:
     """``id, sample, log_prob, perturbed, inclusion, ids``: k distinct segmentations of each text, the largest perturbed first.
 
@@ -369,7 +416,7 @@ def sample_segmentations(
 
 
 def segmentation_digests(
-    docs: DataFrame, model_file: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, slice_bytes: int = 2 << 20
+    docs: DataFrame, model_file: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, slice_bytes: int = 1 << 20
 ) -> DataFrame:
     """As ``sample_segmentations``, with ``n_pieces``, ``ids_sha256`` and ``round_trip`` (the ids decode to the text) in place of the ids."""
     return sampled(docs, model_file, k, id_col, text_col, seed, slice_bytes, "n_pieces long, ids_sha256 string, round_trip boolean", True)

@@ -105,7 +105,7 @@ def identify(
         if len(chosen[r.lang]) < each:
             chosen[r.lang].append(r.bits)
     packed = sorted({bytes(x) for v in chosen.values() for x in v})
-    landmarks = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1)[:, : p.places].astype(np.float32)
+    landmarks = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), p.places // 8), axis=1)[:, : p.places].astype(np.float32)
     if packed:
         values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
         kept = values > 1e-6 * values[-1]

@@ -1,0 +1,418 @@
+"""Operators against brute force on small tables with nulls, blanks, ties, repeats and clashing names."""
+
+import hashlib
+import itertools
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from psephos.llm import decontamination, langid, line_dedup, lm, media, pieces, quality, queries, secrets, sharding, simhash
+from psephos.llm._shared import components, crc_mod
+
+MODEL = queries.PIECE_MODEL
+LONG = "word " * 20000
+
+DOCS = [
+    (1, "Alpha beta gamma delta epsilon zeta eta theta.\nA shared line of some length here\n short "),
+    (2, "alpha BETA gamma delta epsilon zeta eta theta.\n  a SHARED line of some length here\t\nshort"),
+    (3, "A shared line of some length here\nown text of the third\nA shared line of some length here"),
+    (4, None),
+    (5, ""),
+    (6, "own text of the third"),
+    (6, "own text of the third"),
+    (7, "\n\n \n"),
+    (8, LONG),
+    (9, LONG),
+    (10, "ünï çødé ▁ \U0001f600 \x00 tab\tend"),
+    (None, "A shared line of some length here"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "x", 0, "y", 1) for i, t in DOCS]
+    return spark.createDataFrame(rows, "doc_id long, text string, id string, n_lines int, fp string, selected int").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def collected(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_lines_against_brute_force(docs):
+    strip = " \t\n\x0b\x0c\r"
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    holders = defaultdict(set)
+    for i, t in DOCS:
+        for line in (t or "").split("\n"):
+            k = line.strip(strip).translate(lower)
+            if i is not None and len(k) >= 20:
+                holders[k].add(i)
+    want = Counter()
+    for i, t in DOCS:
+        lines = (t or "").split("\n")
+        kept = []
+        for line in lines:
+            k = line.strip(strip).translate(lower)
+            if i is None or len(holders.get(k, ())) < 3 or max(holders[k]) == i:
+                kept.append(line)
+        want[(i, "\n".join(kept), len(lines), len(lines) - len(kept))] += 1
+    got = line_dedup.deduplicate_lines(docs)
+    assert Counter(collected(got.select("id", "text", "n_lines", "n_dropped"))) == want
+    carried = line_dedup.deduplicate_lines(docs, carry=["id", "n_lines"]).select("rest.id", "rest.n_lines").distinct().collect()
+    assert [tuple(r) for r in carried] == [("x", 0)]
+
+
+def brute_fingerprint(t):
+    words = (t or "").encode().lower().split()
+    grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hs = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs)) if hs else 0
+
+
+def test_fingerprints_and_components(spark, docs):
+    some = docs.where("doc_id IS NULL OR doc_id NOT IN (8, 9)")
+    got = {(r.id, r.fp & (1 << 64) - 1) for r in simhash.fingerprints(some).collect()}
+    assert got == {(i, brute_fingerprint(t)) for i, t in DOCS if i not in (8, 9)}
+    found = collected(simhash.near_duplicates(docs).select("id", "component"))
+    assert Counter(i for i, _ in found) == Counter(i for i, _ in DOCS)
+    group = dict(found)
+    assert group[8] == group[9] == 8 and group[4] == group[5] == group[7] == 4 and group[6] == 6
+
+
+@pytest.mark.parametrize("bucket_rows", [8, 200])
+def test_links_lose_nothing(spark, bucket_rows):
+    rng = np.random.default_rng(1)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 40)]
+    fps = set(base)
+    for b in base[:10]:  # a dense group around each
+        for _ in range(12):
+            fps.add(b ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(1, 5), replace=False)))
+    fps = sorted(fps)
+    rows = spark.createDataFrame([(i, simhash.signed(f)) for i, f in enumerate(fps)], "node long, fp long")
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.links(rows, bucket_rows=bucket_rows).collect()}
+    assert got == {(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 3}
+
+
+def test_components_against_union_find(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(500 + i, 501 + i) for i in range(40)] + [(900, 1000 + i) for i in range(50)] + [(7, 7)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = dict(collected(components(spark.createDataFrame(edges, "a long, b long"))))
+    assert got == {x: find(x) for x in parent}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shards(spark, docs):
+    got = sharding.shuffle_into_shards(docs, shards=4, bucket_bytes=4096).collect()
+    assert Counter(r.id for r in got) == Counter(i for i, _ in DOCS)
+    assert all(r.size == len((r.text or "").encode()) + 8 for r in got)
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 4)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    home = {r.id: r.grown_shard for r in got}
+    again = sharding.shuffle_into_shards(docs, shards=5).collect()
+    assert {r.id: r.shard for r in again} == home
+
+
+def test_written_shards(spark, docs, tmp_path):
+    path = sharding.write_shards(docs.select("doc_id", "text"), f"file://{tmp_path}/shards", shards=3)
+    back = spark.read.parquet(path)
+    assert back.count() == len(DOCS) and set(back.columns) >= {"id", "text", "slot", "shard"}
+
+
+def brute_base(held):
+    tokens = {k: [*(t or "").encode().lower().split(), b"\n"] for k, (_, t) in enumerate(DOCS)}
+    c = Counter(w for k, ws in tokens.items() if not held[k] for w in ws)
+    n, v = sum(c.values()), len(c)
+    return [(DOCS[k][0], held[k], len(ws), sum(w in c for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for k, ws in tokens.items()]
+
+
+@pytest.mark.parametrize("head", [1 << 18, 4, 0])
+def test_base_scores(docs, head):
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in DOCS]
+    got = lm.score(docs, crc_mod(docs["doc_id"], 7) == 2, p=lm.Params(head_words=head, classes=16, width=4)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    for a, b in zip(sorted(got, key=key), sorted(brute_base(held), key=key), strict=True):
+        assert tuple(a)[:5] == b[:5]
+        assert a.base_score == pytest.approx(b[5], rel=1e-9)
+        assert a.score < 0
+
+
+def test_model_is_normalised_and_learns():
+    p = lm.Params(classes=8, width=6, batch=256)
+    rng = np.random.default_rng(0)
+    seq = [2]
+    for _ in range(20000):  # the next class follows from the last most of the time
+        seq.append(2 + (seq[-1] - 1) % 6 if rng.random() < 0.9 else int(rng.integers(2, 8)))
+    kinds = np.array(seq)
+    share = (np.bincount(kinds, minlength=8) + 1) / (len(kinds) + 8)
+    before = lm.contexts_of(kinds, np.array([len(kinds)]))
+    start = lm.start_model(share, p)
+    model = start
+    for i in range(3):
+        model = lm.fit_nce(model, share, before, kinds, p, i)
+    contexts = before[:, 0] * 8 + before[:, 1]
+    logs = lm.log_probabilities(model, contexts, 8)
+    assert np.allclose(np.exp(logs).sum(1), 1, atol=1e-4)
+    assert logs[np.arange(len(kinds)), kinds].mean() > np.log(share)[kinds].mean() + 0.8
+
+
+def test_contexts_do_not_cross_texts():
+    got = lm.contexts_of(np.array([5, 6, 1, 1, 7, 1]), np.array([3, 1, 2])).tolist()
+    assert got == [[1, 1], [5, 1], [6, 5], [1, 1], [1, 1], [7, 1]]
+
+
+def test_gumbel_top_k_matches_enumeration():
+    m = pieces.load(MODEL)
+    lat = pieces.Lattices(m)
+    table = {t: (i, w) for t, i, w in m.pieces}
+    text = "of the"
+
+    def ways(c, at=0):
+        if at == len(c):
+            yield (), 0.0
+        for j in range(at + 1, len(c) + 1):
+            if c[at:j] in table:
+                for ids, w in ways(c, j):
+                    yield (table[c[at:j]][0], *ids), w + table[c[at:j]][1]
+
+    full = {a + b: x + y for (a, x), (b, y) in itertools.product(ways("▁of"), ways("▁the"))}
+    z = np.logaddexp.reduce(list(full.values()))
+    p = {k: math.exp(v - z) for k, v in full.items()}
+    n, first, second = 4000, Counter(), Counter()
+    seeds = [xxhash.xxh64_intdigest(str(i)) for i in range(n)]
+    for own, after in pieces.top_k(lat, [text] * n, seeds, 2):
+        ids = [tuple(lat.ids(f.arcs).tolist()) for f in own]
+        assert ids[0] != ids[1] and own[0].value > own[1].value > after
+        assert all(full[k] - z == pytest.approx(f.log_prob, abs=1e-9) for k, f in zip(ids, own, strict=True))
+        first[ids[0]] += 1
+        second[ids[1]] += 1
+    for k in sorted(p, key=p.get)[-3:]:
+        again = sum(p[a] * p[k] / (1 - p[a]) for a in p if a != k)
+        assert first[k] / n == pytest.approx(p[k], abs=0.03) and second[k] / n == pytest.approx(again, abs=0.03)
+
+
+def test_all_segmentations_of_a_short_text():
+    lat = pieces.Lattices(pieces.load(MODEL))
+    (own, after), (one, end) = pieces.top_k(lat, ["of the", ""], [1, 2], 40)
+    assert len(own) == 32 and after == -np.inf and len({tuple(f.arcs) for f in own}) == 32
+    assert np.logaddexp.reduce([f.log_prob for f in own]) == pytest.approx(0, abs=1e-9)
+    assert len(one) == 1 and not len(one[0].arcs) and end == -np.inf
+
+
+def test_segmentations_round_trip(docs):
+    coded = pieces.sample_segmentations(docs.where("doc_id NOT IN (8) OR doc_id IS NULL"), MODEL, k=3)
+    back = pieces.decode(coded, MODEL).collect()
+    want = {i: t or "" for i, t in DOCS}
+    assert all(r.decoded == want[r.id] for r in back)
+    seen = defaultdict(set)
+    for r in back:
+        seen[r.id].add(tuple(r.ids))
+    assert len(seen[1]) == 3 and len(seen[4]) == 1
+    assert pieces.segmentation_digests(docs, MODEL).where("NOT round_trip").count() == 0
+
+
+def test_segmentation_does_not_depend_on_batches():
+    model = pieces.load(MODEL)
+    texts = [t or "" for _, t in DOCS if t != LONG]
+    seeds = list(range(1, len(texts) + 1))
+    together = [[f.arcs.shape[0] for f in own] for own, _ in pieces.top_k(pieces.Lattices(model), texts, seeds, 2)]
+    alone = [[f.arcs.shape[0] for f in next(pieces.top_k(pieces.Lattices(model), [t], [s], 2))[0]] for t, s in zip(texts, seeds, strict=True)]
+    assert together == alone
+
+
+def brute_alignment(a, b):
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+        h[i][j] = max(0, h[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+    return max(map(max, h))
+
+
+def test_alignment_against_brute_force():
+    rng = np.random.default_rng(3)
+    pairs = [(rng.integers(1, 5, rng.integers(3, 15)), rng.integers(1, 5, rng.integers(1, 30))) for _ in range(60)]
+    p = decontamination.Params(least=0.0)
+    for (a, b), (share, start, stop) in zip(pairs, decontamination.align(pairs, p), strict=True):
+        assert share * len(a) == pytest.approx(brute_alignment(a.tolist(), b.tolist()))
+        assert 0 <= start <= stop <= len(b)
+
+
+def test_decontamination(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    draw = lambda n: [vocabulary[i] for i in rng.integers(0, 400, n)]
+    items = [(k, draw(40)) for k in range(8)] + [(8, draw(150))]
+    edited = list(items[1][1])
+    for at in (3, 11, 19, 27, 35):
+        edited[at] = "changed"
+    del edited[30]
+    rows = [(0, " ".join(draw(200) + items[0][1] + draw(80)).upper()), (1, " ".join(draw(50) + edited + draw(50))), (2, " ".join(draw(400))), (3, None), (4, "")]
+    rows += [(5, ", ".join(items[8][1][40:120])), (6, " ".join(items[2][1])), (6, " ".join(items[2][1]))]
+    rows += [(100 + i, " ".join(draw(20) + items[3][1] + draw(20))) for i in range(40)]  # common in the corpus
+    docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, item_id string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items] + [(20, None), (21, ""), (22, "w1 w2")], "item_id long, text string")
+    want = {(0, 0), (1, 1), (5, 8), (6, 2)} | {(100 + i, 3) for i in range(40)}
+    for words in (10**6, 60):  # one block, and many
+        got = decontamination.contaminated(docs, bench, p=decontamination.Params(block_words=words))
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+        assert got.count() == len(want)
+    exact = got.where("doc_id = 0").first()
+    assert exact.score == 1.0 and exact.start == 200 and exact.stop == 240
+    kept = {r.doc_id for r in decontamination.without_leaks(docs, bench).collect()}
+    assert kept == {2, 3, 4}
+    assert decontamination.contaminated(docs.limit(0), bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_media_formats_are_found_and_carved(spark):
+    import gzip
+    import io
+    import zipfile
+
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a.txt", "hello")
+    payload = bytes(range(256)) * 2
+    good = {k: media.store(payload, k) for k in media.KINDS} | {"gzip": gzip.compress(b"x" * 100), "zip": box.getvalue()}
+    good["gif"] = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff\x2c\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02\x44\x01\x00\x3b"
+    good["jpeg"] = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd\x12\xff\x00\x34\xff\xd9"
+    good["pdf"] = b"%PDF-1.4\nbody\nstartxref\n9\n%%EOF"
+    rows = [(k, b, "bmp", "p") for k, b in good.items()]
+    rows += [("inside", b"text before " + good["png"] + b"between" + good["wav"] + b"BM after", "text", "p"), ("cut", good["png"][:-5], "png", "p"), ("bad", b"BM" + bytes(60), "bmp", "p"), ("null", None, "x", "p"), ("empty", b"", None, "p")]
+    got = {r.id: r for r in media.sniff(spark.createDataFrame(rows, "id string, media binary, declared string, parts string")).collect()}
+    for k, b in good.items():
+        assert got[k].detected == got[k].declared == k and got[k].mismatch == (k != "bmp")
+        assert [(p.type, p.offset, p.length) for p in got[k].parts] == [(k, 0, len(b))]
+        assert got[k].parts[0].sha256 == hashlib.sha256(b).hexdigest()
+    n = len(good["png"])
+    assert [(p.type, p.offset, p.length) for p in got["inside"].parts] == [("png", 12, n), ("wav", 19 + n, len(good["wav"]))]
+    assert got["inside"].declared == "text" and not any(got[k].parts for k in ("cut", "bad", "null", "empty"))
+
+
+def test_media_round_trip(docs):
+    keyed = docs.select("doc_id", F.col("text").alias("t"), F.lit(1).alias("media"))
+    got = media.digests(media.sniff(media.stored_texts(keyed, "doc_id", "t"))).collect()
+    want = Counter()
+    for i, t in DOCS:
+        b = (t or "").encode()
+        b += bytes(-len(b) % 64 or 64 * (not b))
+        want[(i, len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-64:]))] += 1
+    assert Counter((r.id, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    by_text = {r.payload_sha256: r.media_sha256 for r in got}
+    assert all(by_text[r.payload_sha256] == r.media_sha256 for r in got)
+
+
+def test_kth_largest(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=3000), np.full(500, 0.25), [1e9, -1e9]])
+    keys = spark.createDataFrame([(float(v),) for v in x], "key double")
+    ordered = np.sort(x)[::-1]
+    for k in (1, 2, 700, 1500, 3501, len(x)):
+        assert quality.kth_largest(keys, k, bins=16, few=50) == ordered[k - 1]
+
+
+def test_quality_separates(spark, sf_dir):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    fine = [word() for _ in range(200)]
+    rows, labels = [], []
+    for i in range(600):
+        poor = i % 5 == 0
+        ws = [str(rng.choice(fine)) + ("$$$" if poor else "") for _ in range(30)]
+        rows.append((i, " ".join(ws), 9))
+        if i % 2:
+            labels.append((i, 0 if poor else 1, 0))
+    rows += [(1000, None, 9), (1001, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, log_ratio int").repartition(3)
+    marks = spark.createDataFrame([*labels, (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    p = quality.Params(buckets=1 << 12)
+    got = {r.doc_id: r for r in quality.resample(docs, marks, p=p).collect()}
+    assert len(got) == 602 and all(got[i].selected == (i % 5 > 0) for i in range(600))
+    some = quality.resample(docs, marks, k=100, p=p)
+    assert some.where("selected").count() == 100
+    assert some.where("selected").agg(F.min("gumbel_key")).first()[0] > some.where("NOT selected").agg(F.max("gumbel_key")).first()[0]
+    assert quality.resample(docs, marks.limit(0), p=p).where("NOT selected").count() == 0
+    assert quality.resample(docs.limit(0), marks, p=p).count() == 0
+
+
+def test_gumbel_is_gumbel(spark):
+    x = np.array([r[0] for r in spark.range(20000).select(quality.gumbel(1, F.col("id"))).collect()])
+    assert x.mean() == pytest.approx(0.5772, abs=0.05) and x.var() == pytest.approx(math.pi**2 / 6, abs=0.1)
+
+
+def test_ngrams_stay_in_their_text():
+    a, n = quality.ngrams([b"one two three", b"", b"one"], 1 << 10)
+    b, _ = quality.ngrams([b"one"], 1 << 10)
+    assert n.tolist() == [5, 0, 1] and a[-1] == b[0]
+
+
+def test_language_on_held_out(spark):
+    rng = np.random.default_rng(7)
+    alphabet = {"aa": "abcde", "bb": "cdefg", "cc": "äöüxy"}
+    rows = []
+    for i in range(300):
+        lang = list(alphabet)[i % 3]
+        rows.append((i, " ".join("".join(rng.choice(list(alphabet[lang]), 5)) for _ in range(20)), lang, "u"))
+    rows += [(900, None, "aa", "u"), (901, "123 !!", "aa", "u"), (902, "abc", None, "u"), (903, "", "bb", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string").repartition(3)
+    got = {r.id: r for r in langid.identify(docs, crc_mod(docs["doc_id"], 3) == 1, p=langid.Params(places=1 << 12, landmarks=30)).collect()}
+    tested = [i for i in range(300) if got[i].held_out]
+    assert len(tested) > 50 and np.mean([got[i].lang_pred == rows[i][2] for i in tested]) >= 0.95
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 903))
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[902].lang_pred in alphabet
+    nothing = langid.identify(docs.where("lang IS NULL"), F.lit(False)).collect()
+    assert [r.lang_pred for r in nothing] == ["und"]
+    assert langid.identify(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_presence_matches_plain_sets():
+    p = langid.Params(places=1 << 16)
+    texts = ["ab cd", "abab", "x", ""]
+    got = (langid.presence([t.encode() for t in texts], p) > 0).sum(1)
+    want = [len({t[i : i + n] for n in p.orders for i in range(len(t) - n + 1)}) for t in texts]
+    assert got.tolist() == want
+
+
+def test_secrets(spark):
+    hexes = hashlib.sha1(b"k").hexdigest()
+    rows = [(i, f"some words before token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" and words after", "q") for i in range(30)]
+    rows += [(100 + i, f"pay with 4785{i:012d} at the counter", "q") for i in range(30)]
+    rows += [(200, None, "q"), (201, "", "q"), (202, "no candidate", "q"), (203, f"see commit {hexes} for it", "q"), (None, f'secret = "{hexes}"', "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, probability string").repartition(3)
+    got = {r.id: r for r in secrets.scan(docs).collect()}
+    assert np.mean([got[i].is_secret for i in range(30)]) >= 0.9 and not any(got[100 + i].is_secret for i in range(30))
+    assert set(got) == {*range(30), *range(100, 130), 203, None} and not got[203].is_secret
+    assert got[0].word_at == 5 and got[0].candidate == hashlib.sha1(b"0").hexdigest()
+    assert secrets.scan(docs.limit(0)).count() == 0
+    labelled = spark.createDataFrame([("", "token", "", hexes, "", "", 1)], "before2 string, before1 string, lead string, candidate string, tail string, after1 string, label int")
+    assert secrets.scan(docs, labelled).where("probability <> 1").count() == 0
+
+
+def test_empty_tables(empty):
+    assert line_dedup.deduplicate_lines(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
+    assert sharding.shuffle_into_shards(empty).count() == 0
+    assert lm.score(empty, F.lit(False)).count() == 0
+    assert pieces.sample_segmentations(empty, MODEL).count() == 0
+    assert media.stored_texts(empty).count() == 0

@@ -200,12 +200,12 @@ def gaussian_process(x: np.ndarray, y: np.ndarray, new: np.ndarray, noise: float
     return mid + spread * (k @ alpha), spread * np.sqrt(np.maximum(var, 0))
 
 
-def jackknife_platt(score: np.ndarray, won: np.ndarray) -> np.ndarray:
+def jackknife_platt(score: np.ndarray, won: np.ndarray, c: float = 100.0) -> np.ndarray:
     """Calibrated probability of each case from a logistic fit to the others."""
     out = np.empty(len(score))
     for i in range(len(score)):
         keep = np.arange(len(score)) != i
-        a, b = logistic(score[keep], won[keep], c=1.0)
+        a, b = logistic(score[keep], won[keep], c)
         out[i] = 1 / (1 + np.exp(-(a * score[i] + b)))
     return out
 

@@ -20,6 +20,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "3g")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.checkpoint.dir", f"file://{shared}")
         .getOrCreate()
     )

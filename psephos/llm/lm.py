@@ -31,10 +31,10 @@ class Params:
     """``head_words`` and ``word_bytes`` bound what is broadcast: words with their counts, 12 MB at most."""
 
     classes: int = 512
-    width: int = 24
-    noise: int = 25
-    rate: float = 0.15
-    batch: int = 8192
+    width: int = 16
+    noise: int = 50
+    rate: float = 0.08
+    batch: int = 2048
     seed: int = 11
     head_words: int = 1 << 18
     word_bytes: int = 40

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from psephos.functions import scalars, text
-from psephos.operators import aggregates, joins, relational, sampling
+from psephos.functions import html, records, scalars, text
+from psephos.operators import aggregates, authors, joins, relational, sampling
 from psephos.plans.registry import query, table
 
 # A registry of topics and keywords for the given texts.
@@ -178,3 +178,65 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.8, seed=7)
+
+
+_TIERS = "CASE WHEN source IN ('src0', 'src1') THEN 'outlet_proxy' WHEN " + " OR ".join(f"contains(lower(text), '{k}')" for _, k, _, _ in LEXICON) + " THEN 'keyword' WHEN lang IN ('es', 'fr') THEN 'language_prior' END"
+
+
+@query(f"SELECT doc_id, {_TIERS} AS method FROM documents")
+def author_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = spark.createDataFrame(LEXICON, "stratum string, keyword string, bloc string, weight double")
+    proxies = spark.createDataFrame([("src0", {"white": 1.0}), ("src1", {"asian": 1.0})], "outlet string, weights map<string,double>")
+    priors = spark.createDataFrame([("es", {"latino": 0.8}), ("fr", {"white": 0.5})], "lang string, weights map<string,double>")
+    out = authors.classified(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), F.col("source"), F.col("lang"), lexicon, proxies, priors)
+    return out.select("doc_id", "method")
+
+
+@query(f"""
+WITH hits AS (SELECT doc_id, stratum, bloc, sum(weight) AS w FROM documents JOIN (VALUES {_LEX}) l(stratum, keyword, bloc, weight) ON contains(lower(text), keyword) GROUP BY ALL),
+s AS (SELECT doc_id, bloc, (w / sum(w) OVER (PARTITION BY doc_id, stratum))::DOUBLE AS w FROM hits)
+SELECT doc_id, arg_min(bloc, {{'w': round(-w, 12), 'b': bloc}}) AS bloc FROM s GROUP BY 1 HAVING max(round(w, 12)) >= 0.55""")
+def bio_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = spark.createDataFrame(LEXICON, "stratum string, keyword string, bloc string, weight double")
+    weights = authors.keyword_weights(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), lexicon)
+    rounded = weights.withColumn("weights", F.transform_values("weights", lambda k, v: F.round(v, 12)))
+    return authors.labelled(rounded).where("bloc IS NOT NULL").select("doc_id", "bloc")
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'mod_neg' WHEN 1 THEN 'mild_pos' ELSE 'neutral' END AS white, CASE doc_id % 3 WHEN 0 THEN 'neutral' WHEN 1 THEN 'strong_pos' ELSE 'neutral' END AS latino FROM documents""")
+def parsed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.expr("""CASE doc_id % 3 WHEN 0 THEN 'Answer: {"white": "mod_neg", "latino": "no bin"} ' || lang WHEN 1 THEN 'white: mild_pos; latino = strong_pos' ELSE substring(text, 1, 20) END""")
+    bins = records.parsed_bins(said)
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", *[F.element_at(bins, F.lit(b)).alias(b) for b in ("white", "latino")])
+
+
+@query("""
+SELECT doc_id, concat_ws('; ', CASE WHEN d IS NULL THEN 'delta missing' END, CASE WHEN abs(d) > 0.15 THEN 'delta out of range' END,
+  CASE WHEN i NOT BETWEEN 0.8 AND 1.2 THEN 'intensity out of range' END, CASE WHEN lang <> 'en' THEN 'unknown bin' END) AS errors,
+  CASE WHEN doc_id % 4 = 0 THEN 'eval' ELSE 'train' END AS split, CASE source WHEN 'src0' THEN 1.5 WHEN 'src1' THEN 1.0 ELSE 0.5 END::DOUBLE AS weight
+FROM (SELECT doc_id, lang, source, CASE WHEN doc_id % 5 > 0 THEN (n_chars % 40) / 100.0::DOUBLE - 0.2 END AS d, (n_chars % 7) / 10.0::DOUBLE + 0.7 AS i FROM documents)""")
+def record_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    delta = F.expr("CASE WHEN doc_id % 5 > 0 THEN (n_chars % 40) / 100.0D - 0.2D END")
+    wrong = records.errors(delta, F.expr("(n_chars % 7) / 10.0D + 0.7D"), F.when(F.col("lang") == "en", "neutral").otherwise("none"))
+    year = F.when(F.col("doc_id") % 4 == 0, 2020).otherwise(2016)
+    origin = F.when(F.col("source") == "src0", "observed").when(F.col("source") == "src1", "reviewed")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.array_join(wrong, "; ").alias("errors"), records.split(year).alias("split"), records.record_weight(origin).alias("weight")
+    )
+
+
+@query()
+def html_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", html.article_text(F.col("html")).alias("article"))
+    return rows.select("page_id", text.word_count(F.col("article")).alias("n_words"), text.short_key(F.col("article")).alias("key"))
+
+
+@query("SELECT source, year, n, rank() OVER (PARTITION BY year ORDER BY n DESC, source) AS place FROM (SELECT source, doc_id % 3 AS year, count(*) AS n FROM documents WHERE regexp_matches(lower(text), 'eaux|lich') OR source IN ('src3', 'src4') GROUP BY ALL) QUALIFY place <= 5")
+def relevant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by number of relevant posts (a keyword, or a listed source), the first five of each part."""
+    kept = table(spark, sf_dir, "documents").where(text.holds_any(F.col("text"), ["eaux", "lich"]) | F.col("source").isin("src3", "src4"))
+    n = kept.groupBy("source", (F.col("doc_id") % 3).alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.rank().over(Window.partitionBy("year").orderBy(F.desc("n"), "source"))  # sources are few
+    return n.withColumn("place", place.cast("long")).where("place <= 5")

@@ -106,3 +106,11 @@ def scored(rows: DataFrame, key: str, text: str, load: Callable[[], Callable[[Se
             yield out
 
     return rows.select(key, score(F.col(text)).alias("score"))
+
+
+def with_cache(rows: DataFrame, key: str, cache: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``key, score, hit``: scores of the cache where it has the key, else those ``score`` makes for the rest (``key, score``). Null keys always miss."""
+    known = cache.select(F.col(key).alias("_key"), F.col("score").alias("_score"))
+    hits = rows.join(known, F.col(key) == F.col("_key")).select(key, F.col("_score").alias("score"), F.lit(True).alias("hit"))
+    misses = rows.join(known, F.col(key) == F.col("_key"), "left_anti")
+    return hits.unionByName(score(misses).select(key, "score", F.lit(False).alias("hit")))

@@ -291,3 +291,25 @@ FROM (SELECT o_orderkey, o_totalprice / 500000 AS s FROM orders) WHERE s < 0.05
 def share_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 500_000).alias("s")).where("s < 0.05 OR s > 0.95")
     return rows.select("o_orderkey", F.round("s", 9).alias("share"), F.when(F.col("s") < 0.05, "low").otherwise("high").alias("reason"))
+
+
+@query("""
+SELECT p_partkey, arg_min(name, {'o': -overlap, 'n': name}) AS name, max(overlap)::BIGINT AS overlap
+FROM (SELECT p_partkey, name, len(list_intersect(string_split(lower(p_type), ' '), string_split(name, '_'))) AS overlap
+      FROM part CROSS JOIN (VALUES ('standard_plated_tin'), ('economy_brushed_steel'), ('promo_burnished_copper'), ('small_anodized_brass')) n(name)) WHERE overlap > 0 GROUP BY 1""")
+def overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([(n,) for n in ("standard_plated_tin", "economy_brushed_steel", "promo_burnished_copper", "small_anodized_brass")], "name string")
+    return joins.by_overlap(table(spark, sf_dir, "part"), "p_partkey", F.split(F.lower("p_type"), " "), names, "name", F.split("name", "_"))
+
+
+@query("""
+SELECT c_nationkey, o_orderpriority AS bloc, round(d, 4) AS delta, rank() OVER (PARTITION BY c_nationkey ORDER BY abs(round(d, 4)) DESC, o_orderpriority) AS place
+FROM (SELECT c_nationkey, o_orderpriority, avg(o_totalprice) - avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS d FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) WHERE d IS NOT NULL""")
+def coalition_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifted less baseline means of each bloc, the largest movers first."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    moved = F.avg("o_totalprice") - F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")))
+    out = rows.groupBy("c_nationkey", F.col("o_orderpriority").alias("bloc")).agg(F.round(moved, 4).alias("delta")).where("delta IS NOT NULL")
+    return out.withColumn("place", F.rank().over(Window.partitionBy("c_nationkey").orderBy(F.desc(F.abs("delta")), "bloc")).cast("long"))  # five blocs each

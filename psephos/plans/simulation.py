@@ -66,3 +66,13 @@ def score_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         return lambda texts: [min(1.0, len(t) / 1000) for t in texts]
 
     return simulate.scored(table(spark, sf_dir, "documents"), "doc_id", "text", load)
+
+
+@query("""
+SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL THEN quality ELSE round(n_chars / 1000.0::DOUBLE, 6) END::DOUBLE AS score, l.doc_id IS NOT NULL AS hit
+FROM documents d LEFT JOIN labels l USING (doc_id)""".replace("SELECT doc_id", "SELECT d.doc_id"))
+def score_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known scores are read, the others made."""
+    cache = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("score"))
+    made = lambda rows: rows.select("doc_id", F.round(F.col("n_chars") / 1000.0, 6).alias("score"))
+    return simulate.with_cache(table(spark, sf_dir, "documents"), "doc_id", cache, made)

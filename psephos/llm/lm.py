@@ -38,14 +38,14 @@ class Params:
     seed: int = 11
     head_words: int = 1 << 18
     word_bytes: int = 40
-    slice_bytes: int = 8 << 20
+    slice_bytes: int = 4 << 20
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
     """``word, n`` over all rows of ``(id, text)``; each task counts its batch first."""
 
     def run(batches):
-        for b in slices(batches, 64 << 20):
+        for b in slices(batches, 24 << 20):
             seen = Counter()
             for t in b.column(1).to_pylist():
                 seen.update(t.lower().split())
@@ -162,6 +162,18 @@ def log_probabilities(model: dict[str, np.ndarray], contexts: np.ndarray, classe
     return out
 
 
+def token_logs(model: dict[str, np.ndarray], before: np.ndarray, kinds: np.ndarray, classes: int, block: int = 8192) -> np.ndarray:
+    """Natural logarithm of each token's class in its context; each distinct context is normalised once, a block of contexts at a time."""
+    seen, at = np.unique(before[:, 0] * classes + before[:, 1], return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[order], np.arange(0, len(seen) + block, block))
+    out = np.empty(len(kinds))
+    for i in range(len(ends) - 1):
+        own = order[ends[i] : ends[i + 1]]
+        out[own] = log_probabilities(model, seen[i * block : (i + 1) * block], classes)[at[own] - i * block, kinds[own]]
+    return out
+
+
 def pack(model: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([model[k].ravel() for k in "rqcb"])
 
@@ -267,8 +279,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             known = codes >= 0
             kind = np.where(known, kinds[codes], OTHER) if len(head) else np.zeros(len(codes), np.int64)
             before = contexts_of(kind, sizes)
-            seen, at = np.unique(before[:, 0] * p.classes + before[:, 1], return_inverse=True)
-            logs = log_probabilities(model, seen, p.classes)[at, kind].astype(np.float64) / np.log(10)
+            logs = token_logs(model, before, kind, p.classes) / np.log(10)
             plain = np.where(known, log10_n[codes], 0.0) if len(head) else np.zeros(len(codes))
             first = np.cumsum(sizes) - sizes
             per = lambda x: np.add.reduceat(x, first)

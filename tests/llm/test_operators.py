@@ -176,6 +176,7 @@ def test_model_is_normalised_and_learns():
     contexts = before[:, 0] * 8 + before[:, 1]
     logs = lm.log_probabilities(model, contexts, 8)
     assert np.allclose(np.exp(logs).sum(1), 1, atol=1e-4)
+    assert np.allclose(lm.token_logs(model, before, kinds, 8, block=5), logs[np.arange(len(kinds)), kinds], atol=1e-5)
     assert logs[np.arange(len(kinds)), kinds].mean() > np.log(share)[kinds].mean() + 0.8
 
 

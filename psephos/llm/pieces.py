@@ -90,8 +90,8 @@ class Lattices:
         self.keys = np.array(sorted(step), np.int64)
         self.child = np.array([step[k] for k in self.keys.tolist()], np.int64)
         self.ends = np.array(ends, np.int32)
-        self.maybe = np.zeros(1 << 20, bool)  # most transitions that don't exist fail here
-        self.maybe[self.slot(self.keys)] = True
+        self.at = np.full(1 << 20, -1, np.int32)  # place of a transition by its hash; one of those that share a hash
+        self.at[self.slot(self.keys)] = np.arange(len(self.keys))
         self.id, self.lp = np.array([i for _, i, _ in model.pieces], np.int32), np.array([w for _, _, w in model.pieces])
         self.bytes_of = [b""] * model.size
         for text, i, _ in model.pieces:
@@ -111,9 +111,11 @@ class Lattices:
             inside = at + n < len(code)
             at, node = at[inside], node[inside]
             key = node << 21 | code[at + n]
-            some = np.flatnonzero(self.maybe[self.slot(key)])
-            key = key[some]
-            to = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to = self.at[self.slot(key)]
+            some = np.flatnonzero(to >= 0)
+            key, to = key[some], to[some]
+            other = np.flatnonzero(self.keys[to] != key)  # another one, or none
+            to[other] = np.minimum(np.searchsorted(self.keys, key[other]), len(self.keys) - 1)
             ok = self.keys[to] == key
             at, node = at[some[ok]], self.child[to[ok]]
             n += 1
@@ -128,7 +130,7 @@ class Lattices:
         self.start = np.zeros(0, np.int64)  # of each chunk, its last node, where paths start
         self.first = np.zeros(1, np.int64)  # of each node, its first arc; one more at the end
         self.cum = np.zeros(0, np.float32)  # of each arc: cumulative probability in its node
-        self.log, self.rest = np.zeros(0), np.zeros(0)  # log-probability of each arc, and of its siblings together
+        self.log, self.rest = np.zeros(0), np.zeros(0)  # log-probability of each arc, and the probability of its siblings together
         self.next, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)  # next node (-1: start of the chunk)
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
@@ -209,8 +211,6 @@ class Lattices:
             # what the siblings have; those of a likely arc are summed, as 1 - p would lose their digits
             likely = log > -0.5
             rest = np.where(likely, np.add.reduceat(np.where(likely, 0.0, prob), first[:-1])[here], 1 - prob)
-        with np.errstate(divide="ignore"):
-            rest = np.log(rest)
         arcs_before, nodes_before = len(self.cum), len(self.first) - 1
         self.start = np.concatenate([self.start, node[begin + sizes - 1] + nodes_before])
         self.first = np.concatenate([self.first[:-1], first + arcs_before])
@@ -268,12 +268,28 @@ def walk(lat: Lattices, node: np.ndarray, seed: np.ndarray, salt: int) -> tuple[
     return out, count
 
 
-def truncated(place: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel variates at ``place`` given that they are under ``top``; minus infinity where there is no mass."""
-    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-        # below top by log1p of what exceeds it, so that large differences keep their digits
-        g = top - np.logaddexp(0.0, np.log(-np.log(u)) + top - place)
-    return np.where(np.isneginf(place), -np.inf, g)
+def below(top: float, before: np.ndarray, mass: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbel variates at ``before + log(mass)`` given that they are under ``top``, as x of ``top - log1p(x)``: the least x is the largest variate, infinity stands where there is no mass."""
+    with np.errstate(over="ignore", divide="ignore"):
+        return -np.log(u) * np.exp(top - before) / mass
+
+
+@dataclass
+class Entries:
+    """Queue entries of a path from position ``since`` on, all truncated at the path's value ``top``."""
+
+    x: np.ndarray
+    top: float
+    before: np.ndarray  # log-probability of the prefix before each
+    since: int
+    taken: dict[int, list[int]]  # of popped entries: the arcs gone from there
+
+    def best(self) -> tuple[float, int]:
+        """The largest value (minus infinity: none) and its position."""
+        if not len(self.x):
+            return -np.inf, 0
+        i = int(self.x.argmin())
+        return float(self.top - np.log1p(self.x[i])), self.since + i
 
 
 @dataclass
@@ -299,7 +315,7 @@ def top_k(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> Iterator
     text_ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     arc_ends = np.concatenate([[0], np.cumsum(count)])[text_ends]
     found: list[list[Found]] = []
-    queues: list[list] = []  # of each text: for each path its entries' values, places, and siblings taken
+    queues: list[list[Entries]] = []  # of each text, for each path
     for i in range(len(texts)):
         own = arcs[arc_ends[i] : arc_ends[i + 1]]
         chunk = chunk_at[arc_ends[i] : arc_ends[i + 1]] - text_ends[i]
@@ -311,7 +327,7 @@ def top_k(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> Iterator
         for i, queue in enumerate(queues):
             if len(found[i]) != turn - 1:
                 continue
-            best, path, at = max(((float(e[0].max(initial=-np.inf)), -n, e[3] + int(e[0].argmax()) if len(e[0]) else 0) for n, e in enumerate(queue)), default=(-np.inf, 0, 0))
+            best, path, at = max((v, -n, i) for n, (v, i) in enumerate(e.best() for e in queue))
             if best == -np.inf:
                 continue
             if turn == k + 1:
@@ -345,18 +361,17 @@ def top_k(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> Iterator
         yield own, last.value if last else -np.inf
 
 
-def entries(lat: Lattices, arcs: np.ndarray, since: int, value: float, seed: int, path: int) -> list:
-    """Queue entries of a new path from position ``since`` on: values, places before the siblings' own, siblings taken, ``since``."""
+def entries(lat: Lattices, arcs: np.ndarray, since: int, value: float, seed: int, path: int) -> Entries:
+    """Those of a new path that leaves an old one just before ``since``."""
     log = lat.log[arcs]
     before = (np.cumsum(log) - log)[since:]
     u = uniform(np.uint64(seed) + np.arange(since, len(arcs), dtype=np.uint64) * np.uint64(0xA0761D6478BD642F), 100 + path)
-    return [truncated(before + lat.rest[arcs[since:]], np.float64(value), u), before, {}, since]
+    return Entries(below(value, before, lat.rest[arcs[since:]], u), value, before, since, {})
 
 
-def take_sibling(lat: Lattices, entry: list, arcs: np.ndarray, at: int, value: float, seed: int, turn: int) -> int:
+def take_sibling(lat: Lattices, own: Entries, arcs: np.ndarray, at: int, value: float, seed: int, turn: int) -> int:
     """Draws a sibling of the path's arc at the popped entry, in proportion, and puts what is left of it back."""
-    values, before, taken, since = entry
-    gone = taken.setdefault(at, [int(arcs[at])])
+    gone = own.taken.setdefault(at, [int(arcs[at])])
     node_first = int(arcs[at])
     while node_first > 0 and lat.cum[node_first - 1] < 1.5:
         node_first -= 1
@@ -369,7 +384,10 @@ def take_sibling(lat: Lattices, entry: list, arcs: np.ndarray, at: int, value: f
     chosen = others[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), "right")), len(others) - 1)]
     gone.append(chosen)
     left = sum(float(np.exp(lat.log[x])) for x in others if x != chosen)
-    values[at - since] = truncated(np.array([before[at - since] + np.log(left)]), np.float64(value), np.array([again]))[0] if left > 0 else -np.inf
+    i = at - own.since
+    with np.errstate(over="ignore"):  # under the popped value now, in terms of the path's
+        x = below(value, own.before[i], np.float64(left), np.float64(again))
+        own.x[i] = np.expm1(own.top - value + np.log1p(x))
     return chosen
 
 

@@ -41,7 +41,7 @@ def winning_cycles(spark: SparkSession, party: str) -> DataFrame:
     return dims.cycles(spark).where(won if party == "democrat" else ~won).select("cycle")
 
 
-def electoral_threshold(party: str = "democrat") -> float:
+def elector_majority_share(party: str = "democrat") -> float:
     """The two-party share at which the electors are won as often as not."""
     share = np.array(list(dims.TWO_PARTY_SHARE.values()))
     won = np.array([c in dims.ELECTORS_WON for c in dims.TWO_PARTY_SHARE], float)
@@ -61,7 +61,7 @@ def estimate_moments(panel: DataFrame, party: str = "democrat") -> Moments:
     cov = {(r.a, r.b): r["cov"] for r in aggregates.pairwise_covariance(rows.where(F.col("bloc").isin(race)), "cycle", "bloc", "x").collect()}
     sigma = linalg.nearest_psd(np.array([[cov.get((a, b), 0.0) for b in race] for a in race]))
     rest = [b for s in ("religion", "gender") for b in dims.BLOCS[s]]
-    return Moments(np.array([mu.get(b, 0.5) for b in race]), sigma, {b: mu.get(b, 0.5) for b in rest}, electoral_threshold(party))
+    return Moments(np.array([mu.get(b, 0.5) for b in race]), sigma, {b: mu.get(b, 0.5) for b in rest}, elector_majority_share(party))
 
 
 def delta_covariance(panel: DataFrame, least: int = 3) -> np.ndarray | None:

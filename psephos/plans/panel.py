@@ -303,7 +303,7 @@ def overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_nationkey, o_orderpriority AS bloc, round(d, 4) AS delta, rank() OVER (PARTITION BY c_nationkey ORDER BY abs(round(d, 4)) DESC, o_orderpriority) AS place
+SELECT c_nationkey, o_orderpriority AS bloc, round(d, 7) AS delta, rank() OVER (PARTITION BY c_nationkey ORDER BY abs(round(d, 7)) DESC, o_orderpriority) AS place
 FROM (SELECT c_nationkey, o_orderpriority, avg(o_totalprice) - avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS d FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) WHERE d IS NOT NULL""")
 def coalition_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shifted less baseline means of each bloc, the largest movers first."""
@@ -311,5 +311,5 @@ def coalition_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     moved = F.avg("o_totalprice") - F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")))
-    out = rows.groupBy("c_nationkey", F.col("o_orderpriority").alias("bloc")).agg(F.round(moved, 4).alias("delta")).where("delta IS NOT NULL")
+    out = rows.groupBy("c_nationkey", F.col("o_orderpriority").alias("bloc")).agg(F.round(moved, 7).alias("delta")).where("delta IS NOT NULL")
     return out.withColumn("place", F.rank().over(Window.partitionBy("c_nationkey").orderBy(F.desc(F.abs("delta")), "bloc")).cast("long"))  # five blocs each

@@ -17,9 +17,9 @@ def test_simplex():
     assert np.allclose(linalg.onto_simplex(np.array([0.2, 0.3, 0.5])), [0.2, 0.3, 0.5])
 
 
-def test_electoral_threshold():
-    assert pipeline.electoral_threshold() == pytest.approx(0.5066, abs=1e-4)
-    assert pipeline.electoral_threshold("republican") == pytest.approx(0.4934, abs=1e-4)
+def test_elector_majority_share():
+    assert pipeline.elector_majority_share() == pytest.approx(0.5066, abs=1e-4)
+    assert pipeline.elector_majority_share("republican") == pytest.approx(0.4934, abs=1e-4)
 
 
 def test_max_sharpe_known_weights():

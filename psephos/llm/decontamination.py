@@ -1,10 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare pairs of words as seeds, then Smith-Waterman alignment.
 
 The benchmark is the query set. It is read in blocks of bounded size; each
 block goes to all tasks, and each makes two passes over the documents: one
-counts the documents that hold each n-gram of the block, one finds the seeds
-and aligns. Seeds are the rarest n-gram of every run of ``window`` n-grams of an
-item, so however common an item is, each part of it has seeds.
+counts the documents that hold each pair of neighbouring words of the block,
+one finds the seeds and aligns. The search loses no alignment: one of score s
+has at most matches - s edits, so its matches form matches - s + 1 runs at
+most, and s - 1 pairs of neighbouring words at least are intact in it. The
+most frequent pairs of a passage, (s - 1) // 2 of them, are no seeds, and as
+many fewer are asked for.
 """
 
 from __future__ import annotations
@@ -25,20 +28,23 @@ WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class Params:
-    """``block_words`` bounds the words of items that are broadcast at once."""
+    """``block_words`` bounds the words of items that are broadcast at once, ``hits`` the seeds found that are held at once.
+
+    ``n`` is the least score and the least length of an item, in words; an edit
+    must cost as much as a match gives, or more.
+    """
 
     n: int = 3
-    window: int = 5
     chunk: int = 64
     stride: int = 32
     least: float = 0.4
     match: int = 1
     mismatch: int = -1
     gap: int = -1
-    pad: int = 12
     block_words: int = 200_000
     slice_bytes: int = 4 << 20
     candidates: int = 2048
+    hits: int = 1 << 20
 
 
 @dataclass
@@ -49,10 +55,10 @@ class Block:
     number: dict[str, int]
     passages: list[np.ndarray]
     item_of: list[int]
-    grams: np.ndarray  # sorted codes of all n-grams
+    grams: np.ndarray  # sorted codes of all pairs of neighbouring words
 
 
-def codes(numbers: np.ndarray, n: int) -> np.ndarray:
+def codes(numbers: np.ndarray, n: int = 2) -> np.ndarray:
     """A code for each n-gram of word numbers; -1 where a word is outside the block (0)."""
     m = len(numbers) - n + 1
     if m <= 0:
@@ -75,7 +81,7 @@ def block_of(items: list[tuple[object, list[str]]], p: Params) -> Block:
             if len(own[at : at + p.chunk]) >= p.n:
                 passages.append(own[at : at + p.chunk])
                 item_of.append(k)
-    grams = np.unique(np.concatenate([codes(x, p.n) for x in passages])) if passages else np.zeros(0, np.int64)
+    grams = np.unique(np.concatenate([codes(x) for x in passages])) if passages else np.zeros(0, np.int64)
     return Block([i for i, _ in items], number, passages, item_of, grams)
 
 
@@ -113,14 +119,14 @@ def lookup(found: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def gram_counts(rows: DataFrame, shared, p: Params) -> np.ndarray:
-    """Documents that hold each n-gram of the block."""
+    """Documents that hold each pair of neighbouring words of the block."""
 
     def run(batches):
         b = shared.value
         n = np.zeros(len(b.grams), np.int64)
         for batch in slices(batches, p.slice_bytes):
             _, flat, text = read(batch, b.number)
-            c = codes(flat, p.n)
+            c = codes(flat)
             here = np.flatnonzero(c >= 0)
             at = lookup(c[here], b.grams)
             here, at = here[at >= 0], at[at >= 0]
@@ -131,21 +137,49 @@ def gram_counts(rows: DataFrame, shared, p: Params) -> np.ndarray:
 
     counted = rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     out = np.zeros(len(shared.value.grams), np.int64)
-    for r in counted.collect():  # n-grams of a block at most
+    for r in counted.collect():  # pairs of a block at most
         out[r.gram] = r.n
     return out
 
 
-def seeds_of(b: Block, n: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted codes, passage and position of the rarest n-gram of each run of ``window`` n-grams."""
-    out = set()
+def least_scores(lengths: np.ndarray, p: Params) -> np.ndarray:
+    """The least score of an alignment that counts, for passages of so many words."""
+    return np.maximum(p.n, np.ceil(p.least * lengths - 1e-9)).astype(np.int64)
+
+
+def seeds_of(b: Block, n: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted codes, passage and position of the seeds, and how many of its seeds each passage needs to align."""
+    pairs = least_scores(np.array([len(x) for x in b.passages], np.int64), p) - 1
+    left_out = pairs // 2
+    found = [(np.zeros(0, np.int64),) * 3]
     for k, x in enumerate(b.passages):
-        c = codes(x, p.n)
-        rank = list(zip(n[lookup(c, b.grams)].tolist(), c.tolist(), range(len(c)), strict=True))
-        for at in range(max(1, len(rank) - p.window + 1)):
-            _, code, j = min(rank[at : at + p.window])
-            out.add((code, k, j))
-    return tuple(np.array(x, np.int64) for x in zip(*sorted(out), strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        c = codes(x)
+        own = np.argsort(-n[lookup(c, b.grams)], kind="stable")[left_out[k] :]
+        found.append((c[own], np.full(len(own), k), own))
+    code, passage, position = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((position, passage, code))
+    return code[order], passage[order], position[order], pairs - left_out
+
+
+def windows_of(doc: np.ndarray, pos: np.ndarray, passage: np.ndarray, position: np.ndarray, length: np.ndarray, least: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text, passage, start and stop of each window of a text with enough of a passage's seeds.
+
+    An alignment keeps to ``length - least + 1`` neighbouring diagonals. A band
+    is twice as wide and begins each so many, so one band holds all of it.
+    """
+    step = length - least + 1
+    shift = int(length.max())
+    band = (pos - position + shift) // step[passage]
+    doc, passage, position = np.tile(doc, 2), np.tile(passage, 2), np.tile(position, 2)
+    band = np.concatenate([band, np.maximum(band - 1, 0)])
+    many = int(band.max()) + 1
+    at = np.unique(((doc * len(length) + passage) * many + band) * shift + position)
+    at, count = np.unique(at // shift, return_counts=True)
+    enough = count >= need[at // many % len(length)]
+    at = at[enough]
+    doc, passage, band = at // many // len(length), at // many % len(length), at % many
+    start = band * step[passage] - shift
+    return doc, passage, np.maximum(start, 0), start + 2 * step[passage] + length[passage]
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,6 +228,17 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]], p: Params) -> list[tuple[f
     return out
 
 
+def parts(text: np.ndarray, many: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts places in order of their text, each worth ``many`` hits, so that a part has about ``most`` hits and no text is cut."""
+    start = 0
+    ends = np.flatnonzero(np.append(text[1:] != text[:-1], True)) + 1 if len(text) else []
+    total = np.concatenate([[0], np.cumsum(many)])
+    for end in ends:
+        if total[end] - total[start] >= most or end == len(text):
+            yield start, int(end)
+            start = int(end)
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", p: Params = Params()  # noqa: B008
 ) -> DataFrame:
@@ -202,8 +247,8 @@ def contaminated(
     ``score`` is the best local alignment's score over that of a full match of
     the passage (an item, or ``chunk`` words of a longer one); ``start`` and
     ``stop`` are its words in the document. Words are compared in lower case
-    without punctuation. Items of under ``n`` words, null or empty ones never
-    match, nor do null or empty texts. Rows with one id give one row for an
+    without punctuation. An alignment with a score of under ``n`` words does not
+    count, whatever its share. Items of under ``n`` words, null or empty ones never match, nor do null or empty texts. Rows with one id give one row for an
     item, the best; a null id is kept. The passes read every document whole.
     """
     spark = docs.sparkSession
@@ -221,32 +266,32 @@ def contaminated(
             from pyspark.sql.pandas.types import to_arrow_type
 
             b = shared.value
-            code, passage, position = seeds.value
+            code, passage, position, need = seeds.value
+            length = np.array([len(x) for x in b.passages], np.int64)
+            least = least_scores(length, p)
             table, first = np.unique(code, return_index=True)
             many = np.diff(np.append(first, len(code)))
             for batch in slices(batches, p.slice_bytes):
                 texts, flat, text = read(batch, b.number)
                 begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-                c = codes(flat, p.n)
+                c = codes(flat)
                 here = np.flatnonzero(c >= 0)
                 at = lookup(c[here], table)
                 here, at = here[at >= 0], at[at >= 0]
-                spread = np.repeat(np.arange(len(here)), many[at])
-                nth = np.arange(len(spread)) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
-                seed = first[at][spread] + nth
-                doc, pos = text[here][spread], here[spread] - begin[text[here][spread]]
-                # one window for each document, passage and band of diagonals
-                band = (pos - position[seed] + p.chunk) // p.pad
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                windows = sorted(set(zip(doc.tolist(), passage[seed].tolist(), band.tolist(), strict=True)))
-                for lo in range(0, len(windows), p.candidates):
-                    some = windows[lo : lo + p.candidates]
-                    starts = [max(0, g * p.pad - p.chunk - p.pad) for _, _, g in some]
-                    pairs = [(b.passages[k], texts[d][s : g * p.pad - p.chunk + 2 * p.pad + len(b.passages[k])]) for (d, k, g), s in zip(some, starts, strict=True)]
-                    for (d, k, _), s, (score, x, y) in zip(some, starts, align(pairs, p), strict=True):
-                        key = d, b.item_of[k]
-                        if score >= p.least and (key not in best or score > best[key][0]):
-                            best[key] = score, s + x, s + y
+                for lo, hi in parts(text[here], many[at], p.hits):
+                    spread = np.repeat(np.arange(lo, hi), many[at[lo:hi]])
+                    nth = np.arange(len(spread)) - np.repeat(np.cumsum(many[at[lo:hi]]) - many[at[lo:hi]], many[at[lo:hi]])
+                    seed = first[at][spread] + nth
+                    doc = text[here][spread]
+                    found = windows_of(doc, here[spread] - begin[doc], passage[seed], position[seed], length, least, need)
+                    windows = list(zip(*(x.tolist() for x in found), strict=True))
+                    for some in (windows[i : i + p.candidates] for i in range(0, len(windows), p.candidates)):
+                        aligned = align([(b.passages[k], texts[d][x:y]) for d, k, x, y in some], p)
+                        for (d, k, s, _), (score, x, y) in zip(some, aligned, strict=True):
+                            key = d, b.item_of[k]
+                            if score * length[k] > least[k] - 0.5 and (key not in best or score > best[key][0]):
+                                best[key] = score, s + x, s + y
                 hits = sorted(best.items())
                 ids = batch.column(0).take(pa.array([d for (d, _), _ in hits], pa.int64()))
                 of = pa.array([b.items[k] for (_, k), _ in hits], to_arrow_type(item_type))

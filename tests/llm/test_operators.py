@@ -286,6 +286,33 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hits", [1 << 20, 10])
+def test_edited_copies_against_brute_force(spark, hits):
+    rng = np.random.default_rng(5)
+    draw = lambda n: [f"w{i}" for i in rng.integers(0, 60, n)]
+    items = [draw(n) for n in (4, 9, 15, 22, 40, 59, 64)]
+    texts = []
+    for every, kind in itertools.product((2, 3, 4, 5, 6), ("change", "add", "drop")):
+        for item in items:
+            copy = []
+            for i, w in enumerate(item):
+                edit = i % every == every - 1
+                copy += [w, f"new{i}"] if edit and kind == "add" else [f"new{i}"] if edit and kind == "change" else [] if edit else [w]
+            texts.append(draw(20) + copy + draw(20))
+    p = decontamination.Params(hits=hits)
+    want = {}
+    for d, k in itertools.product(range(len(texts)), range(len(items))):
+        number = {w: i for i, w in enumerate({*texts[d], *items[k]}, 1)}
+        score = brute_alignment([number[w] for w in items[k]], [number[w] for w in texts[d]])
+        if score / len(items[k]) >= p.least and score >= p.n:
+            want[d, k] = score / len(items[k])
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, bench, p=p).collect()}
+    assert got.keys() == want.keys() and len(want) > len(texts) / 2
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_media_formats_are_found_and_carved(spark):
     import gzip
     import io

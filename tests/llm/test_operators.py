@@ -11,7 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from psephos.llm import decontamination, langid, line_dedup, lm, media, pieces, quality, queries, secrets, sharding, simhash
+import corpus_pipeline
+from psephos.llm import decontamination, langid, line_dedup, lm, media, pieces, quality, queries, secrets, sharding, simhash, similar
 from psephos.llm._shared import components, crc_mod
 
 MODEL = queries.PIECE_MODEL
@@ -103,6 +104,35 @@ def test_links_lose_nothing(spark, bucket_rows):
     assert got == {(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 3}
 
 
+@pytest.mark.parametrize("bucket_rows", [2, 100])
+def test_similar_texts_against_brute_force(spark, bucket_rows):
+    rng = np.random.default_rng(8)
+    rows = []
+    for group in range(30):  # copies with some words changed, their similarity about 0.7 to 1
+        text = [f"v{i}" for i in rng.integers(0, 5000, 150)]
+        for edits in (0, 0, 1, 2, 3, 4, 5):
+            copy = list(text)
+            for at in rng.integers(0, 150, edits):
+                copy[at] = f"e{rng.integers(0, 9999)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000, ""), (1001, None), (1002, "one two"), (1003, "ONE  two"), (None, rows[0][1])]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in rows if i is not None for w in [(t or "").lower().split()]}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if v == high else v for k, v in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.id: r.component for r in similar.near_duplicates(docs, bucket_rows=bucket_rows).collect()}
+    if bucket_rows == 2:  # every group is large, so the bound on pairs shows
+        assert got.keys() == root.keys() and sum(got[i] == root[i] for i in root) >= 0.98 * len(root)
+        assert all(root[c] == root[i] for i, c in got.items())
+        return
+    assert got == root
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([*set(root.values()), None], key=str)
+
+
 def test_components_against_union_find(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(500 + i, 501 + i) for i in range(40)] + [(900, 1000 + i) for i in range(50)] + [(7, 7)]

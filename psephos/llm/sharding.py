@@ -20,46 +20,59 @@ def home(id_col: Column, shards: int, seed: int) -> Column:
 
 
 def shuffle_into_shards(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, seed: int = 7, bucket_bytes: int = 8 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, seed: int = 7, bucket_bytes: int = 4 << 20, task_bytes: int = 32 << 20
 ) -> DataFrame:
     """Deals every row to a shard and a random slot in it: ``id, text, size, shard, slot, grown_shard``.
 
     Pass one scatters rows by a seeded hash of (id, text) into the buckets of
-    their shard, as many as hold ``bucket_bytes`` each. Pass two shuffles each
-    bucket by Fisher-Yates (``shuffle`` on the array of its rows, which are in
-    hash order before, in tasks whose rows are sorted by bucket: a rerun task
-    draws the same order) and numbers the slots: buckets lie one after
-    the other, so slots are gapless from 0. ``size`` is the text's UTF-8 bytes
-    plus 8 (null text: 8). A null id counts as the empty one. Rows that repeat
-    id and text fall into one bucket and take neighbouring turns there like any
-    others. An empty table gives an empty result.
+    their shard, as many as hold ``bucket_bytes`` each; the only shuffle of
+    texts brings each bucket to one of total / ``task_bytes`` tasks. Pass two
+    shuffles each bucket by Fisher-Yates (``shuffle`` on the array of its rows)
+    and numbers the slots: buckets lie one after the other, so slots are
+    gapless from 0. Where a bucket starts is counted from hashes beforehand and
+    rides along with its rows.
 
-    The shuffled buckets are written to the shared folder once and read back,
-    so slots can't change when an executor is lost.
+    The order is fixed by the seed and the rows: neither a rerun task nor the
+    session's number of shuffle partitions changes it, as the number of tasks
+    comes from the bytes and each task draws for its buckets in order.
+
+    A bucket of over four times its size, as rows that repeat id and text make
+    it, is cut by the rows' position in the input into parts of ``bucket_bytes``.
+    ``size`` is the text's UTF-8 bytes plus 8 (null text: 8). A null id counts
+    as the empty one. An empty table gives an empty result.
     """
     size = F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long") + 8
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), size.alias("size"))
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), size.alias("size"), F.monotonically_increasing_id().alias("at"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    mixed = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), "text")
-    dealt = rows.withColumn("shard", home(F.col("id"), shards, seed)).withColumn("turn", mixed)
+    turn = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), "text")
+    dealt = rows.withColumn("shard", home(F.col("id"), shards, seed)).withColumn("turn", turn)
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "turn"), F.lit(buckets)))
-    groups = dealt.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "text", "size"))).alias("rows"))
-    shuffled = groups.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle("rows", seed).alias("rows"))
-    shuffled = shuffled.select("shard", "bucket", F.posexplode("rows").alias("pos", "row"))
-    stored = durable(shuffled.select("shard", "bucket", "pos", "row.id", "row.text", "row.size"), "buckets")
-    starts = stored.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return stored.join(starts, ["shard", "bucket"]).select(
-        "id", "text", "size", "shard", (F.col("start") + F.col("pos")).cast("long").alias("slot"),
-        home(F.col("id"), shards + 1, seed).alias("grown_shard"),
-    )
+    sizes = durable(dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")), "bucket-sizes")
+    parts = F.least(F.col("n"), F.ceil(F.col("bytes") / bucket_bytes))
+    large = sizes.where((F.col("bytes") > 4 * bucket_bytes) & (F.col("n") > 1)).select("shard", "bucket", parts.cast("long").alias("parts"))
+    if large.isEmpty():
+        dealt, sizes = dealt.withColumn("part", F.lit(0).cast("long")), sizes.withColumn("part", F.lit(0).cast("long"))
+    else:
+        of = F.pmod(F.xxhash64(F.lit(seed + 2), "at"), F.coalesce("parts", F.lit(1)))
+        dealt = dealt.join(large, ["shard", "bucket"], "left").withColumn("part", of)
+        sizes = durable(dealt.groupBy("shard", "bucket", "part").agg(F.count(F.lit(1)).alias("n")), "part-sizes")
+    before = Window.partitionBy("shard").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", "bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    row = F.struct("turn", "id", "text", "size")
+    both = dealt.select("shard", "bucket", "part", row.alias("row"), F.lit(None).cast("long").alias("start"))
+    both = both.unionByName(starts.withColumn("row", F.lit(None).cast(both.schema["row"].dataType)))
+    key = ["shard", "bucket", "part"]
+    groups = both.repartition(max(1, -(-total // task_bytes)), *key).groupBy(*key).agg(F.array_sort(F.collect_list("row")).alias("rows"), F.max("start").alias("start"))
+    shuffled = groups.sortWithinPartitions(*key).select("shard", "start", F.posexplode(F.shuffle("rows", seed)).alias("pos", "row"))
+    return shuffled.select(
+        "row.id", "row.text", "row.size", "shard", (F.col("start") + F.col("pos")).cast("long").alias("slot"),
+        home(F.col("row.id"), shards + 1, seed).alias("grown_shard"),
+    )
 
 
 def write_shards(docs: DataFrame, path: str | None = None, **params) -> str:
-    """Writes the shuffled rows as one folder ``shard=N`` for each shard: Parquet files that follow each other in slot order."""
+    """Writes the shuffled rows as one folder ``shard=N`` for each shard, with no further shuffle: a file holds whole buckets, each in slot order."""
     path = path or f"{shared_dir(docs.sparkSession)}/shards"
-    dealt = shuffle_into_shards(docs, **params).repartitionByRange("shard", "slot")
-    dealt.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    shuffle_into_shards(docs, **params).write.mode("overwrite").partitionBy("shard").parquet(path)
     return path

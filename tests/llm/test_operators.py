@@ -166,6 +166,24 @@ def test_shards(spark, docs):
     assert {r.id: r.shard for r in again} == home
 
 
+def test_shards_under_two_layouts_with_a_hot_row(spark):
+    rows = [(i, f"text {i} " * (i % 17)) for i in range(2000)] + [(7, "hot row")] * 1000 + [(None, None)] * 3
+    found = []
+    for n in (4, 13):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = sharding.shuffle_into_shards(docs, shards=5, bucket_bytes=4096, task_bytes=30_000).collect()
+        found.append(Counter((r.id, r.text, r.shard, r.slot) for r in got))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[0] == found[1] and Counter((i, t) for i, t, _, _ in found[0].elements()) == Counter(rows)
+    by = defaultdict(list)
+    for _, _, shard, slot in found[0].elements():
+        by[shard].append(slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    hot = sorted(slot for i, t, _, slot in found[0] if t == "hot row")
+    assert hot[0] < 200 and hot[-1] > len(by[next(s for i, t, s, _ in found[0] if t == "hot row")]) - 200  # spread over the whole shard
+
+
 def test_written_shards(spark, docs, tmp_path):
     path = sharding.write_shards(docs.select("doc_id", "text"), f"file://{tmp_path}/shards", shards=3)
     back = spark.read.parquet(path)

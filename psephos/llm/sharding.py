@@ -36,35 +36,37 @@ def shuffle_into_shards(
     session's number of shuffle partitions changes it, as the number of tasks
     comes from the bytes and each task draws for its buckets in order.
 
-    A bucket of over four times its size, as rows that repeat id and text make
-    it, is cut by the rows' position in the input into parts of ``bucket_bytes``.
-    ``size`` is the text's UTF-8 bytes plus 8 (null text: 8). A null id counts
-    as the empty one. An empty table gives an empty result.
+    Rows of a bucket of over four times its size, as rows that repeat id and
+    text make it, are dealt anew over all buckets of their shard, by their
+    position in the input. ``size`` is the text's UTF-8 bytes plus 8 (null
+    text: 8). A null id counts as the empty one. An empty table gives an empty
+    result.
     """
     size = F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long") + 8
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), size.alias("size"), F.monotonically_increasing_id().alias("at"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-total // (shards * bucket_bytes)))
+    rows = rows.withColumn("shard", home(F.col("id"), shards, seed))
+    total = {r.shard: r.bytes for r in rows.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}  # a row for each shard
+    many = F.element_at(F.array(*[F.lit(max(1, -(-total.get(s, 0) // bucket_bytes))).cast("long") for s in range(shards)]), F.col("shard") + 1)
     turn = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), "text")
-    dealt = rows.withColumn("shard", home(F.col("id"), shards, seed)).withColumn("turn", turn)
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "turn"), F.lit(buckets)))
-    sizes = durable(dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")), "bucket-sizes")
-    parts = F.least(F.col("n"), F.ceil(F.col("bytes") / bucket_bytes))
-    large = sizes.where((F.col("bytes") > 4 * bucket_bytes) & (F.col("n") > 1)).select("shard", "bucket", parts.cast("long").alias("parts"))
-    if large.isEmpty():
-        dealt, sizes = dealt.withColumn("part", F.lit(0).cast("long")), sizes.withColumn("part", F.lit(0).cast("long"))
-    else:
-        of = F.pmod(F.xxhash64(F.lit(seed + 2), "at"), F.coalesce("parts", F.lit(1)))
-        dealt = dealt.join(large, ["shard", "bucket"], "left").withColumn("part", of)
-        sizes = durable(dealt.groupBy("shard", "bucket", "part").agg(F.count(F.lit(1)).alias("n")), "part-sizes")
-    before = Window.partitionBy("shard").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    dealt = rows.withColumn("turn", turn).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "turn"), many))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return durable(rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")), "bucket-sizes")
+
+    sizes = counted(dealt)
+    large = sizes.where((F.col("bytes") > 4 * bucket_bytes) & (F.col("n") > 1)).select("shard", "bucket", F.lit(True).alias("large"))
+    if not large.isEmpty():
+        anew = F.when(F.col("large"), F.pmod(F.xxhash64(F.lit(seed + 2), "at"), many)).otherwise(F.col("bucket"))
+        dealt = dealt.join(large, ["shard", "bucket"], "left").withColumn("bucket", anew)
+        sizes = counted(dealt)
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     row = F.struct("turn", "id", "text", "size")
-    both = dealt.select("shard", "bucket", "part", row.alias("row"), F.lit(None).cast("long").alias("start"))
+    both = dealt.select("shard", "bucket", row.alias("row"), F.lit(None).cast("long").alias("start"))
     both = both.unionByName(starts.withColumn("row", F.lit(None).cast(both.schema["row"].dataType)))
-    key = ["shard", "bucket", "part"]
-    groups = both.repartition(max(1, -(-total // task_bytes)), *key).groupBy(*key).agg(F.array_sort(F.collect_list("row")).alias("rows"), F.max("start").alias("start"))
-    shuffled = groups.sortWithinPartitions(*key).select("shard", "start", F.posexplode(F.shuffle("rows", seed)).alias("pos", "row"))
+    tasks = max(1, -(-sum(total.values()) // task_bytes))
+    groups = both.repartition(tasks, "shard", "bucket").groupBy("shard", "bucket").agg(F.array_sort(F.collect_list("row")).alias("rows"), F.max("start").alias("start"))
+    shuffled = groups.sortWithinPartitions("shard", "bucket").select("shard", "start", F.posexplode(F.shuffle("rows", seed)).alias("pos", "row"))
     return shuffled.select(
         "row.id", "row.text", "row.size", "shard", (F.col("start") + F.col("pos")).cast("long").alias("slot"),
         home(F.col("row.id"), shards + 1, seed).alias("grown_shard"),

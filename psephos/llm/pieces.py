@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -51,28 +52,19 @@ class Model:
 
 
 def load(model_file: str, zipf: float = 10.0) -> Model:
-    """Reads the vocabulary of a byte-pair SentencePiece model with byte fallback; nothing is trained."""
+    """Reads the vocabulary of a byte-pair SentencePiece model with byte fallback; nothing is trained. Another kind of model is refused."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    if any(sp.get_score(i) > 0 or sp.get_score(i) % 1 for i in plain) or not sp.is_byte(sp.piece_to_id("<0x00>")):
+        raise ValueError("a byte-pair model with byte fallback is wanted: its scores are merge ranks, which are whole")
+    if sp.decode(sp.encode(odd := "\ufb01  x ")) != odd or not sp.encode("x", out_type=str)[0].startswith(MARK):
+        raise ValueError("a model with the identity normaliser and a dummy prefix is wanted")
     pieces = tuple((sp.id_to_piece(i), i, -float(np.log(-sp.get_score(i) + zipf))) for i in plain)
     return Model(pieces, sp.piece_to_id("<0x00>"), -float(np.log(2.0 * sp.get_piece_size() + zipf)), sp.get_piece_size())
 
 
-class Numbers(dict):
-    """Numbers keys as they come, and notes the new ones."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        self.new.append(key)
-        return n
-
-
 class Lattices:
     """Arcs of all chunks seen so far, in arrays; starts anew beyond ``max_arcs``."""
 
@@ -93,11 +85,6 @@ class Lattices:
         self.at = np.full(1 << 20, -1, np.int32)  # place of a transition by its hash; one of those that share a hash
         self.at[self.slot(self.keys)] = np.arange(len(self.keys))
         self.id, self.lp = np.array([i for _, i, _ in model.pieces], np.int32), np.array([w for _, _, w in model.pieces])
-        self.bytes_of = [b""] * model.size
-        for text, i, _ in model.pieces:
-            self.bytes_of[i] = text.replace(MARK, " ").encode()
-        for x in range(256):
-            self.bytes_of[model.bytes_at + x] = bytes([x])
         self.clear()
 
     @staticmethod
@@ -124,7 +111,7 @@ class Lattices:
         return out
 
     def clear(self) -> None:
-        self.number = Numbers()
+        self.number: dict[str, int] = {}
         self.unknown: dict[str, int] = {}  # characters outside the vocabulary, numbered after the pieces
         self.unknown_bytes: list[bytes] = []
         self.start = np.zeros(0, np.int64)  # of each chunk, its last node, where paths start
@@ -137,11 +124,11 @@ class Lattices:
         """Number of each chunk; lattices of new ones are built."""
         if len(self.cum) > self.max_arcs:
             self.clear()
-        got = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
-        if self.number.new:
-            self.build(self.number.new)
-            self.number.new = []
-        return got
+        new = [c for c in dict.fromkeys(chunks) if c not in self.number]
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.build(new)
+        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
 
     def fallback(self, c: str) -> tuple[int, float]:
         raw = c.encode("utf-8", "surrogatepass")
@@ -229,9 +216,34 @@ class Lattices:
             out.extend((p,) if p < size else (self.model.bytes_at + x for x in self.unknown_bytes[p - size]))
         return np.array(out, np.int32)
 
-    def decode(self, ids: Sequence[int]) -> bytes:
-        """The text of the ids, without the dummy prefix."""
-        return b"".join([self.bytes_of[i] for i in ids])[1:]
+
+class Bytes:
+    """The bytes of each piece, in one array; an id outside the vocabulary stands for U+FFFD, one without text (control) for nothing."""
+
+    def __init__(self, model: Model) -> None:
+        own = [b""] * model.size + ["\ufffd".encode()]
+        for text, i, _ in model.pieces:
+            own[i] = text.replace(MARK, " ").encode()
+        for x in range(256):
+            own[model.bytes_at + x] = bytes([x])
+        self.size = model.size
+        self.lengths = np.fromiter(map(len, own), np.int64, len(own))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(own), np.uint8)
+
+    def texts(self, ids: list[np.ndarray], block: int = 1 << 20) -> list[bytes]:
+        """The text of each list of ids, without the dummy prefix; a block of ids at a time."""
+        every = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        every = np.where((every >= 0) & (every < self.size), every, self.size)
+        lengths = self.lengths[every]
+        made = []
+        for at in range(0, len(every), block):
+            n = lengths[at : at + block]
+            ends = np.cumsum(n)
+            made.append(self.flat[np.repeat(self.starts[every[at : at + block]] - ends + n, n) + np.arange(ends[-1])].tobytes())
+        whole = b"".join(made)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, ids)])].tolist()
+        return [whole[a + 1 : b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def uniform(seed: np.ndarray, salt: int) -> np.ndarray:
@@ -268,7 +280,7 @@ def walk(lat: Lattices, node: np.ndarray, seed: np.ndarray, salt: int) -> tuple[
     return out, count
 
 
-def below(top: float, before: np.ndarray, mass: np.ndarray, u: np.ndarray) -> np.ndarray:
+def below(top: np.ndarray, before: np.ndarray, mass: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variates at ``before + log(mass)`` given that they are under ``top``, as x of ``top - log1p(x)``: the least x is the largest variate, infinity stands where there is no mass."""
     with np.errstate(over="ignore", divide="ignore"):
         return -np.log(u) * np.exp(top - before) / mass
@@ -307,23 +319,21 @@ def top_k(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> Iterator
     chunks = [CHUNK.findall(" " + t)[::-1] if t else [] for t in texts]  # from the end of the text to its start
     sizes = [len(c) for c in chunks]
     numbers = lat.numbers([c for own in chunks for c in own])
-    row = np.repeat(np.array(seeds, np.uint64), sizes)
+    seed_of = np.array(seeds, np.uint64)
+    row = np.repeat(seed_of, sizes)
     place = np.concatenate([np.arange(n) for n in sizes]).astype(np.uint64) if sizes else np.zeros(0, np.uint64)
     seed = row + place * np.uint64(0xD1B54A32D192ED03)
     arcs, count = walk(lat, lat.start[numbers], seed, 1)
     chunk_at = np.repeat(np.arange(len(numbers)), count)
     text_ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     arc_ends = np.concatenate([[0], np.cumsum(count)])[text_ends]
-    found: list[list[Found]] = []
-    queues: list[list[Entries]] = []  # of each text, for each path
-    for i in range(len(texts)):
-        own = arcs[arc_ends[i] : arc_ends[i + 1]]
-        chunk = chunk_at[arc_ends[i] : arc_ends[i + 1]] - text_ends[i]
-        value = float(-np.log(-np.log(uniform(np.array([seeds[i]], np.uint64), 7)))[0])
-        found.append([Found(own, chunk, float(lat.log[own].sum()), value)])
-        queues.append([entries(lat, own, 0, value, seeds[i], 1)])
+    first = -np.log(-np.log(uniform(seed_of, 7)))
+    paths = [(arcs[x:y], chunk_at[x:y] - text_ends[i]) for i, (x, y) in enumerate(zip(arc_ends[:-1].tolist(), arc_ends[1:].tolist(), strict=True))]
+    begun = entries(lat, paths, [0] * len(texts), first, seed_of, 1)
+    found: list[list[Found]] = [[f] for f, _ in begun]
+    queues: list[list[Entries]] = [[e] for _, e in begun]  # of each text, for each path
     for turn in range(2, k + 2):
-        begun: list[tuple[int, int, int, int, float]] = []  # text, path, position, arc, value
+        popped: list[tuple[int, int, int, float]] = []  # text, path, position, value
         for i, queue in enumerate(queues):
             if len(found[i]) != turn - 1:
                 continue
@@ -333,62 +343,85 @@ def top_k(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> Iterator
             if turn == k + 1:
                 found[i].append(Found(np.zeros(0, np.int64), np.zeros(0, np.int64), -np.inf, best))
                 continue
-            begun.append((i, -path, at, take_sibling(lat, queue[-path], found[i][-path].arcs, at, best, seeds[i], turn), best))
-        if turn == k + 1 or not begun:
+            popped.append((i, -path, at, best))
+        if turn == k + 1 or not popped:
             break
+        taken = take_siblings(lat, [(queues[i][path], found[i][path].arcs, at, value) for i, path, at, value in popped], seed_of[[x[0] for x in popped]], turn)
         starts, sow = [], []
-        for i, path, at, arc, _ in begun:
-            here = int(found[i][path].chunk[at])
-            lo, hi = text_ends[i] + here, text_ends[i + 1]
-            nodes = lat.start[numbers[lo:hi]].copy()
+        for (i, path, at, _), arc in zip(popped, taken, strict=True):
+            lo, hi = text_ends[i] + int(found[i][path].chunk[at]), text_ends[i + 1]
+            nodes = lat.start[numbers[lo:hi]]
             nodes[0] = lat.next[arc]
             starts.append(nodes)
             sow.append(seed[lo:hi])
         more, steps = walk(lat, np.concatenate(starts), np.concatenate(sow), turn)
         ends = np.concatenate([[0], np.cumsum(steps)])
-        a = 0
-        for (i, path, at, arc, value), nodes in zip(begun, starts, strict=True):
+        a, paths = 0, []
+        for (i, path, at, _), arc, nodes in zip(popped, taken, starts, strict=True):
             old, n = found[i][path], len(nodes)
-            tail = more[ends[a] : ends[a + n]]
             tail_chunk = np.repeat(np.arange(n), steps[a : a + n]) + old.chunk[at]
-            own = np.concatenate([old.arcs[:at], [arc], tail])
-            chunk = np.concatenate([old.chunk[:at], [old.chunk[at]], tail_chunk])
-            found[i].append(Found(own, chunk, float(lat.log[own].sum()), value))
-            queues[i].append(entries(lat, own, at + 1, value, seeds[i], turn))
+            paths.append((np.concatenate([old.arcs[:at], [arc], more[ends[a] : ends[a + n]]]), np.concatenate([old.chunk[: at + 1], tail_chunk])))
             a += n
+        values = np.array([x[3] for x in popped])
+        made = entries(lat, paths, [x[2] + 1 for x in popped], values, seed_of[[x[0] for x in popped]], turn)
+        for (i, *_), (f, e) in zip(popped, made, strict=True):
+            found[i].append(f)
+            queues[i].append(e)
     for own in found:
         last = own.pop() if len(own) == k + 1 else None
         yield own, last.value if last else -np.inf
 
 
-def entries(lat: Lattices, arcs: np.ndarray, since: int, value: float, seed: int, path: int) -> Entries:
-    """Those of a new path that leaves an old one just before ``since``."""
-    log = lat.log[arcs]
-    before = (np.cumsum(log) - log)[since:]
-    u = uniform(np.uint64(seed) + np.arange(since, len(arcs), dtype=np.uint64) * np.uint64(0xA0761D6478BD642F), 100 + path)
-    return Entries(below(value, before, lat.rest[arcs[since:]], u), value, before, since, {})
-
-
-def take_sibling(lat: Lattices, own: Entries, arcs: np.ndarray, at: int, value: float, seed: int, turn: int) -> int:
-    """Draws a sibling of the path's arc at the popped entry, in proportion, and puts what is left of it back."""
-    gone = own.taken.setdefault(at, [int(arcs[at])])
-    node_first = int(arcs[at])
-    while node_first > 0 and lat.cum[node_first - 1] < 1.5:
-        node_first -= 1
-    node_end = int(arcs[at])
-    while lat.cum[node_end] < 1.5:
-        node_end += 1
-    others = [x for x in range(node_first, node_end + 1) if x not in gone]
-    p = np.exp(lat.log[others])
-    u, again = uniform(np.array([seed, seed], np.uint64) + np.array([at, at + 1], np.uint64), 5000 + turn)
-    chosen = others[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), "right")), len(others) - 1)]
-    gone.append(chosen)
-    left = sum(float(np.exp(lat.log[x])) for x in others if x != chosen)
-    i = at - own.since
+def entries(lat: Lattices, paths: list[tuple[np.ndarray, np.ndarray]], since: list[int], values: np.ndarray, seeds: np.ndarray, turn: int) -> list[tuple[Found, Entries]]:
+    """The new path (arcs, chunks) of each text, and its queue entries from ``since`` on, where it leaves an old one; all texts at once."""
+    sizes = np.array([len(x) for x, _ in paths], np.int64)
+    arcs = np.concatenate([x for x, _ in paths]) if paths else np.zeros(0, np.int64)
+    log, total = lat.log[arcs], np.empty(len(arcs))
+    ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    sums = []
+    for a, b in zip(ends, ends[1:], strict=False):
+        np.cumsum(log[a:b], out=total[a:b])
+        sums.append(float(log[a:b].sum()))
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(arcs)) - np.repeat(np.array(ends[:-1], np.int64), sizes)
+    own = np.flatnonzero(at >= np.array(since, np.int64)[which])
+    which, at, before = which[own], at[own], total[own] - log[own]
+    u = uniform(seeds[which] + at.astype(np.uint64) * np.uint64(0xA0761D6478BD642F), 100 + turn)
+    x = below(values[which], before, lat.rest[arcs[own]], u)
+    ends = np.searchsorted(which, np.arange(len(sizes) + 1)).tolist()
+    out = []
+    for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        value = float(values[i])
+        out.append((Found(*paths[i], sums[i], value), Entries(x[a:b], value, before[a:b], since[i], {})))
+    return out
+
+
+def take_siblings(lat: Lattices, popped: list[tuple[Entries, np.ndarray, int, float]], seeds: np.ndarray, turn: int) -> list[int]:
+    """For each popped entry (entries, path, position, value) draws a sibling of the path's arc there, in proportion, and puts what is left of it back."""
+    own = np.array([arcs[at] for _, arcs, at, _ in popped])
+    node = np.searchsorted(lat.first, own, "right") - 1
+    lo, hi = lat.first[node].tolist(), lat.first[node + 1].tolist()
+    place = np.array([at for _, _, at, _ in popped], np.uint64)
+    u, again = uniform(seeds + place, 5000 + turn).tolist(), uniform(seeds + place + np.uint64(1), 5000 + turn)
+    taken, left = [], []
+    for i, (entry, _, at, _) in enumerate(popped):
+        gone = entry.taken.setdefault(at, [int(own[i])])
+        others = [x for x in range(lo[i], hi[i]) if x not in gone]
+        p = np.exp(lat.log[others]).tolist()
+        goal, n = u[i] * sum(p), 0
+        while n < len(p) - 1 and goal >= p[n]:
+            goal -= p[n]
+            n += 1
+        gone.append(others[n])
+        taken.append(others[n])
+        left.append(sum(p[:n]) + sum(p[n + 1 :]))
+    before = np.array([e.before[at - e.since] for e, _, at, _ in popped])
+    value, top = np.array([v for *_, v in popped]), np.array([e.top for e, *_ in popped])
     with np.errstate(over="ignore"):  # under the popped value now, in terms of the path's
-        x = below(value, own.before[i], np.float64(left), np.float64(again))
-        own.x[i] = np.expm1(own.top - value + np.log1p(x))
-    return chosen
+        x = np.expm1(top - value + np.log1p(below(value, before, np.array(left), again)))
+    for (entry, _, at, _), new in zip(popped, x.tolist(), strict=True):
+        entry.x[at - entry.since] = new
+    return taken
 
 
 SAMPLE = "sample int, log_prob double, perturbed double, inclusion double"
@@ -398,21 +431,28 @@ def sampled(docs: DataFrame, model_file: str, k: int, id_col: str, text_col: str
     model = docs.sparkSession.sparkContext.broadcast(load(model_file))
 
     def run(batches):
-        lat = Lattices(model.value)
+        lat, table = Lattices(model.value), Bytes(model.value)
         for b in slices(batches, slice_bytes):
             raw = b.column(2).to_pylist()
             seeds = [xxhash.xxh64_intdigest(x, seed) for x in b.column(1).to_pylist()]
             rows: list[tuple] = []
+            ids: list[np.ndarray] = []
             for i, (own, after) in enumerate(top_k(lat, [t.decode("utf-8", "replace") for t in raw], seeds, k)):
                 for n, f in enumerate(own):
-                    ids = lat.ids(f.arcs)
                     inclusion = 1.0 if after == -np.inf else float(-np.expm1(-np.exp(min(50.0, f.log_prob - after))))
-                    out = (len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), lat.decode(ids.tolist()) == raw[i]) if digest else (ids,)
-                    rows.append((i, n + 1, f.log_prob, f.value, inclusion, *out))
-            columns = list(zip(*rows, strict=True)) or [[]] * (5 + 3 * digest + (not digest))
-            kinds = [pa.int32(), pa.float64(), pa.float64(), pa.float64(), *([pa.int64(), pa.string(), pa.bool_()] if digest else [pa.list_(pa.int32())])]
+                    rows.append((i, n + 1, f.log_prob, f.value, inclusion))
+                    ids.append(lat.ids(f.arcs))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            made = [pa.array(c, t) for c, t in zip(columns[1:], [pa.int32(), pa.float64(), pa.float64(), pa.float64()], strict=True)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            if digest:
+                back = [t == raw[i] for i, t in zip(columns[0], table.texts(ids), strict=True)]
+                hashes = [hashlib.sha256(x.astype("<i4", copy=False).tobytes()).hexdigest() for x in ids]
+                made += [pa.array(sizes), pa.array(hashes, pa.string()), pa.array(back, pa.bool_())]
+            else:
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                made.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32())))
             names = ["sample", "log_prob", "perturbed", "inclusion", *(["n_pieces", "ids_sha256", "round_trip"] if digest else ["ids"])]
-            made = [pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(columns[0], pa.int64())), *made], ["id", *names])
 
     text = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
@@ -441,12 +481,19 @@ def segmentation_digests(
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``, the text of its ids; null ids give a null. A column of that name is replaced."""
+    """``encoded`` with ``decoded``, the text of its ids; null ids give a null. A column of that name is replaced.
+
+    An id outside the vocabulary, or a null among the ids, becomes U+FFFD; so do bytes that are no UTF-8.
+    """
     model = encoded.sparkSession.sparkContext.broadcast(load(model_file))
 
-    @F.pandas_udf("string")
-    def text(ids):
-        lat = Lattices(model.value)
-        return ids.map(lambda x: None if x is None else lat.decode(list(x)).decode("utf-8", "replace"))
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = Bytes(model.value)
+        for s in batches:
+            known = s.notna()
+            ids = [np.array([-1 if i is None or i != i else i for i in x], np.int64) for x in s[known]]
+            out = pd.Series([None] * len(s), index=s.index, dtype=object)
+            out[known] = [t.decode("utf-8", "replace") for t in table.texts(ids)]
+            yield out
 
-    return encoded.withColumn("decoded", text(F.col(ids_col)))
+    return encoded.withColumn("decoded", F.pandas_udf(texts, "string")(F.col(ids_col)))

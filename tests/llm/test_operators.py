@@ -283,6 +283,13 @@ def test_segmentations_round_trip(docs):
     assert pieces.segmentation_digests(docs, MODEL).where("NOT round_trip").count() == 0
 
 
+def test_decode_of_odd_ids(spark):
+    rows = spark.createDataFrame([(1, [10**6]), (2, [-1, 70]), (3, None), (4, []), (5, [70, None])], "k int, ids array<int>")
+    got = {r.k: r.decoded for r in pieces.decode(rows, MODEL).collect()}
+    assert got[3] is None and got[4] == "" and len(got) == 5
+    assert "\ufffd" in got[5] and pieces.decode(rows.limit(0), MODEL).count() == 0
+
+
 def test_segmentation_does_not_depend_on_batches():
     model = pieces.load(MODEL)
     texts = [t or "" for _, t in DOCS if t != LONG]

@@ -90,7 +90,7 @@ def test_fingerprints_and_components(spark, docs):
     assert group[8] == group[9] == 8 and group[4] == group[5] == group[7] == 4 and group[6] == 6
 
 
-@pytest.mark.parametrize("bucket_rows", [8, 200])
+@pytest.mark.parametrize("bucket_rows", [2, 8, 200])
 def test_links_lose_nothing(spark, bucket_rows):
     rng = np.random.default_rng(1)
     base = [int(x) for x in rng.integers(0, 1 << 63, 40)]
@@ -98,10 +98,29 @@ def test_links_lose_nothing(spark, bucket_rows):
     for b in base[:10]:  # a dense group around each
         for _ in range(12):
             fps.add(b ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(1, 5), replace=False)))
-    fps = sorted(fps)
-    rows = spark.createDataFrame([(i, simhash.signed(f)) for i, f in enumerate(fps)], "node long, fp long")
-    got = {tuple(sorted((r.a, r.b))) for r in simhash.links(rows, bucket_rows=bucket_rows).collect()}
-    assert got == {(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    fps = sorted(simhash.signed(f) for f in fps)
+    rows = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {(r.a, r.b) for r in simhash.links(rows, bucket_rows=bucket_rows).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+
+
+def test_links_in_a_dense_ball(spark):
+    rng = np.random.default_rng(3)
+    centre = int(rng.integers(0, 1 << 63))
+    fps = {centre}
+    while len(fps) < 3000:  # within three bits of one fingerprint
+        fps.add(centre ^ sum(1 << int(x) for x in rng.choice(64, 3, replace=False)))
+    fps = np.array(sorted(simhash.signed(f) for f in fps), np.int64)
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(int(f),) for f in fps], "fp long")).collect()}
+    near = np.bitwise_count((fps[:, None] ^ fps[None]).view(np.uint64)) <= 3
+    assert got == {(int(fps[i]), int(fps[j])) for i, j in np.argwhere(near) if i < j}
+
+
+def test_a_null_id_links_both_sides(spark, monkeypatch):
+    rows = [(1, 0b0), (None, 0b111), (2, 0b111111), (3, 1 << 40), (None, 0b11 << 50)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: spark.createDataFrame(rows, "id long, fp long"))
+    got = Counter((r.id, r.component) for r in simhash.near_duplicates(spark.range(1)).collect())
+    assert got == Counter({(1, 1): 1, (2, 1): 1, (None, 1): 2, (3, 1): 1})
 
 
 @pytest.mark.parametrize("bucket_rows", [2, 100])

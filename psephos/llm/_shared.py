@@ -59,13 +59,13 @@ def crc_mod(id_col: Column, m: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % m
 
 
-def slices(batches: Iterator[pa.RecordBatch], max_bytes: int, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that each holds about ``max_bytes`` of text; one long text stands alone."""
+def slices(batches: Iterator[pa.RecordBatch], max_bytes: int, text: str = "text", max_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that each holds about ``max_bytes`` of text and ``max_rows`` rows at most; one long text stands alone."""
     for b in batches:
         start, size = 0, 0
-        lengths = pc.binary_length(b.column(b.schema.get_field_index(text))).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_pylist()
         for i, n in enumerate(lengths):
-            if i > start and size + n > max_bytes:
+            if i > start and (size + n > max_bytes or i - start >= max_rows):
                 yield b.slice(start, i - start)
                 start, size = i, 0
             size += n

@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from psephos.llm._shared import durable, slices
 
@@ -26,20 +28,20 @@ TOKEN = re.compile(rb"[\w\x80-\xff]+|[^\w\s\x80-\xff]+")
 
 @dataclass(frozen=True)
 class Params:
-    """``label_rows`` bounds the labelled sample, drawn by a seeded hash of the id; half of it sets the threshold.
+    """``label_rows`` bounds the labelled sample, drawn by a seeded hash of the id.
 
-    ``prior`` n-grams of raw text for each bucket smooth the target model. The
-    importance of a text of n n-grams is scaled to a text of ``length``, by
-    length / (n + shrink), so that long texts don't drown out short ones.
+    ``prior`` n-grams of raw text for each bucket smooth the target model.
+    ``errors`` standard errors are added to the estimated share of good
+    documents where the budget is not given. ``temper``, off by default,
+    divides the importance of a text of over so many n-grams by their number
+    over it, so that long texts don't drown out short ones.
     """
 
     buckets: int = 1 << 16
     label_rows: int = 50_000
-    prior: float = 5.0
-    length: float = 200.0
-    shrink: float = 20.0
-    keep_good: float = 0.995
-    slack: float = 0.01
+    prior: float = 1.0
+    errors: float = 2.0
+    temper: int | None = None
     seed: int = 3
     slice_bytes: int = 4 << 20
 
@@ -111,18 +113,26 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096, few: int = 10_000) ->
         inside = inside.where(F.col("key").between(lo, hi))
 
 
-def importance(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, p: Params) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``log_ratio`` and ``gumbel_key``, and the labelled rows that the target model has not seen as ``label_id, good``."""
-    spark = docs.sparkSession
-    known = labels.select(labels["doc_id"].alias("label_id"), labels[label_col].alias("q")).where("label_id IS NOT NULL AND q IS NOT NULL")
+def labelled(labels: DataFrame, label_id: str, label_col: str, p: Params) -> DataFrame:
+    """``label_id, good`` of the bounded sample; of several labels of a document the lowest counts, null ids and labels are left out."""
+    known = labels.select(labels[label_id].alias("label_id"), labels[label_col].alias("q")).where("label_id IS NOT NULL AND q IS NOT NULL")
     known = known.groupBy("label_id").agg((F.min("q") > 0).alias("good"))
     top, n = 1 << 62, known.count()
     drawn = F.pmod(F.xxhash64(F.lit(p.seed), "label_id"), F.lit(top)) < min(top, int(top * (p.label_rows / max(n, 1))))
-    fold = F.pmod(F.xxhash64(F.lit(p.seed + 1), "label_id"), F.lit(2)) == 1
-    sample = durable(known.where(drawn).withColumn("learnt", fold), "labelled")
+    return durable(known.where(drawn), "labelled")
+
+
+def learnt() -> Column:
+    """Whether the target model learns from a labelled row; the others judge it."""
+    return F.pmod(F.xxhash64(F.lit(1), "label_id"), F.lit(2)) == 1
+
+
+def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, p: Params) -> np.ndarray:
+    """The logarithm of the target model's probability over the raw one's, for each bucket."""
     text = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"))
-    rows = rows.join(F.broadcast(sample.where("good AND learnt")), rows["id"] == F.col("label_id"), "left").select(F.col("label_id").isNotNull().alias("good"), "text")
+    target_ids = F.broadcast(sample.where(F.col("good") & learnt()).select("label_id"))  # label_rows at most
+    rows = rows.join(target_ids, rows["id"] == F.col("label_id"), "left").select(F.col("label_id").isNotNull().alias("good"), "text")
     raw, target = np.zeros(p.buckets), np.zeros(p.buckets)
     for r in bucket_counts(rows, p).collect():  # buckets x 2 rows at most
         raw[r.bucket] += r.n
@@ -130,59 +140,72 @@ def importance(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
             target[r.bucket] += r.n
     common = (raw + 0.5) / (raw.sum() + 0.5 * p.buckets)
     wanted = (target + p.prior * p.buckets * common) / (target.sum() + p.prior * p.buckets)
-    ratio = spark.sparkContext.broadcast(np.log(wanted / common))
+    return np.log(wanted / common)
+
 
-    own = [c for c in docs.columns if c not in ("log_ratio", "gumbel_key", "selected")]
+def importance(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, carry: Sequence[str], p: Params) -> DataFrame:
+    """The columns ``carry`` of ``docs`` in a struct ``row``, with ``log_ratio`` and ``gumbel_key``; a text goes through Python once."""
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    kept = [c for c in carry if c != text_col]
 
     def run(batches):
-        for b in slices(batches, p.slice_bytes, "_text"):
-            found, sizes = ngrams(b.column(b.schema.get_field_index("_text")).to_pylist(), p.buckets)
-            sums = np.concatenate([[0.0], np.cumsum(ratio.value[found])])
+        for b in slices(batches, p.slice_bytes):
+            texts = [t.encode() if isinstance(t, str) else t or b"" for t in b.column(0).to_pylist()]
+            found, sizes = ngrams(texts, p.buckets)
+            sums = np.concatenate([[0.0], np.cumsum(shared.value[found])])
             ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array((sums[ends] - sums[ends - sizes]) * p.length / (sizes + p.shrink))], [*b.schema.names[:-1], "log_ratio"])
+            ratio = sums[ends] - sums[ends - sizes]
+            if p.temper:
+                ratio = ratio * p.temper / np.maximum(sizes, p.temper)
+            own = [b.column(0)] * (text_col in carry)
+            yield pa.RecordBatch.from_arrays([*own, b.column(1), pa.array(ratio), pa.array(ratio + b.column(2).to_numpy())], [*["text"] * len(own), "row", "log_ratio", "gumbel_key"])
 
-    kept = docs.select(*[docs[c] for c in own])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", log_ratio double"
-    scored = docs.select(*[docs[c] for c in own], text.alias("_text")).mapInArrow(run, schema)
-    return scored.withColumn("gumbel_key", F.col("log_ratio") + gumbel(p.seed, F.col(id_col), F.col(text_col))), sample.where("NOT learnt")
+    row = F.struct(*[docs[c] for c in kept]) if kept else F.lit(None).cast("boolean")
+    rows = docs.select(docs[text_col].alias("text"), row.alias("row"), gumbel(p.seed, docs[id_col], docs[text_col]).alias("noise"))
+    own = f"text {rows.schema['text'].dataType.simpleString()}, " if text_col in carry else ""
+    scored = rows.mapInArrow(run, schema_of(own, rows))
+    back = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in carry]
+    return durable(scored.select(F.struct(*back).alias("row"), "log_ratio", "gumbel_key"), "scored")
+
+
+def schema_of(own: str, rows: DataFrame) -> T.StructType:
+    found = T.StructType.fromDDL(own.rstrip(", ")) if own else T.StructType()
+    return found.add("row", rows.schema["row"].dataType).add("log_ratio", "double").add("gumbel_key", "double")
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", p: Params = Params()  # noqa: B008
-) -> DataFrame:
-    """``docs`` with ``log_ratio``, ``gumbel_key`` and ``selected``: the ``k`` rows with the largest keys.
+    docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id: str = "doc_id",
+    carry: Sequence[str] | None = None, p: Params = Params(),  # noqa: B008
+) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all by default) with ``log_ratio``, ``gumbel_key`` and ``selected``: the ``k`` rows with the largest keys.
 
-    Without ``k`` labelled rows that the target model has not seen set it: k is
-    the number of rows over the key that parts good from poor ones with the
-    best balanced accuracy or, to rather keep a document, the lowest within
-    ``slack`` of it, with a share ``keep_good`` of the good ones kept.
-    Without labels of both kinds every row is selected.
+    ``log_ratio`` is the log-likelihood of the text under the target model less
+    that under the raw one. Without ``k`` the budget is as many documents as
+    are good by the labelled sample: their share, and ``errors`` standard errors
+    more, so as rather to keep a document. Without labels of both kinds every
+    row is selected.
 
     Null and empty texts have ratio 0. Labels with a null id or value are left
     out; of several labels of a document the lowest counts. Ties at the k-th
     key are all selected. Columns of ``docs`` named like the results are
-    replaced. Repeated rows get equal keys.
-    """
-    scored, sample = importance(docs, labels, id_col, text_col, label_col, p)
-    scored = durable(scored, "scored")
-    if k is not None:
-        return scored.withColumn("selected", F.col("gumbel_key") >= kth_largest(scored.select(F.col("gumbel_key").alias("key")), k))
-    judged = scored.join(F.broadcast(sample), scored[id_col] == sample["label_id"]).select("good", "gumbel_key").toArrow()  # label_rows at most, but for repeated ids
-    good, key = np.array(judged.column(0).to_pylist(), bool), np.array(judged.column(1).to_pylist(), float)
-    if good.all() or not good.any():
-        return scored.withColumn("selected", F.lit(True))
-    return scored.withColumn("selected", F.col("gumbel_key") >= parting(good, key, p.keep_good, p.slack))
-
-
-def parting(good: np.ndarray, key: np.ndarray, keep_good: float, slack: float) -> float:
-    """The lowest key within ``slack`` of the best balanced accuracy of those that keep a share ``keep_good`` of the good ones.
-
-    It lies midway between the rows on its two sides.
+    replaced; any other name may occur. Repeated rows get equal keys. An empty
+    table gives an empty result.
     """
-    order = np.argsort(key, kind="stable")
-    good, key = good[order], key[order]
-    kept = 1 - (np.cumsum(good) - good) / good.sum()  # good ones from place i on
-    gone = (np.cumsum(~good) - ~good) / (~good).sum()  # poor ones before place i
-    balanced = np.where(kept >= keep_good, kept + gone, -1)
-    i = int((balanced >= balanced.max() - 2 * slack).argmax())
-    return float(key[0] if i == 0 else (key[i - 1] + key[i]) / 2)
+    added = ("log_ratio", "gumbel_key", "selected")
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in added]
+    sample = labelled(labels, label_id, label_col, p)
+    scored = importance(docs, log_ratios(docs, sample, id_col, text_col, p), id_col, text_col, carry, p)
+    if k is None:
+        good, known = (x or 0 for x in sample.agg(F.count_if("good"), F.count(F.lit(1))).first())
+        share = good / known if known else 1.0
+        share = 1.0 if good in (0, known) else min(1.0, share + p.errors * (share * (1 - share) / known) ** 0.5)
+        k = round(share * scored.count())
+    cut = kth_largest(scored.select(F.col("gumbel_key").alias("key")), k)
+    return scored.select("row.*", "log_ratio", "gumbel_key", (F.col("gumbel_key") >= cut).alias("selected"))
+
+
+def label_report(resampled: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", label_id: str = "doc_id", p: Params = Params()) -> DataFrame:  # noqa: B008
+    """``good, rows, kept``: of the labelled rows that the target model has not seen, how many there are and how many were selected."""
+    sample = labelled(labels, label_id, label_col, p).where(~learnt())
+    rows = resampled.select(resampled[id_col].alias("_of"), "selected").join(F.broadcast(sample), F.col("_of") == F.col("label_id"))
+    return rows.groupBy("good").agg(F.count(F.lit(1)).alias("rows"), F.count_if("selected").alias("kept"))

@@ -49,7 +49,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.resample(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
+    return quality.resample(documents(spark, sf_dir), labels, carry=["doc_id"])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

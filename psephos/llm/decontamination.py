@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare pairs of words as seeds, then Smith-Waterman alignment.
-
-The benchmark is the query set. It is read in blocks of bounded size; each
-block goes to all tasks, and each makes two passes over the documents: one
-counts the documents that hold each pair of neighbouring words of the block,
-one finds the seeds and aligns. The search loses no alignment: one of score s
-has at most matches - s edits, so its matches form matches - s + 1 runs at
-most, and s - 1 pairs of neighbouring words at least are intact in it. The
-most frequent pairs of a passage, (s - 1) // 2 of them, are no seeds, and as
-many fewer are asked for.
+"""Benchmark decontamination: rare n-gram seeds join documents to test items, then Smith-Waterman alignment.
+
+One pass over the documents writes the places of all n-grams that the
+benchmark has, found through a Bloom filter of bounded size. Their document
+counts pick the seeds of each passage, its rarest n-grams; an equi-join of
+places and seeds names passages and documents, and only the documents with
+enough seeds of a passage near one diagonal are read again and aligned.
+
+Nothing of the benchmark or the documents comes to the driver but the filter.
 """
 
 from __future__ import annotations
@@ -18,225 +17,285 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from psephos.llm._shared import durable, slices
 
-WORD = re.compile(r"\w+")
+#: Scripts that are written without spaces: each of their characters is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+WORD = re.compile(f"[{UNSPACED}]|[^\\W{UNSPACED}]+")
+PROBES = 3
 
 
 @dataclass(frozen=True)
 class Params:
-    """``block_words`` bounds the words of items that are broadcast at once, ``hits`` the seeds found that are held at once.
-
-    ``n`` is the least score and the least length of an item, in words; an edit
-    must cost as much as a match gives, or more.
+    """What is found, and what bounds the work.
+
+    ``n`` words make a seed (2 in a passage of under ``short`` words, all of a
+    passage of under three). An n-gram in at most ``rare`` documents is a seed;
+    of the others the ``fewest`` rarest of a passage are, if it has not as many
+    rare ones. A passage of ``long`` words or more needs two seeds, a shorter
+    one one. n-grams of more than ``common`` items weigh less in the alignment,
+    and are no seeds unless a passage has no others. ``filter_bits`` bounds what
+    is broadcast (16 MB).
     """
 
     n: int = 3
+    short: int = 12
+    long: int = 20
     chunk: int = 64
     stride: int = 32
     least: float = 0.4
-    match: int = 1
-    mismatch: int = -1
-    gap: int = -1
-    block_words: int = 200_000
+    rare: int = 1000
+    fewest: int = 6
+    common: int = 5
+    filter_bits: int = 1 << 27
     slice_bytes: int = 4 << 20
-    candidates: int = 2048
-    hits: int = 1 << 20
+    pairs: int = 2048
 
 
-@dataclass
-class Block:
-    """Items of a block: passages of ``chunk`` words at most, as numbers of the block's words."""
+def words_of(text: bytes) -> list[str]:
+    return WORD.findall(text.decode("utf-8", "replace").lower())
 
-    items: list
-    number: dict[str, int]
-    passages: list[np.ndarray]
-    item_of: list[int]
-    grams: np.ndarray  # sorted codes of all pairs of neighbouring words
 
+def numbered(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of words; ``known`` keeps those seen."""
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w) | 1
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
-def codes(numbers: np.ndarray, n: int = 2) -> np.ndarray:
-    """A code for each n-gram of word numbers; -1 where a word is outside the block (0)."""
-    m = len(numbers) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.int64)
-    h, ok = np.zeros(m, np.uint64), np.ones(m, bool)
-    for i in range(n):
-        w = numbers[i : i + m]
-        ok &= w > 0
-        h = (h ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    return np.where(ok, (h >> np.uint64(1)).astype(np.int64), -1)
-
-
-def block_of(items: list[tuple[object, list[str]]], p: Params) -> Block:
-    number: dict[str, int] = {}
-    passages, item_of = [], []
-    for k, (_, words) in enumerate(items):
-        own = np.fromiter((number.setdefault(w, len(number) + 1) for w in words), np.int64, len(words))
-        for at in range(0, max(1, len(own) - p.chunk + p.stride), p.stride) if len(own) > p.chunk else [0]:
-            if len(own[at : at + p.chunk]) >= p.n:
-                passages.append(own[at : at + p.chunk])
-                item_of.append(k)
-    grams = np.unique(np.concatenate([codes(x) for x in passages])) if passages else np.zeros(0, np.int64)
-    return Block([i for i, _ in items], number, passages, item_of, grams)
-
-
-def blocks(items: DataFrame, id_col: str, text_col: str, p: Params) -> Iterator[Block]:
-    """Reads the benchmark item by item and hands it on in blocks."""
-    held, size = [], 0
-    for r in items.select(items[id_col].alias("i"), items[text_col].cast("string").alias("t")).toLocalIterator():
-        words = WORD.findall((r.t or "").lower())
-        if held and size + len(words) > p.block_words:
-            yield block_of(held, p)
-            held, size = [], 0
-        held.append((r.i, words))
-        size += len(words)
-    if held:
-        yield block_of(held, p)
 
+def grams_of(numbers: np.ndarray, n: int) -> np.ndarray:
+    """A signed code for each n-gram of word numbers."""
+    m = max(0, len(numbers) - n + 1)
+    h = np.full(m, 0x9E3779B97F4A7C15 * n & (1 << 64) - 1, np.uint64)
+    for i in range(n):
+        h = (h ^ numbers[i : i + m]) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(31)
+    return h.view(np.int64)
 
-def read(batch: pa.RecordBatch, number: dict[str, int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Word numbers of each text; all of them with a 0 between texts; the text of each."""
-    get = number.get
-    texts = []
-    for t in batch.column(1).to_pylist():
-        words = WORD.findall(t.decode("utf-8", "replace").lower())
-        texts.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
-    flat = np.concatenate([x for t in texts for x in (t, np.zeros(1, np.int64))]) if texts else np.zeros(0, np.int64)
-    return texts, flat, np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
 
+def seed_words(length: int, p: Params) -> int:
+    return length if length < 3 else 2 if length < p.short else p.n
 
-def lookup(found: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Place in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(found), -1)
-    at = np.minimum(np.searchsorted(table, found), len(table) - 1)
-    return np.where(table[at] == found, at, -1)
 
+def passages_of(items: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
+    """``item, passage, words``: the passages of each item, ``chunk`` words at most, as word hashes; equal passages have one number."""
 
-def gram_counts(rows: DataFrame, shared, p: Params) -> np.ndarray:
-    """Documents that hold each pair of neighbouring words of the block."""
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                own = numbered(words_of(t), {}).view(np.int64)
+                for at in range(0, max(1, len(own) - p.chunk + p.stride), p.stride) if len(own) > p.chunk else [0]:
+                    part = own[at : at + p.chunk]
+                    if len(part):
+                        rows.append((i, xxhash.xxh64_intdigest(part.tobytes()) - (1 << 63), part))
+            at, passage, words = list(zip(*rows, strict=True)) or ([], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(passage, pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["item", "passage", "words"]
+            )
+
+    rows = items.select(items[id_col].alias("item"), F.coalesce(items[text_col].cast("string").cast("binary"), F.lit(b"")).alias("text"))
+    return rows.mapInArrow(run, f"item {rows.schema['item'].dataType.simpleString()}, passage long, words array<long>")
+
+
+def gram_rows(passages: DataFrame, p: Params) -> DataFrame:
+    """``passage, size, position, n, gram`` of distinct passages."""
 
     def run(batches):
-        b = shared.value
-        n = np.zeros(len(b.grams), np.int64)
-        for batch in slices(batches, p.slice_bytes):
-            _, flat, text = read(batch, b.number)
-            c = codes(flat)
-            here = np.flatnonzero(c >= 0)
-            at = lookup(c[here], b.grams)
-            here, at = here[at >= 0], at[at >= 0]
-            once = np.unique(text[here] * (len(b.grams) + 1) + at)
-            n += np.bincount(once % (len(b.grams) + 1), minlength=len(n))
-        held = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held])], ["gram", "n"])
-
-    counted = rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(shared.value.grams), np.int64)
-    for r in counted.collect():  # pairs of a block at most
-        out[r.gram] = r.n
-    return out
+        for b in batches:
+            for passage, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = seed_words(len(words), p)
+                g = grams_of(np.array(words, np.int64).view(np.uint64), n)
+                same = [np.full(len(g), x) for x in (passage, len(words))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(np.arange(len(g))), pa.array(np.full(len(g), n)), pa.array(g)], ["passage", "size", "position", "n", "gram"])
+
+    return passages.select("passage", "words").mapInArrow(run, "passage long, size long, position long, n long, gram long")
 
 
-def least_scores(lengths: np.ndarray, p: Params) -> np.ndarray:
-    """The least score of an alignment that counts, for passages of so many words."""
-    return np.maximum(p.n, np.ceil(p.least * lengths - 1e-9)).astype(np.int64)
+def probes(grams: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Bits of the filter for each n-gram; ``bits`` is a power of two."""
+    h = grams.view(np.uint64)
+    return [((h * np.uint64(m)) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
-def seeds_of(b: Block, n: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted codes, passage and position of the seeds, and how many of its seeds each passage needs to align."""
-    pairs = least_scores(np.array([len(x) for x in b.passages], np.int64), p) - 1
-    left_out = pairs // 2
-    found = [(np.zeros(0, np.int64),) * 3]
-    for k, x in enumerate(b.passages):
-        c = codes(x)
-        own = np.argsort(-n[lookup(c, b.grams)], kind="stable")[left_out[k] :]
-        found.append((c[own], np.full(len(own), k), own))
-    code, passage, position = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((position, passage, code))
-    return code[order], passage[order], position[order], pairs - left_out
+def bloom_filter(grams: DataFrame, p: Params) -> np.ndarray:
+    """A Bloom filter of the column ``gram``, of 32 bits for each, within ``filter_bits``; a fuller one lets more through, which the join drops."""
+    many = grams.count()
+    bits = min(p.filter_bits, 1 << max(10, (32 * many - 1).bit_length()))
 
+    def run(batches):
+        for b in batches:
+            at = np.unique(np.concatenate(probes(b.column(0).to_numpy(), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64))], ["place", "bit"])
 
-def windows_of(doc: np.ndarray, pos: np.ndarray, passage: np.ndarray, position: np.ndarray, length: np.ndarray, least: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Text, passage, start and stop of each window of a text with enough of a passage's seeds.
+    packed = grams.select("gram").mapInArrow(run, "place long, bit long").groupBy("place").agg(F.bit_or("bit").alias("word")).toArrow()  # bits / 64 rows at most
+    out = np.zeros(bits >> 6, np.uint64)
+    out[packed.column("place").to_numpy()] = packed.column("word").to_numpy().view(np.uint64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool) if bits <= 1 << 24 else out
 
-    An alignment keeps to ``length - least + 1`` neighbouring diagonals. A band
-    is twice as wide and begins each so many, so one band holds all of it.
-    """
-    step = length - least + 1
-    shift = int(length.max())
-    band = (pos - position + shift) // step[passage]
-    doc, passage, position = np.tile(doc, 2), np.tile(passage, 2), np.tile(position, 2)
-    band = np.concatenate([band, np.maximum(band - 1, 0)])
-    many = int(band.max()) + 1
-    at = np.unique(((doc * len(length) + passage) * many + band) * shift + position)
-    at, count = np.unique(at // shift, return_counts=True)
-    enough = count >= need[at // many % len(length)]
-    at = at[enough]
-    doc, passage, band = at // many // len(length), at // many % len(length), at % many
-    start = band * step[passage] - shift
-    return doc, passage, np.maximum(start, 0), start + 2 * step[passage] + length[passage]
-
-
-def smith_waterman(a: np.ndarray, b: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def passes(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Places of the n-grams that the filter lets through."""
+    bits = len(table) if table.dtype == bool else len(table) << 6
+    own = np.arange(len(grams))
+    for i in range(PROBES):
+        at = probes(grams[own], bits)[i]
+        ok = table[at] if table.dtype == bool else (table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        own = own[ok]
+    return own
+
+
+def places(rows: DataFrame, sizes: list[int], table, p: Params) -> DataFrame:
+    """``gram, doc, pos, once`` for each place of an n-gram of the benchmark in ``rows (doc, text)``; ``once`` marks the first in its text."""
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for b in slices(batches, p.slice_bytes):
+            docs = b.column(0).to_numpy()
+            if len(known) > 2_000_000:
+                known.clear()
+            words = [words_of(t) for t in b.column(1).to_pylist()]
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            flat = numbered([w for own in words for w in own], known)
+            first = np.cumsum(lengths) - lengths
+            text = np.repeat(np.arange(len(words)), lengths)
+            for n in sizes:
+                grams = grams_of(flat, n)
+                inside = text[: len(grams)] == text[n - 1 :][: len(grams)]
+                own = passes(table.value, grams)
+                own = own[inside[own]]
+                g, t = grams[own], text[own]
+                order = np.lexsort((g, t))
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(g[order]) != 0) | (np.diff(t[order]) != 0)
+                once = np.zeros(len(order), bool)
+                once[order] = new
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(docs[t]), pa.array(own - first[t]), pa.array(once)], ["gram", "doc", "pos", "once"])
+
+    return rows.mapInArrow(run, "gram long, doc long, pos long, once boolean")
+
+
+def smith_waterman(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignment of each row of ``a`` with the row of ``b``: score, and where it ends in a and in b (1-based).
 
-    One step for each column of ``a``, for all pairs at once; gaps along ``b``
-    are a running maximum. 0 in ``a`` and -1 in ``b`` fill rows up and equal nothing.
+    A word of ``a`` gives its weight where it matches; a mismatch, its loss or
+    a word put in after it cost as much. One step for each column of ``a``, for
+    all pairs at once; gaps along ``b`` are a running maximum. 0 in ``a`` and 1
+    in ``b`` fill rows up and equal nothing.
     """
     rows, width = b.shape
-    h = np.zeros((rows, width + 1), np.int32)
-    slope = -p.gap * np.arange(width + 1, dtype=np.int32)
-    best, end_a, end_b = (np.zeros(rows, np.int32) for _ in range(3))
+    h = np.zeros((rows, width + 1), np.float32)
+    ramp = np.arange(width + 1, dtype=np.float32)
+    best, end_a, end_b = np.zeros(rows, np.float32), np.zeros(rows, np.int32), np.zeros(rows, np.int32)
     for i in range(a.shape[1]):
-        step = np.where(a[:, i : i + 1] == b, p.match, p.mismatch).astype(np.int32)
+        w = weight[:, i : i + 1]
         new = np.zeros_like(h)
-        np.maximum(h[:, :-1] + step, h[:, 1:] + p.gap, out=new[:, 1:])
+        np.maximum(h[:, :-1] + np.where(a[:, i : i + 1] == b, w, -w), h[:, 1:] - w, out=new[:, 1:])
         np.maximum(new, 0, out=new)
+        slope = w * ramp
         h = np.maximum.accumulate(new + slope, axis=1) - slope
         at = h.argmax(1)
         top = h[np.arange(rows), at]
-        better = (top > best) & (a[:, i] != 0)
+        better = (top > best + 1e-6) & (a[:, i] != 0)
         best[better], end_a[better], end_b[better] = top[better], i + 1, at[better]
     return best, end_a, end_b
 
 
-def align(pairs: list[tuple[np.ndarray, np.ndarray]], p: Params) -> list[tuple[float, int, int]]:
-    """Share of the passage's full score, and the aligned words of the window, for each pair of passage and window."""
+def align(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], p: Params) -> list[tuple[float, int, int]]:
+    """Share of the passage's full score, and the aligned words of the window, for each passage, its weights and a window."""
 
-    def padded(xs: list[np.ndarray], fill: int) -> np.ndarray:
-        out = np.full((len(xs), max(map(len, xs))), fill, np.int64)
+    def padded(xs: list[np.ndarray], fill: int, kind: type) -> np.ndarray:
+        out = np.full((len(xs), max(map(len, xs))), fill, kind)
         for i, x in enumerate(xs):
             out[i, : len(x)] = x
         return out
 
-    passages, windows = [a for a, _ in pairs], [np.where(b > 0, b, -1) for _, b in pairs]
-    score, end_a, end_b = smith_waterman(padded(passages, 0), padded(windows, -1), p)
-    share = score / (p.match * np.array([len(a) for a in passages]))
+    passages, weights, windows = ([x[i] for x in pairs] for i in range(3))
+    score, end_a, end_b = smith_waterman(padded(passages, 0, np.int64), padded(windows, 2, np.int64), padded(weights, 0, np.float32))
+    share = score / np.array([w.sum() for w in weights])
     out = [(float(s), 0, 0) for s in share]
-    good = np.flatnonzero(share >= p.least)
+    good = np.flatnonzero(share >= p.least - 1e-6)
     if len(good):
         back_a = [passages[i][: end_a[i]][::-1] for i in good]
+        back_w = [weights[i][: end_a[i]][::-1] for i in good]
         back_b = [windows[i][: end_b[i]][::-1] for i in good]
-        _, _, length = smith_waterman(padded(back_a, 0), padded(back_b, -1), p)
+        _, _, length = smith_waterman(padded(back_a, 0, np.int64), padded(back_b, 2, np.int64), padded(back_w, 0, np.float32))
         for i, n in zip(good, length, strict=True):
             out[i] = (float(share[i]), int(end_b[i] - n), int(end_b[i]))
     return out
 
 
-def parts(text: np.ndarray, many: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Cuts places in order of their text, each worth ``many`` hits, so that a part has about ``most`` hits and no text is cut."""
-    start = 0
-    ends = np.flatnonzero(np.append(text[1:] != text[:-1], True)) + 1 if len(text) else []
-    total = np.concatenate([[0], np.cumsum(many)])
-    for end in ends:
-        if total[end] - total[start] >= most or end == len(text):
-            yield start, int(end)
-            start = int(end)
+def weighed(grams: DataFrame, spread: DataFrame, passages: DataFrame, p: Params) -> DataFrame:
+    """``passage, words, weights``: the weight of a word is 1, or ``common`` over the items that hold the rarest n-gram over it."""
+    w = F.least(F.lit(1.0), p.common / F.col("spread"))
+    over = grams.join(spread, "gram").select("passage", F.explode(F.sequence(F.col("position"), F.col("position") + F.col("n") - 1)).alias("at"), w.alias("w"))
+    each = over.groupBy("passage", "at").agg(F.max("w").alias("w"))
+    lists = each.groupBy("passage").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("own"))  # chunk words at most
+    return passages.join(lists, "passage").select("passage", "words", F.transform("own", lambda x: x["w"]).alias("weights"))
+
+
+def seeds_of(grams: DataFrame, counts: DataFrame, spread: DataFrame, p: Params) -> DataFrame:
+    """``gram, passage, position, size``: the seeds. n-grams that no document holds are none; equal ones of a passage are all seeds."""
+    own = Window.partitionBy("passage")  # chunk rows at most
+    shared = F.col("spread") > p.common
+    known = grams.join(spread, "gram").withColumn("alone", F.max((~shared).cast("int")).over(own) == 1).where(~F.col("alone") | ~shared)
+    held = known.join(counts, "gram").withColumn("rank", F.row_number().over(own.orderBy("docs", "position")))
+    return held.where((F.col("docs") <= p.rare) | (F.col("rank") <= p.fewest)).select("gram", "passage", "position", "size")
+
+
+def windows_of(hits: DataFrame, p: Params) -> DataFrame:
+    """``doc, passage, start, stop``: where a document has enough seeds of a passage.
+
+    An alignment keeps to ``size - least score + 1`` neighbouring diagonals. A
+    band is twice as wide and begins each so many, so one band holds all of it.
+    """
+    step = F.col("size") - F.ceil(F.col("size") * p.least - 1e-9) + 1
+    band = F.floor((F.col("pos") - F.col("position")) / F.col("step"))
+    each = hits.withColumn("step", step).select("doc", "passage", "size", "step", "position", F.explode(F.array(band, band - 1)).alias("band")).distinct()
+    need = F.when(F.col("size") >= p.long, 2).otherwise(1)
+    enough = each.groupBy("doc", "passage", "size", "step", "band").count().where(F.col("count") >= need)
+    start = F.col("band") * F.col("step")
+    return enough.select("doc", "passage", F.greatest(start, F.lit(0)).alias("start"), (start + 2 * F.col("step") + F.col("size")).alias("stop"))
+
+
+def alignments(rows: DataFrame, p: Params) -> DataFrame:
+    """``doc_id, passage, score, start, stop`` of ``rows (doc_id, text, windows)``."""
+
+    def run(batches):
+        for b in slices(batches, p.slice_bytes):
+            best: dict[tuple[int, int], tuple[float, int, int]] = {}
+            texts = [numbered(words_of(t), {}).view(np.int64) for t in b.column(1).to_pylist()]
+            wanted = ((i, w) for i, own in enumerate(b.column(2).to_pylist()) for w in own)
+            for some in batched(wanted, p.pairs):
+                pairs = [(np.array(w["words"], np.int64), np.array(w["weights"], np.float32), texts[i][w["start"] : w["stop"]]) for i, w in some]
+                for (i, w), (score, x, y) in zip(some, align(pairs, p), strict=True):
+                    size = len(w["words"])
+                    key = i, w["passage"]
+                    if score >= p.least - 1e-6 and score * size > min(p.n, size) - 0.5 and (key not in best or score > best[key][0]):
+                        best[key] = score, w["start"] + x, w["start"] + y
+            hits = sorted(best.items())
+            ids = b.column(0).take(pa.array([d for (d, _), _ in hits], pa.int64()))
+            rest = [pa.array([v[i] for _, v in hits], pa.int64() if i else pa.float64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([k for (_, k), _ in hits], pa.int64()), *rest], ["doc_id", "passage", "score", "start", "stop"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "text", "windows").mapInArrow(run, f"doc_id {kind}, passage long, score double, start long, stop long")
+
+
+def batched(rows: Iterator, n: int) -> Iterator[list]:
+    held = []
+    for r in rows:
+        held.append(r)
+        if len(held) == n:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def contaminated(
@@ -247,59 +306,31 @@ def contaminated(
     ``score`` is the best local alignment's score over that of a full match of
     the passage (an item, or ``chunk`` words of a longer one); ``start`` and
     ``stop`` are its words in the document. Words are compared in lower case
-    without punctuation. An alignment with a score of under ``n`` words does not
-    count, whatever its share. Items of under ``n`` words, null or empty ones never match, nor do null or empty texts. Rows with one id give one row for an
-    item, the best; a null id is kept. The passes read every document whole.
+    without punctuation; a character of a script without spaces is a word. An
+    alignment with a score of under ``n`` words does not count, unless the whole
+    item is shorter and matches in full. Text that more than ``common`` items
+    share weighs less, so it makes no match alone. Null and empty items never
+    match, nor do null and empty texts. Rows with one id give one row for an
+    item, the best; a null id is kept. Every document is read whole, once, and
+    those with a candidate a second time.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
-    rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"))
-    kinds = rows.schema["doc_id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, start long, stop long"
-    out = spark.createDataFrame([], schema)
-    for block in blocks(items, item_col, item_text, p):
-        shared = spark.sparkContext.broadcast(block)
-        seeds = spark.sparkContext.broadcast(seeds_of(block, gram_counts(rows, shared, p), p))
-        item_type = items.schema[item_col].dataType
-
-        def run(batches, shared=shared, seeds=seeds, item_type=item_type):
-            from pyspark.sql.pandas.types import to_arrow_type
-
-            b = shared.value
-            code, passage, position, need = seeds.value
-            length = np.array([len(x) for x in b.passages], np.int64)
-            least = least_scores(length, p)
-            table, first = np.unique(code, return_index=True)
-            many = np.diff(np.append(first, len(code)))
-            for batch in slices(batches, p.slice_bytes):
-                texts, flat, text = read(batch, b.number)
-                begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-                c = codes(flat)
-                here = np.flatnonzero(c >= 0)
-                at = lookup(c[here], table)
-                here, at = here[at >= 0], at[at >= 0]
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for lo, hi in parts(text[here], many[at], p.hits):
-                    spread = np.repeat(np.arange(lo, hi), many[at[lo:hi]])
-                    nth = np.arange(len(spread)) - np.repeat(np.cumsum(many[at[lo:hi]]) - many[at[lo:hi]], many[at[lo:hi]])
-                    seed = first[at][spread] + nth
-                    doc = text[here][spread]
-                    found = windows_of(doc, here[spread] - begin[doc], passage[seed], position[seed], length, least, need)
-                    windows = list(zip(*(x.tolist() for x in found), strict=True))
-                    for some in (windows[i : i + p.candidates] for i in range(0, len(windows), p.candidates)):
-                        aligned = align([(b.passages[k], texts[d][x:y]) for d, k, x, y in some], p)
-                        for (d, k, s, _), (score, x, y) in zip(some, aligned, strict=True):
-                            key = d, b.item_of[k]
-                            if score * length[k] > least[k] - 0.5 and (key not in best or score > best[key][0]):
-                                best[key] = score, s + x, s + y
-                hits = sorted(best.items())
-                ids = batch.column(0).take(pa.array([d for (d, _), _ in hits], pa.int64()))
-                of = pa.array([b.items[k] for (_, k), _ in hits], to_arrow_type(item_type))
-                rest = [pa.array([v[i] for _, v in hits], pa.int64() if i else pa.float64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([ids, of, *rest], ["doc_id", "item_id", "score", "start", "stop"])
-
-        out = out.unionByName(durable(rows.mapInArrow(run, schema), "alignments"))
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("start"), "stop")).alias("b"))
+    owned = durable(passages_of(items, item_col, item_text, p), "passages")
+    owners, passages = owned.select("passage", "item").distinct(), owned.select("passage", "words").dropDuplicates(["passage"])
+    grams = durable(gram_rows(passages, p), "grams")
+    spread = grams.join(owners, "passage").select("gram", "item").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("spread"))
+    passages = durable(weighed(grams, spread, passages, p), "weighed")
+    sizes = sorted(r.n for r in grams.select("n").distinct().collect())  # three at most
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.select(docs[id_col].alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(docs[id_col], text).alias("doc"))
+    table = docs.sparkSession.sparkContext.broadcast(bloom_filter(grams, p))
+    found = durable(places(rows.select("doc", "text"), sizes, table, p), "places")
+    counts = found.where("once").groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
+    seeds = durable(seeds_of(grams, counts, spread, p), "seeds")
+    windows = windows_of(found.select("gram", "doc", "pos").join(seeds, "gram"), p)
+    each = windows.join(passages, "passage").groupBy("doc").agg(F.collect_list(F.struct("passage", "start", "stop", "words", "weights")).alias("windows"))
+    some = durable(each, "candidates")
+    aligned = alignments(rows.join(some, "doc"), p).join(owners, "passage")
+    best = aligned.groupBy("doc_id", F.col("item").alias("item_id")).agg(F.max(F.struct("score", -F.col("start"), "stop")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("start"), "b.stop")
 
 

@@ -1,10 +1,11 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions only.
 
-A candidate is a run of 16 or more of ``A-Z a-z 0-9 + / _ = -`` with a digit,
-inside a word between ASCII white space. The forest judges it by its length,
-its character transitions, the share of it that dictionary words of the corpus
-cover, the path around it and the words next to it. It learns from labelled
-findings.
+Candidates are cast wide: runs of token characters, long or with a digit; web
+tokens with their dots; known prefixes; whatever is assigned to or passed as
+a secret; passwords in addresses; blocks of private keys over several lines. The
+forest judges them by length, character transitions, the share that
+dictionary words of the corpus cover, the path around them and the words next
+to them. It learns from labelled findings.
 """
 
 from __future__ import annotations
@@ -19,12 +20,24 @@ from pyspark.sql import functions as F
 
 from psephos.llm._shared import LOWER, UPPER, durable, lower_az
 
-RUN = "[A-Za-z0-9+/_=\\-]{16,}"
+# A dotted web token, a known prefix with its key, or a run of token characters with a digit or of some length.
+RUN = (
+    "eyJ[A-Za-z0-9_\\-]{8,}(?:\\.[A-Za-z0-9_\\-]+){1,2}"
+    "|(?:AKIA|ASIA|gh[pousr]_|glpat-|sk_live_|sk-|xox[abprs]-|AIza)[A-Za-z0-9_\\-]{10,}"
+    "|(?:(?=[A-Za-z+/_\\-]{0,64}[0-9])[A-Za-z0-9+/_\\-]{16,}|[A-Za-z0-9+/_\\-]{20,})={0,2}"
+)
+PEM = "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]{1,50000}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+BLOCK = "-----BLOCK-----"  # stands for such a block among the words
+LOGIN = "://[^\\s:/@]+:([^\\s/@]{3,})@"
 
 # Words that stand next to secrets, and next to strings that look like them.
 SECRET_WORDS = "token|secret|passw|pwd|api_?key|apikey|access_?key|auth|credential|bearer|private|client_?secret|signature"
 PLAIN_WORDS = "commit|revision|checksum|sha1|sha256|md5|hash|digest|uuid|guid|order|invoice|phone|tel|card|isbn|build|version|figure|page|file|image"
 
+ASSIGNED = f"(?i)(?:{SECRET_WORDS})[a-z0-9_.\\-]*[\"'`]?[=:]+"  # at the end of the text before a value, or before a value in a word
+PASSED = "(?i)^[\"'(]*(?:bearer|token|secret|password|passwd|pwd)[\"':]*$"
+VALUE = "[\"'`]?([^\"'`,;]{6,})"
+
 FEATURES = [
     "length", "digits", "uppers", "lowers", "signs", "transitions", "variety", "hex_only", "digits_only",
     "common_pairs", "dictionary", "in_path", "has_extension", "in_address", "secret_near", "plain_near", "assigned", "quoted",
@@ -47,26 +60,52 @@ class Params:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, word_at, run_at`` and the columns of a finding for every candidate; null and empty texts have none."""
+    """``id, word_at, run_at`` and the columns of a finding for every candidate; null and empty texts have none. A block of a private key counts as one word."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    some = rows.where(F.col("text").rlike(RUN)).withColumn("words", F.split("text", "[\\x20\\x09-\\x0D]+", -1))
-    marked = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].rlike(RUN) & x["w"].rlike("[0-9]"))
-    near = lambda d: F.coalesce(F.get("words", F.col("m.i") + d), F.lit(""))
-    found = some.select("id", "words", F.explode(marked).alias("m")).select(
-        "id", F.col("m.i").alias("word_at"), F.col("m.w").alias("word"), near(-2).alias("before2"), near(-1).alias("before1"), near(1).alias("after1"),
-        F.posexplode(F.regexp_extract_all(F.col("m.w"), F.lit(RUN), 0)).alias("run_at", "candidate"),
-    )
-    at = F.position(F.col("candidate"), F.col("word"))
-    return found.where(F.col("candidate").rlike("[0-9]")).select(
-        "id", "word_at", "run_at", "before2", "before1", F.substring("word", F.lit(1), at - 1).alias("lead"), "candidate",
-        F.substring("word", at + F.length("candidate"), F.length("word")).alias("tail"), "after1",
-    )
+    some = rows.where(F.col("text").rlike(f"{RUN}|{ASSIGNED}|(?i:bearer|token|secret|passw|pwd)\\S*\\s|{LOGIN}|{PEM}"))
+    has = F.col("text").contains("PRIVATE KEY-----")
+    some = some.withColumn("blocks", F.when(has, F.regexp_extract_all("text", F.lit(PEM), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    some = some.withColumn("text", F.when(has, F.regexp_replace("text", PEM, f" {BLOCK} ")).otherwise(F.col("text"))).withColumn("words", F.split("text", "[\\x20\\x09-\\x0D]+", -1))
+    spot = lambda i, d: F.coalesce(F.get("words", i + d), F.lit(""))
+    # a word of six characters or more after "key =", "key: =" or a word that announces a secret
+    follows = lambda w, i: (F.length(w) >= 6) & (spot(i, -1).rlike(PASSED) | (spot(i, -1).rlike("[=:]$") & F.concat(spot(i, -2), spot(i, -1)).rlike(f"{ASSIGNED}$")))
+    wanted = lambda x: x["w"].rlike(f"{RUN}|{ASSIGNED}{VALUE}|{LOGIN}|^{BLOCK}$") | follows(x["w"], x["i"])
+    marked = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), wanted)
+    near = lambda d: spot(F.col("m.i"), d)
+    found = some.select("id", "words", "blocks", F.explode(marked).alias("m")).select("id", "words", "blocks", "m", F.col("m.i").alias("word_at"), F.col("m.w").alias("word"))
+    runs = F.regexp_extract_all("word", F.lit(RUN), F.lit(0))
+    bare = F.regexp_extract("word", "^[\"'`(\\[{<]*(.*?)[\"'`)\\]}>,;.]*$", 1)
+    value = F.coalesce(*[F.nullif(F.regexp_extract("word", x, 1), F.lit("")) for x in (f"{ASSIGNED}{VALUE}", LOGIN)], bare)
+    nth = F.size(F.filter(F.slice("words", F.lit(1), F.col("word_at")), lambda w: w == BLOCK))
+    block = F.regexp_replace(F.get("blocks", nth), "\\s+", "")
+    lone = F.when((F.col("word") == BLOCK) & (F.size("blocks") > nth), block).when(F.col("word").rlike(LOGIN), F.regexp_extract("word", LOGIN, 1)).when(F.size(runs) == 0, value)
+    found = found.withColumn("lone", lone).withColumn("runs", F.when(F.col("lone").isNotNull(), F.array("lone")).otherwise(runs))
+    # what lies between the runs: the text before a run is all between and all runs before it
+    at = F.position(F.col("lone"), F.col("word"))
+    cut = F.array(F.substring("word", F.lit(1), at - 1), F.substring("word", at + F.length("lone"), F.length("word")))
+    found = found.withColumn("between", F.when(F.col("lone").isNotNull(), F.when(F.col("word") == BLOCK, F.array(F.lit(""), F.lit(""))).otherwise(cut)).otherwise(F.split("word", RUN, -1)))
+    each = found.select("id", "word_at", "runs", "between", near(-2).alias("before2"), near(-1).alias("before1"), near(1).alias("after1"), F.posexplode("runs").alias("run_at", "candidate"))
+    upto = F.transform(F.sequence(F.lit(0), F.col("run_at")), lambda j: F.concat(F.coalesce(F.get("between", j), F.lit("")), F.when(j < F.col("run_at"), F.get("runs", j)).otherwise("")))
+    rest = F.transform(F.sequence(F.col("run_at") + 1, F.size("runs")), lambda j: F.concat(F.coalesce(F.get("between", j), F.lit("")), F.coalesce(F.get("runs", j), F.lit(""))))
+    return each.where(F.length("candidate") > 0).select(
+        "id", "word_at", "run_at", "before2", "before1", F.array_join(upto, "").alias("lead"), "candidate", F.array_join(rest, "").alias("tail"), "after1"
+    )
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", p: Params = Params()) -> DataFrame:  # noqa: B008
-    """The ``p.words`` words of four or more letters that occur most in all documents: ``word, n``."""
-    words = docs.select(F.explode(F.split(lower_az(docs[text_col].cast("string")), "[^a-z]+")).alias("word")).where(F.length("word") >= 4)
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(p.words)
+    """``word, n``: words of four or more letters with a count over a threshold, which a histogram sets so that ``p.words`` of them are left at most.
+
+    The histogram has a fixed number of bins of the logarithm of the count, so nothing that grows with the documents is sorted or collected.
+    """
+    words = docs.select(F.explode(F.split(lower_az(docs[text_col].cast("string")), "[^a-z]+")).alias("word")).where(F.length("word").between(4, 40))
+    counts = durable(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    bins = counts.groupBy(F.floor(F.log2("n") * 64).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"))
+    least, room = 1 << 62, p.words
+    for r in sorted(bins.collect(), key=lambda r: -r.bin):
+        if r.words > room:
+            break
+        room, least = room - r.words, r.least
+    return counts.where(F.col("n") >= least)
 
 
 def pieces_of(words: list, size: int, most: int) -> list[str]:
@@ -93,7 +132,7 @@ def featured(findings: DataFrame, pairs: list[str], quads: list[str]) -> DataFra
         "transitions": (F.length(F.regexp_replace(shape, "(.)\\1*", "$1")) - 1) / n,
         "variety": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(40.0)),
         "hex_only": yes(low.rlike("^[0-9a-f]+$")), "digits_only": yes(c.rlike("^[0-9+\\-]+$")),
-        "common_pairs": known(2, pairs), "dictionary": known(4, quads),
+        "common_pairs": known(2, pairs), "dictionary": F.when(n >= 4, known(4, quads)).otherwise(0.0),
         "in_path": yes(F.col("lead").contains("/") | c.rlike("/[^/]*/") | c.rlike("^/")), "has_extension": yes(F.col("tail").rlike("^\\.[A-Za-z]{1,4}\\b")),
         "in_address": yes(F.col("lead").rlike("://|@|www\\.") | F.col("tail").rlike("^@")),
         "secret_near": yes(around.rlike(SECRET_WORDS)), "plain_near": yes(around.rlike(PLAIN_WORDS)),
@@ -105,21 +144,26 @@ def featured(findings: DataFrame, pairs: list[str], quads: list[str]) -> DataFra
 def derived_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:  # noqa: B008
     """Labelled findings where none are given: a finding's columns and ``label``.
 
-    About ``p.sample`` documents, drawn by a seeded hash of the id, give seven
+    About ``p.sample`` documents, drawn by a seeded hash of the id, give nineteen
     findings each. Random strings come from digests of the id, and words from
     the text. Secrets are such strings where a secret is assigned or passed, or with
-    a known prefix anywhere; the rest are the same strings as checksums or in paths, and
-    card numbers, identifiers made of words, dates and repeated characters.
+    a known prefix anywhere, chosen passwords, dotted tokens and key blocks; the
+    rest are the same strings as checksums or in paths, card numbers,
+    identifiers and compounds made of words, dates, and rulers.
     """
     top, n = 1 << 62, docs.count()
     rows = docs.select(F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("k"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(p.seed), "k"), F.lit(top)) < min(top, int(top * (p.sample / max(n, 1)))))
-    pick = lambda salt, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64(F.lit(salt), "k"), F.lit(len(values))) + 1).cast("int"))
-    hexes = F.concat(F.sha1(F.concat(F.lit("a"), "k")), F.sha1(F.concat(F.lit("b"), "k")))
-    mixed = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("c"), "k"), 512))), "[+/=]", "7")
-    digits = F.regexp_replace(F.sha2(F.concat(F.lit("d"), "k"), 512), "[^0-9]", "")
-    words = F.split(F.regexp_replace(lower_az(F.col("text")), "[^a-z ]", ""), " +")
-    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit("word"))
+    pick = lambda salt, *values: F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (F.pmod(F.xxhash64(F.lit(salt), "k"), F.lit(len(values))) + 1).cast("int"))
+    made = {
+        "hexes": F.concat(F.sha1(F.concat(F.lit("a"), "k")), F.sha1(F.concat(F.lit("b"), "k"))),
+        "mixed": F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("c"), "k"), 512))), "[+/=]", "7"),
+        "digits": F.regexp_replace(F.sha2(F.concat(F.lit("d"), "k"), 512), "[^0-9]", ""),
+        "words": F.slice(F.split(F.regexp_replace(lower_az(F.col("text")), "[^a-z ]", ""), " +"), 1, 12),
+    }
+    drawn = durable(drawn.withColumns(made).drop("text"), "drawn")  # p.sample rows or so; written, as each is used many times below
+    hexes, mixed, digits, words = (F.col(c) for c in made)
+    word = lambda i: F.coalesce(F.nullif(F.get(words, F.lit(i)), F.lit("")), F.lit("word"))
     random = F.when(pick(1, 0, 1) == 0, F.substring(hexes, F.lit(1), pick(2, 32, 40, 64))).otherwise(F.substring(mixed, F.lit(1), pick(3, 20, 24, 32, 40, 64)))
 
     def finding(label: int, candidate: Column, before2, before1, lead, tail, after1=None) -> Column:
@@ -140,7 +184,19 @@ def derived_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     date = finding(0, F.concat(F.lit("20"), F.rpad(F.substring(digits, F.lit(1), F.lit(2)), 2, "1"), F.lit("-01-02-10-20-30")), word(2), word(3), "", pick(20, "", ".log", "Z"))
     repeated = finding(0, F.concat(F.repeat(F.substring(hexes, F.lit(1), F.lit(1)), 20), F.lit("0")), pick(21, "token", "secret", "key"), "=", '"', '"')
     given = F.array(one_word, three_words, passed, finding(1, prefixed, word(2), word(3), "", ""), checksum, path, card, made, date, repeated)
-    return drawn.select(F.explode(given).alias("f")).select("f.*").where(F.length("candidate") >= 16)
+    chosen = F.concat(pick(22, "Sun", "river", "Blue", "go"), word(3), pick(23, "!", "#", "", "$"), F.substring(digits, F.lit(1), F.lit(3)))
+    password = finding(1, chosen, pick(24, "password", "passwd", "pwd", "db_password"), mark, quote, quote)
+    login = finding(1, chosen, word(1), word(2), F.concat(F.lit("https://"), word(4), F.lit(":")), "@db.example.org")
+    dotted = finding(1, F.concat(F.lit("eyJ"), F.substring(mixed, F.lit(1), F.lit(20)), F.lit("."), F.substring(mixed, F.lit(21), F.lit(40))), pick(25, "token", "Authorization:", "jwt"), pick(26, "=", "Bearer", ":"), quote, quote)
+    letters = finding(1, F.translate(F.substring(mixed, F.lit(30), F.lit(24)), "0123456789", "qzXwvKjyBf"), name, mark, quote, quote)
+    key = finding(1, F.concat(F.lit("-----BEGINRSAPRIVATEKEY-----"), mixed, mixed, F.lit("-----ENDRSAPRIVATEKEY-----")), word(1), word(2), "", "")
+    joined = F.substring(F.concat(*[word(i) for i in range(1, 9)]), F.lit(1), pick(33, 20, 22, 26, 32))
+    compound = finding(0, joined, word(9), word(10), "", pick(27, "", ".", ","))
+    name_like = finding(0, F.initcap(joined), word(9), pick(34, word(10), "token", ""), "", pick(35, "", ".", ","))
+    spoken = finding(0, word(2), pick(28, "password", "token", "secret", "the"), pick(29, ":", "=", "is:"), "", pick(30, "", ".", ","))
+    ruler = finding(0, F.repeat(pick(31, "-", "=", "_", "a", "ha"), 24), word(1), word(2), "", "")
+    more = F.array(password, login, dotted, letters, key, compound, name_like, spoken, ruler)
+    return drawn.select(F.explode(F.concat(given, more)).alias("f")).select("f.*").where(F.length("candidate") >= 3)
 
 
 def scan(

@@ -19,8 +19,12 @@ ELECTORATE_SHARE = {
     "women": 0.52, "men": 0.47, "other_gender": 0.01,
 }
 
-# Exit-poll shares of the electorate by race, 2024.
-EXIT_POLL_SHARE = {"african_american": 0.12, "asian": 0.05, "latino": 0.15, "other_race": 0.05, "white": 0.63}
+# Shares of the electorate that samples of posts are drawn by.
+SAMPLE_SHARE = {
+    "evangelical": 0.26, "protestant": 0.17, "catholic": 0.21, "secular": 0.24, "jewish": 0.02, "muslim": 0.01, "other_rel": 0.09,
+    "african_american": 0.11, "latino": 0.11, "asian": 0.03, "white": 0.71, "other_race": 0.04,
+    "women": 0.53, "men": 0.47, "other_gender": 0.01,
+}
 
 # Third-party share of 1992 by bloc, and where nothing is known.
 THIRD_PARTY_1992 = {

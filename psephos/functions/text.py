@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 # Acronyms and what they stand for (case counts).
-ACRONYMS = {"SCOTUS": "Supreme Court", "POTUS": "President", "GOP": "Republican Party", "DNC": "Democratic National Committee", "RNC": "Republican National Committee"}
+ACRONYMS = {"SCOTUS": "Supreme Court", "POTUS": "President", "FLOTUS": "First Lady", "VPOTUS": "Vice President", "MAGA": "Make America Great Again"}
 
 DELETED = ["[deleted]", "[removed]", "[removed by reddit]"]
-URL = r"https?://\S+|www\.\S+"
+URL = r"https?://\S+"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\s]"
 
 
@@ -66,7 +66,7 @@ def holds_any(c: Column, keywords: Iterable[str]) -> Column:
 def is_spam(c: Column) -> Column:
     """Retweets, texts of emoji or one link only, and texts of under 10 characters without links and mentions."""
     bare = strip(F.regexp_replace(F.regexp_replace(c, URL, ""), r"@\w+", ""))
-    return c.rlike(r"^RT @") | (F.regexp_replace(c, EMOJI, "") == "") | strip(c).rlike(rf"^({URL})$") | (F.length(bare) < 10)
+    return c.rlike(r"(?i)^RT\s+@\w+") | (F.regexp_replace(c, EMOJI, "") == "") | strip(c).rlike(rf"^({URL})$") | (F.length(bare) < 10)
 
 
 def is_kept_body(c: Column, least: int = 10) -> Column:

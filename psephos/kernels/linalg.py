@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
@@ -210,18 +212,83 @@ def jackknife_platt(score: np.ndarray, won: np.ndarray, c: float = 100.0) -> np.
     return out
 
 
-def layer_weights(strata: np.ndarray, truth: np.ndarray, prior: np.ndarray, strength: float = 1e-3, rounds: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, int]:
-    """Non-negative weights of three strata with sum 1 that explain the results, drawn to a prior; the prior for under three points."""
-    lam = np.asarray(prior, float)
+def layer_weights(strata: np.ndarray, truth: np.ndarray, start: np.ndarray, strength: float = 0.01, rounds: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, int]:
+    """Non-negative weights of strata with sum 1 that explain the results, drawn to equal weights, and the rounds it took.
+
+    Each round solves the regularised normal equations of the strata that have
+    weight and projects onto the simplex, until nothing moves. Under three
+    points: the start, normalised, and 0 rounds.
+    """
+    lam = np.asarray(start, float)
     if len(truth) < 3:
-        return lam, 0
-    gram = strata.T @ strata + strength * np.eye(len(lam))
-    rate = 1 / np.linalg.eigvalsh(gram)[-1]
+        return lam / (lam.sum() or 1.0), 0
+    even = np.full(len(lam), 1 / len(lam))
     for i in range(1, rounds + 1):
-        new = lam
-        for _ in range(50):
-            new = onto_simplex(new - rate * (gram @ new - strata.T @ truth - strength * np.asarray(prior)))
+        live, new = np.flatnonzero(lam > 1e-9), np.zeros(len(lam))
+        own = strata[:, live]
+        new[live] = np.linalg.solve(own.T @ own + strength * np.eye(len(live)), own.T @ truth + strength * even[live])
+        new = onto_simplex(new)
         moved, lam = np.abs(new - lam).max(), new
         if moved < tol:
-            break
-    return lam, i
+            return lam, i
+    return lam, rounds
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """Bounds of named weights whose sum is 1; 0 and 1 where none are given."""
+
+    names: tuple[str, ...]
+    lower: Mapping[str, float] = field(default_factory=dict)
+    upper: Mapping[str, float] = field(default_factory=dict)
+
+    def check(self) -> Bounds:
+        """Itself, or an error that names the first bound that is unknown, out of [0, 1] or above its partner, or the sum that leaves no weights."""
+        for kind in ("lower", "upper"):
+            for name, x in getattr(self, kind).items():
+                if name not in self.names or not (np.isfinite(x) and 0 <= x <= 1):
+                    raise ValueError(f"{kind}[{name}]: {x} is no bound of {list(self.names)} in [0, 1]")
+        lo, hi = self.arrays()
+        crossed = [n for n, a, b in zip(self.names, lo, hi, strict=True) if a > b]
+        if crossed or lo.sum() > 1 + 1e-9 or hi.sum() < 1 - 1e-9:
+            raise ValueError(f"no weights with sum 1: crossed {crossed}, lower bounds sum to {lo.sum()}, upper to {hi.sum()}")
+        return self
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([self.lower.get(n, 0.0) for n in self.names]), np.array([self.upper.get(n, 1.0) for n in self.names])
+
+    def best(self, mu: np.ndarray) -> np.ndarray:
+        """The weights with the largest mean: what is left over the lower bounds goes to the largest first."""
+        lo, hi = self.arrays()
+        w, left = lo.copy(), 1 - lo.sum()
+        for i in np.argsort(-np.asarray(mu), kind="stable"):
+            give = min(hi[i] - lo[i], left)
+            w[i] += give
+            left -= give
+        return w
+
+
+def max_sharpe_within(sigma: np.ndarray, mu: np.ndarray, target: float, layer: float, fixed: float, bounds: Bounds) -> np.ndarray:
+    """Weights within ``bounds`` with the largest (layer * mu . w + fixed - target) / (layer * deviation); an error if no weights reach the target."""
+    lo, hi = bounds.check().arrays()
+    goal = (target - fixed) / layer
+    top = bounds.best(mu)
+    if mu @ top <= goal:
+        raise ValueError(f"the target {target} is out of reach: {layer * (mu @ top) + fixed} at most")
+
+    def at(m: float) -> tuple[float, np.ndarray]:
+        w = quadratic_program(sigma, mu, m, lo, hi)
+        w = top if w is None else w
+        return (mu @ w - goal) / np.sqrt(max(w @ sigma @ w, 1e-18)), w
+
+    a, b, g = goal, float(mu @ top), (5**0.5 - 1) / 2
+    for _ in range(60):
+        c, d = b - g * (b - a), a + g * (b - a)
+        a, b = (a, d) if at(c)[0] >= at(d)[0] else (c, b)
+    return at((a + b) / 2)[1]
+
+
+def win_interval(win: float, n: int, seed: int, replicates: int = 500) -> tuple[float, float]:
+    """5th and 95th percentiles of Binomial(n, win) / n: the interval of the estimated probability."""
+    shares = np.random.default_rng(seed).binomial(n, win, replicates) / n
+    return float(np.percentile(shares, 5)), float(np.percentile(shares, 95))

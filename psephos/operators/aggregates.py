@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def finite(c: Column) -> Column:
+    """Neither null, NaN nor infinite."""
+    x = c.cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
 def kish_share(rows: DataFrame, keys: Sequence[str], hit: Column, weight: Column | None = None) -> DataFrame:
     """Weighted share of ``hit`` (0 or 1; null: left out) and its standard error by Kish's effective size; a null weight counts 1."""
     w = F.coalesce(weight, F.lit(1.0)) if weight is not None else F.lit(1.0)
@@ -76,12 +82,12 @@ def first_differences(rows: DataFrame, keys: Sequence[str], order: str, value: s
 
 
 def volume_weighted(rows: DataFrame, keys: Sequence[str], price: str, volume: str) -> DataFrame:
-    """Volume-weighted price; an unknown volume counts as the mean known one of its key, and all unknown as equal."""
-    ok = rows.where(F.col(price).isNotNull() & ~F.isnan(price))
+    """Volume-weighted price; a volume that is not over 0 counts as the mean of its key's known ones, and all unknown as equal. Prices that aren't finite are left out."""
+    ok = rows.where(finite(F.col(price)))
     # sum p*v over known + mean * sum p over unknown, in one pass
-    known = F.col(volume).isNotNull()
+    known = F.coalesce(finite(F.col(volume)) & (F.col(volume) > 0), F.lit(False))
     sums = ok.groupBy(*keys).agg(
-        F.sum(F.when(known, F.col(price) * F.col(volume))).alias("_pv"), F.sum(F.when(known, F.col(volume))).alias("_v"), F.avg(volume).alias("_mean"),
+        F.sum(F.when(known, F.col(price) * F.col(volume))).alias("_pv"), F.sum(F.when(known, F.col(volume))).alias("_v"), F.avg(F.when(known, F.col(volume))).alias("_mean"),
         F.sum(F.when(~known, F.col(price))).alias("_pu"), F.count(F.when(~known, 1)).alias("_nu"), F.avg(price).alias("_plain"),
     )
     top = F.coalesce("_pv", F.lit(0.0)) + F.col("_mean") * F.coalesce("_pu", F.lit(0.0))
@@ -90,8 +96,8 @@ def volume_weighted(rows: DataFrame, keys: Sequence[str], price: str, volume: st
 
 
 def slopes(rows: DataFrame, keys: Sequence[str], y: str, x: str, least: int = 3) -> DataFrame:
-    """Least-squares slope for each key with ``least`` points or more, else null; null too where x doesn't vary."""
-    ok = rows.where(f"`{y}` IS NOT NULL AND `{x}` IS NOT NULL")
+    """Least-squares slope for each key with ``least`` points or more, else null; null too where x doesn't vary. Pairs that aren't finite are left out."""
+    ok = rows.where(finite(F.col(y)) & finite(F.col(x)))
     return ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, F.regr_slope(y, x)).alias("slope"))
 
 
@@ -113,3 +119,16 @@ def share_within(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``rows`` with ``share``, the value over its key's sum: the sums are joined, so a large key is not gathered."""
     sums = rows.groupBy(*keys).agg(F.sum(value).alias("_sum"))
     return rows.join(sums, list(keys)).withColumn("share", F.when(F.col("_sum") != 0, F.col(value) / F.col("_sum"))).drop("_sum")
+
+
+def group_means(rows: DataFrame, keys: Sequence[str], names: DataFrame, name: str, value: str) -> DataFrame:
+    """Plain mean over the groups (platforms) that have a value, for each key and each of ``names``, a dimension; 0 where none has."""
+    means = rows.groupBy(*keys, name).agg(F.avg(value).alias("_mean"))
+    grid = rows.select(*keys).distinct().crossJoin(F.broadcast(names.select(name).distinct()))
+    return grid.join(means, [*keys, name], "left").select(*keys, name, F.coalesce("_mean", F.lit(0.0)).alias(value))
+
+
+def class_counts(rows: DataFrame, classes: dict[str, Column]) -> DataFrame:
+    """``name, n``: rows of each class, a row may be in several; one pass. A condition that is null doesn't count."""
+    counted = rows.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in classes.items()])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("n")) for k in classes])).alias("x")).select("x.*")

@@ -37,6 +37,14 @@ def classified(posts: DataFrame, key: str, text: Column, outlet: Column, lang: C
     return out.select(key, method.alias("method"), F.coalesce(*[F.col(c) for _, c in steps]).alias("weights"))
 
 
+def with_platform(rows: DataFrame, platform: Column, defaults: DataFrame) -> DataFrame:
+    """``rows`` of ``classified``, where nothing was found with the weights of the author's platform (``platform, weights``; small) and the method ``platform``."""
+    known = bounded(defaults.select(F.lower("platform").alias("_platform"), F.col("weights").alias("_default")))
+    out = rows.join(known, F.lower(platform) == F.col("_platform"), "left")
+    method = F.when(F.col("method").isNotNull(), F.col("method")).when(F.col("_default").isNotNull(), "platform")
+    return out.withColumns({"method": method, "weights": F.coalesce("weights", "_default")}).drop("_platform", "_default")
+
+
 def estimable(rows: DataFrame) -> DataFrame:
     """Rows whose method says something about the author."""
     return rows.where((F.col("method") != WEAK) & F.col("method").isNotNull())

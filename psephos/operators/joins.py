@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,9 +21,25 @@ def bounded(small: DataFrame) -> DataFrame:
 
 
 def routed(posts: DataFrame, text: Column, keywords: DataFrame) -> DataFrame:
-    """A row for each post and topic with a keyword in the lower-cased text. ``keywords``: ``topic, keyword``, small."""
-    hit = posts.join(bounded(keywords.select("topic", F.lower("keyword").alias("_keyword"))), F.lower(text).contains(F.col("_keyword")))
-    return hit.drop("_keyword").distinct()
+    """A row for each post and topic with a keyword in the lower-cased text. ``keywords``: ``topic, keyword``, small.
+
+    The matched topics are an array that is made in one narrow pass and
+    exploded: no text is shuffled, and repeated posts stay repeated.
+    """
+    return posts.withColumn("topic", F.explode(matched(text, keywords)))
+
+
+def matched(text: Column, keywords: DataFrame) -> Column:
+    """The sorted topics with a keyword in the lower-cased text, from ``SMALL_ROWS`` keywords at most; none for null."""
+    rows = keywords.select("topic", F.lower("keyword").alias("k")).where("k IS NOT NULL AND topic IS NOT NULL").distinct().limit(SMALL_ROWS + 1).collect()
+    if len(rows) > SMALL_ROWS:
+        raise ValueError(f"more than {SMALL_ROWS} keywords")
+    by: dict[str, list[str]] = {}
+    for r in rows:
+        by.setdefault(r.topic, []).append(r.k)
+    low = F.lower(text)
+    hits = [F.when(low.rlike("|".join(re.escape(k) for k in sorted(ks))), F.lit(t)) for t, ks in sorted(by.items())]
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
 def routed_first(posts: DataFrame, key: str, text: Column, keywords: DataFrame) -> DataFrame:
@@ -55,9 +72,10 @@ def missing_cells(rows: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
 
 
 def by_overlap(left: DataFrame, key: str, words: Column, names: DataFrame, name: str, name_words: Column) -> DataFrame:
-    """The name that shares most words with each row, the first by name on ties; rows that share none are left out."""
-    pairs = left.select(key, words.alias("_w")).crossJoin(bounded(names.select(name, name_words.alias("_n"))))
-    scored = pairs.withColumn("overlap", F.size(F.array_intersect("_w", "_n"))).where("overlap > 0")
+    """The name that shares most words with each key, the first by name on ties; keys that share none are left out. Keys are unique; words meet by an equi-join."""
+    own = left.select(key, F.explode(F.array_distinct(words)).alias("_word"))
+    of = names.select(name, F.explode(F.array_distinct(name_words)).alias("_word"))
+    scored = own.join(of, "_word").groupBy(key, name).agg(F.count(F.lit(1)).alias("overlap"))
     best = scored.groupBy(key).agg(F.min(F.struct((-F.col("overlap")).alias("o"), F.col(name).alias("n"))).alias("b"))
     return best.select(key, F.col("b.n").alias(name), (-F.col("b.o")).cast("long").alias("overlap"))
 

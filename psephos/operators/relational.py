@@ -63,8 +63,8 @@ def upsert_prefix(old: DataFrame, new: DataFrame, key: str, prefix: str) -> Data
 
 
 def renamed(rows: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Renames where the source exists, the target doesn't, and no other source has that target."""
-    targets = list(names.values())
+    """Renames where the source exists, the target doesn't, and no other source that exists has that target."""
+    targets = [b for a, b in names.items() if a in rows.columns]
     ok = {a: b for a, b in names.items() if a in rows.columns and b not in rows.columns and targets.count(b) == 1}
     return rows.withColumnsRenamed(ok)
 

@@ -15,14 +15,20 @@ PERCENTILES = [0.05, 0.25, 0.50, 0.75, 0.95]
 
 
 def monte_carlo(
-    spark: SparkSession, names: Sequence[str], weights: np.ndarray, mu: np.ndarray, target: float, draws: int, seed: int, first_layer: float = 0.114, deviation: float = 0.02, parts: int = 16
+    spark: SparkSession, names: Sequence[str], weights: np.ndarray, mu: np.ndarray, target: float, draws: int, seed: int, sigma: np.ndarray | None = None, first_layer: float = 0.114, fixed: float | None = None, parts: int = 16
 ) -> DataFrame:
-    """``name, p05 .. p95, win`` from draws of log-ratios around ``weights``; a win is a weighted mean over the target with neutral other layers.
+    """``name, p05 .. p95, win, win_low, win_high`` from draws of log-ratios around ``weights``.
+
+    ``sigma`` is the covariance of the changes (0.02 squared times the identity
+    by default). A win is a weighted mean of at least the target with ``fixed``
+    from the other layers (neutral by default). The interval is that of the
+    estimated probability, 5 to 95 %.
 
     Every block of draws has its own seed, so neither the partitioning nor a rerun changes them.
     """
     centre = linalg.log_ratio(weights)
-    root = np.linalg.cholesky(linalg.log_ratio_covariance(weights, np.eye(len(weights)) * deviation**2))
+    root = np.linalg.cholesky(linalg.log_ratio_covariance(weights, np.eye(len(weights)) * 0.02**2 if sigma is None else sigma))
+    rest = (1 - first_layer) * 0.5 if fixed is None else fixed
     block = -(-draws // parts)
 
     def run(batches):
@@ -31,14 +37,20 @@ def monte_carlo(
                 rng = np.random.default_rng([seed, k])
                 z = centre + rng.standard_normal((min(block, draws - k * block), len(centre))) @ root.T
                 w = linalg.from_log_ratio(z)
-                win = first_layer * (w @ mu) + (1 - first_layer) * 0.5 >= target
+                win = first_layer * (w @ mu) + rest >= target
                 for i, name in enumerate(names):
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(w)), pa.array(w[:, i]), pa.array(win.astype(float))], ["name", "w", "win"])
 
     rows = spark.range(parts, numPartitions=parts).where(F.col("id") * block < draws).mapInArrow(run, "name string, w double, win double")
     p = F.percentile("w", F.array(*[F.lit(x) for x in PERCENTILES]))
     out = rows.groupBy("name").agg(p.alias("p"), F.avg("win").alias("win"))
-    return out.select("name", *[F.get("p", F.lit(i)).alias(f"p{int(x * 100):02d}") for i, x in enumerate(PERCENTILES)], "win")
+
+    @F.pandas_udf("struct<low: double, high: double>")
+    def interval(win: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([linalg.win_interval(x, draws, seed) for x in win], columns=["low", "high"])
+
+    shown = [F.get("p", F.lit(i)).alias(f"p{int(x * 100):02d}") for i, x in enumerate(PERCENTILES)]
+    return out.withColumn("i", interval("win")).select("name", *shown, "win", F.col("i.low").alias("win_low"), F.col("i.high").alias("win_high"))  # a row for each name
 
 
 def poisson(rate: float, u, terms: int = 9):

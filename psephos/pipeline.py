@@ -72,14 +72,15 @@ def delta_covariance(panel: DataFrame, least: int = 3) -> np.ndarray | None:
     return linalg.shrunk_covariance(np.diff(x, axis=0))[0] if len(x) > least else None
 
 
-def calibrate_layers(panel: DataFrame, prior: tuple = (0.5, 0.3, 0.2)) -> tuple[np.ndarray, int]:
+def calibrate_layers(panel: DataFrame, start: tuple = (0.5, 0.3, 0.2)) -> tuple[np.ndarray, int]:
     """Layer weights that explain past results by the strata's means."""
     spark = panel.sparkSession
     blocs = dims.small(dims.blocs(spark).select("bloc", "stratum", "share"))
     means = panel.join(blocs, "bloc").groupBy("cycle").pivot("stratum", list(dims.BLOCS)).agg(aggregates.weighted_mean(F.col("vote_share"), F.col("share")))
+    # cycles without all strata or a known result have no say
     rows = means.join(dims.small(dims.cycles(spark)), "cycle").dropna().orderBy("cycle").collect()
     s = np.array([[r[k] for k in dims.BLOCS] for r in rows]).reshape(-1, 3)
-    return linalg.layer_weights(s, np.array([r.truth for r in rows]), np.array(prior))
+    return linalg.layer_weights(s, np.array([r.truth for r in rows]), np.array(start))
 
 
 def effective_loyalty(weights: np.ndarray, m: Moments, layers: tuple = LAYERS) -> float:
@@ -94,8 +95,11 @@ def shifted(mu: np.ndarray, deltas: dict[str, str], intensity: float = 1.0) -> n
     return np.clip(mu + move, 0.01, 0.99)
 
 
-def run_shock(spark: SparkSession, m: Moments, deltas: dict[str, str], intensity: float = 1.0, draws: int = 10_000, seed: int = 7) -> Iterator[tuple[str, dict]]:
-    """The stages of one event in order: deltas, equilibrium, simulation, done; an error ends it with ``stream_error`` and ``done``."""
+def run_shock(spark: SparkSession, m: Moments, deltas: dict[str, str], intensity: float = 1.0, draws: int = 10_000, seed: int = 7, changes: np.ndarray | None = None) -> Iterator[tuple[str, dict]]:
+    """The stages of one event in order: deltas, equilibrium, simulation, done; an error ends it with ``stream_error`` and ``done``.
+
+    ``changes`` is the covariance of past changes (``delta_covariance``) that the draws spread by.
+    """
     race = dims.BLOCS["race"]
     try:
         mu = shifted(m.mu, deltas, intensity)
@@ -103,17 +107,30 @@ def run_shock(spark: SparkSession, m: Moments, deltas: dict[str, str], intensity
         w = linalg.max_sharpe(m.sigma + 1e-9 * np.eye(len(race)), mu, m.target)
         met = LAYERS[0] * float(w @ mu) + (1 - LAYERS[0]) * 0.5 >= m.target
         yield "equilibrium", {"weights": dict(zip(race, w.tolist(), strict=True)), "target": m.target, "target_met": bool(met)}
-        rows = simulate.monte_carlo(spark, race, w, mu, m.target, draws, linalg.derive_seed(seed, "monte_carlo")).collect()  # five rows
-        yield "simulation", {"win_probability": rows[0].win, "percentiles": {r.name: [r.p05, r.p25, r.p50, r.p75, r.p95] for r in rows}}
+        rows = simulate.monte_carlo(spark, race, w, mu, m.target, draws, linalg.derive_seed(seed, "monte_carlo"), sigma=changes).collect()  # five rows
+        yield "simulation", {"win_probability": rows[0].win, "low": rows[0].win_low, "high": rows[0].win_high, "percentiles": {r.name: [r.p05, r.p25, r.p50, r.p75, r.p95] for r in rows}}
     except Exception as e:  # the stream tells its reader
         yield "stream_error", {"message": str(e)}
     yield "done", {}
 
 
-def sensitivity(spark: SparkSession, m: Moments, deltas: dict[str, str], seed: int = 7) -> list[tuple[float, float]]:
+def sensitivity(spark: SparkSession, m: Moments, deltas: dict[str, str], seed: int = 7, draws: int = 10_000) -> list[tuple[float, float]]:
     """Win probability for intensities from 0.5 to 2 in steps of 0.25."""
     out = []
     for i in np.arange(0.5, 2.01, 0.25):
-        found = dict(run_shock(spark, m, deltas, float(i), seed=seed))
+        found = dict(run_shock(spark, m, deltas, float(i), draws, seed))
         out.append((float(i), found["simulation"]["win_probability"]))
     return out
+
+
+def moment_report(spark: SparkSession, m: Moments, benchmarks: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """``bloc, stratum, estimated, benchmark, delta, flag`` in the order of the blocs: ``ok``, ``WARN`` over the threshold, ``ALERT`` over twice it, ``MISSING`` without an estimate.
+
+    ``benchmarks`` has ``bloc, benchmark``.
+    """
+    known = dict(zip(dims.BLOCS["race"], m.mu.tolist(), strict=True)) | m.fixed
+    rows = spark.createDataFrame([(b, float(x)) for b, x in known.items() if np.isfinite(x)], "bloc string, estimated double")
+    found = dims.blocs(spark).select("bloc", "stratum", "ord").join(rows, "bloc", "left").join(benchmarks.select("bloc", "benchmark"), "bloc", "left")
+    delta = F.col("estimated") - F.col("benchmark")
+    flag = F.when(F.col("estimated").isNull(), "MISSING").when(F.abs(delta) > 2 * threshold, "ALERT").when(F.abs(delta) > threshold, "WARN").otherwise("ok")
+    return found.select("bloc", "stratum", "estimated", "benchmark", delta.alias("delta"), flag.alias("flag"), "ord").orderBy("ord").drop("ord")

@@ -66,7 +66,7 @@ def last_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH e AS (SELECT event_type, floor({_T} / 86400)::BIGINT AS day, value AS price, CASE WHEN event_id % 3 > 0 THEN (event_id % 17)::DOUBLE END AS volume FROM events),
+WITH e AS (SELECT event_type, floor({_T} / 86400)::BIGINT AS day, value AS price, CASE WHEN event_id % 3 > 0 AND event_id % 17 > 0 THEN (event_id % 17)::DOUBLE END AS volume FROM events WHERE isfinite(value)),
 m AS (SELECT *, avg(volume) OVER (PARTITION BY event_type, day) AS mean FROM e)
 SELECT event_type, day, round(CASE WHEN sum(coalesce(volume, mean)) > 0 THEN sum(price * coalesce(volume, mean)) / sum(coalesce(volume, mean)) ELSE avg(price) END, 6) AS vwap FROM m GROUP BY ALL""")
 def vwap_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,18 +112,23 @@ def bin_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(side.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(scalars.scaled_delta(F.col("midpoint"), F.lit(1.1))), 9).alias("delta"))
 
 
+#: Shares of two event types, as a sampler is given them; other types get an equal share of their day.
+EVENT_SHARES = {"click": 0.71, "view": 0.11}
+
+
 @query(f"""
 WITH n AS (SELECT floor({_T} / 86400)::BIGINT AS day, event_type AS bloc, count(*) AS n FROM events GROUP BY ALL),
-b AS (SELECT greatest(1, floor(600 / count(DISTINCT day))) AS budget FROM n)
-SELECT day, bloc, n, greatest(1, round_even((SELECT budget FROM b) * n / sum(n) OVER (PARTITION BY day), 0))::BIGINT AS target FROM n""")
+b AS (SELECT greatest(1, floor(600 / count(DISTINCT day))) AS budget FROM n),
+s AS (SELECT *, CASE bloc WHEN 'click' THEN 0.71 WHEN 'view' THEN 0.11 ELSE 1.0 / count(*) OVER (PARTITION BY day) END::DOUBLE AS share FROM n)
+SELECT day, bloc, n, greatest(1, round_even((SELECT budget FROM b) * (share / sum(share) OVER (PARTITION BY day)), 0))::BIGINT AS target FROM s""")
 def day_offset_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.day_targets(timed(spark, sf_dir).withColumnRenamed("event_type", "bloc"), "day", "bloc", 600).select("day", "bloc", "n", "target")
+    return sampling.day_targets(timed(spark, sf_dir).withColumnRenamed("event_type", "bloc"), "day", "bloc", 600, EVENT_SHARES).select("day", "bloc", "n", "target")
 
 
 @query()
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = timed(spark, sf_dir).select("event_id", "day", F.col("event_type").alias("bloc"), "value")
-    return sampling.day_sample(rows, "day", "bloc", "event_id", F.abs("value") >= 0.5, 600, seed=7)
+    return sampling.day_sample(rows, "day", "bloc", "event_id", F.abs("value") >= 0.5, 600, seed=7, shares=EVENT_SHARES)
 
 
 @query(f"""

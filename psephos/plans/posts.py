@@ -71,7 +71,7 @@ def bloc_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bGOP\b', 'Republican Party', 'g'), 'https?://\S+|www\.\S+', '', 'g'),
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bMAGA\b', 'Make America Great Again', 'g'), '\bSCOTUS\b', 'Supreme Court', 'g'), 'https?://\S+', '', 'g'),
        '@[0-9A-Za-z_]+', '', 'g'), '#([0-9A-Za-z_]+)', '\1', 'g'), '\s{{2,}}', ' ', 'g'), {_STRIP}) AS cleaned FROM conversations""")
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean_post(F.col("text")).alias("cleaned"))

@@ -187,3 +187,60 @@ class ZippedPages(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _ZipReader(self.options)
+
+
+def articles(rows: DataFrame, since: str | None = None, until: str | None = None, states: Sequence[str] = (), outlet: str | None = None) -> DataFrame:
+    """Articles (``state, url, date`` and names of the outlet, where there are) of a span of days, some states and one outlet.
+
+    An article without a date passes the span. The outlet's name may stand in
+    the first filled of ``outlet, source, domain`` or in the host. Case doesn't
+    count.
+    """
+    got = lambda *names: text.first_filled(*[F.col(n) for n in names if n in rows.columns], F.lit(None).cast("string"))
+    day = F.try_to_date(F.substring(got("date", "published", "created_at"), 1, 10), "yyyy-MM-dd")
+    keep = F.lit(True)
+    if since:
+        keep &= F.coalesce(day >= F.lit(since).cast("date"), F.lit(True))
+    if until:
+        keep &= F.coalesce(day <= F.lit(until).cast("date"), F.lit(True))
+    if states:
+        keep &= F.coalesce(F.upper(got("state")).isin([s.upper() for s in states]), F.lit(False))
+    if outlet:
+        host = F.lower(F.regexp_extract(got("url", "link"), "https?://([^/]+)", 1))
+        named = F.lower(got("outlet", "source", "domain")).contains(outlet.lower())
+        keep &= F.coalesce(named, F.lit(False)) | F.coalesce(host.contains(outlet.lower()), F.lit(False))
+    return rows.where(keep)
+
+
+def outlet_proxy(description: Column) -> Column:
+    """The weights of an outlet's readers, by bloc, from a description that is JSON with ``proxy``: ``{race, religion, gender}``; null without any."""
+    kind = "struct<proxy: struct<race: map<string,double>, religion: map<string,double>, gender: map<string,double>>>"
+    proxy = F.from_json(description, kind)["proxy"]
+    parts = [F.coalesce(proxy[s], F.create_map().cast("map<string,double>")) for s in ("race", "religion", "gender")]
+    both = F.map_concat(*parts)
+    return F.when(F.size(both) > 0, both)
+
+
+def json_strings(c: Column) -> Column:
+    """All string values of a JSON text at any depth, in order; none for what is no JSON. Keys are no values."""
+    mark = r'"((?:[^"\\]|\\.)*)"\s*(?!\s*:)(?=[,\]}\s]|$)'
+    found = F.regexp_extract_all(c, F.lit(mark), F.lit(1))
+    plain = F.transform(found, lambda s: F.from_json(F.concat(F.lit('["'), s, F.lit('"]')), "array<string>")[0])
+    return F.when(F.try_parse_json(c).isNotNull(), plain).otherwise(F.array().cast("array<string>"))
+
+
+def span_of(shock_day: Column, before: int, after: int, start: Column | None = None, end: Column | None = None) -> Column:
+    """The days ``start`` and ``end`` of a window and its ``cutoff``, 30 days past the end, beyond which no file need be read."""
+    first, last = F.coalesce(start, F.date_sub(shock_day, before)) if start is not None else F.date_sub(shock_day, before), F.date_add(shock_day, after)
+    last = F.coalesce(end, last) if end is not None else last
+    return F.struct(first.alias("start"), last.alias("end"), F.date_add(last, 30).alias("cutoff"))
+
+
+def dated_files(spark: SparkSession, path: str, start: str, end: str, pattern: str = r"(\d{4}-\d{2}-\d{2})") -> DataFrame:
+    """Lines (``value, day``) of files whose name has a day in [start, end]; names alone decide which are opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")  # names only: contents are pruned
+    day = F.regexp_extract(F.element_at(F.split("path", "/"), -1), pattern, 1)
+    names = [r.path for r in listed.where(day.between(start, end)).sort("path").collect()]  # files of the span
+    if not names:
+        return spark.createDataFrame([], "value string, day string")
+    return spark.read.text(names).select("value", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).alias("day"))

@@ -13,13 +13,9 @@ from psephos.operators import joins
 
 
 def routed(posts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Posts with a filled text that is no spam, one row for each topic. Works on streams and tables alike."""
-    words = [r.keyword for r in keywords.select("keyword").limit(joins.SMALL_ROWS).collect()]
-    kept = posts.where(text.is_kept_body(F.col("text")) & ~text.is_spam(F.col("text")) & text.holds_any(F.col("text"), words))
-    small = joins.bounded(keywords.select("topic", F.lower("keyword").alias("_keyword")))
-    hits = kept.join(small, F.lower("text").contains(F.col("_keyword")))
-    topics = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.lower("text").contains(w.lower()), F.lit(w)) for w in words]), lambda x: x.isNotNull()))) if words else F.array()
-    return hits.withColumn("matched", topics).drop("_keyword")
+    """Posts with a filled text that is no spam, one row for each topic, with ``matched``, all topics of the post. Works on streams and tables alike."""
+    kept = posts.where(text.is_kept_body(F.col("text")) & ~text.is_spam(F.col("text")))
+    return kept.withColumn("matched", joins.matched(F.col("text"), keywords)).withColumn("topic", F.explode("matched"))
 
 
 def daily(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -30,7 +26,11 @@ def daily(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="psephos-stream-")
+    """A new folder that all nodes share, under ``spark.checkpoint.dir``; a temporary one is used in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="psephos-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -60,7 +60,7 @@ def route_available(spark: SparkSession, path: str) -> DataFrame:
     at = folder(spark)
     stream = routed(opened(spark, path), keywords).select("conv_id", "turn", "topic")
     run_available(stream, at)
-    return spark.read.schema(stream.schema).parquet(f"{at}/out").distinct()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
 def windowed_available(spark: SparkSession, path: str) -> DataFrame:

@@ -1,16 +1,22 @@
 """Language-model scoring: unigram counts over the whole corpus and a log-bilinear model trained with noise-contrastive estimation.
 
-Tokens are the ASCII-lower-cased words of a text and one end. The model
-predicts the class of a token from the classes of the two before it: each of
-the ``classes - 2`` most frequent words, the end, or *other*. The log-bilinear
-score of class w is ``(sum_i r[c_i] * C_i) . q[w] + b[w]``, normalised over all
-classes by one matrix product for the distinct contexts of a batch. A word of
-the class *other* has the smoothed share of its count among all such words, so
-the probabilities of all known words and one unknown word sum to one.
+Tokens are the ASCII-lower-cased words of a text and one end. Words are
+factored into frequency classes: the most frequent have one each, the next
+share small ones, and so on; the vocabulary grows with the corpus up to the
+last band. The model predicts the class of a token from the classes of the two
+before it: the log-bilinear score of class w is ``(sum_i r[c_i] * C_i) . q[w] +
+b[w]``, normalised over all classes by one matrix product for the distinct
+contexts of a batch. A word of a shared class has the score ``h . w[word] +
+v[word]`` with the same context vector h, normalised over its class by one
+matrix product for the class's tokens. Words past the last band are of the
+class *other* and have the smoothed share of their count in it, so the
+probabilities of all known words and one unknown word sum to one.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -20,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm._shared import added_up, durable, slices
+from psephos.llm._shared import durable, slices
 
 END = b"\n"  # no word holds it
 OTHER, STOP = 0, 1  # classes
@@ -28,9 +34,20 @@ OTHER, STOP = 0, 1  # classes
 
 @dataclass(frozen=True)
 class Params:
-    """``head_words`` and ``word_bytes`` bound what is broadcast: words with their counts, 12 MB at most."""
+    """``head_words`` and ``word_bytes`` bound what is broadcast: words with their counts, 12 MB at most.
 
-    classes: int = 512
+    ``singles`` words have a class of their own; up to each rank of ``bands``
+    classes hold so many words. ``rounds`` is the number of times that tasks
+    train on a share of the rows each and models are averaged.
+    """
+
+    singles: int = 510
+    bands: tuple[tuple[int, int], ...] = ((8192, 64), (32_768, 256))
+    rounds: int = 2
+    within: int = 2  # noise words in a class
+    within_rate: float = 0.1
+    within_batch: int = 1 << 14  # a multiple of ``batch``
+    chunk: int = 1 << 15
     width: int = 16
     noise: int = 50
     rate: float = 0.08
@@ -75,49 +92,106 @@ def head_of(counts: DataFrame, p: Params) -> tuple[list[bytes], np.ndarray]:
     return [words[i] for i in order], n[order].astype(np.int64)
 
 
-def class_of(words: list[bytes], p: Params) -> np.ndarray:
-    """Class of each head word: the end, a class of its own for the most frequent, else *other*."""
-    out, at = np.zeros(len(words), np.int64), 2
-    for i, w in enumerate(words):
-        if w == END:
-            out[i] = STOP
-        elif at < p.classes:
-            out[i], at = at, at + 1
-    return out
+@dataclass
+class Layout:
+    """Class of each head word, its row among the words of shared classes (-1: none), and the rows of each class."""
 
+    kind: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
 
-def unigram(head_class: np.ndarray, head_n: np.ndarray, total: int, p: Params) -> np.ndarray:
+    @property
+    def classes(self) -> int:
+        return len(self.size)
+
+    @property
+    def rows(self) -> int:
+        return int(self.size.sum())
+
+
+def layout_of(words: list[bytes], p: Params) -> Layout:
+    """Classes of the head words in the order of their frequency: *other*, the end, single words, then bands."""
+    plain = [i for i, w in enumerate(words) if w != END]
+    kind, row = np.zeros(len(words), np.int64), np.full(len(words), -1)
+    for i, w in enumerate(words):
+        if w == END:
+            kind[i] = STOP
+    single = plain[: p.singles]
+    kind[single] = np.arange(2, 2 + len(single))
+    size = [0] * (2 + len(single))
+    at = len(single)
+    for top, each in p.bands:
+        while at < min(top, len(plain)):
+            own = plain[at : min(at + each, top)]
+            kind[own], row[own] = len(size), sum(size) + np.arange(len(own))
+            size.append(len(own))
+            at += len(own)
+    return Layout(kind, row, np.cumsum(size) - np.array(size), np.array(size, np.int64))
+
+
+def unigram(lay: Layout, head_n: np.ndarray, total: int) -> np.ndarray:
     """Smoothed share of each class."""
-    n = np.bincount(head_class, weights=head_n, minlength=p.classes)
+    n = np.bincount(lay.kind, weights=head_n, minlength=lay.classes)
     n[OTHER] += total - head_n.sum()
-    return (n + 1) / (n.sum() + p.classes)
+    return (n + 1) / (n.sum() + lay.classes)
 
 
-def start_model(share: np.ndarray, p: Params) -> dict[str, np.ndarray]:
+def start_model(share: np.ndarray, lay: Layout, head_n: np.ndarray, p: Params) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(p.seed)
     small = lambda *shape: rng.normal(0, 0.05, shape).astype(np.float32)
+    own = np.zeros(lay.rows)
+    own[lay.row[lay.row >= 0]] = head_n[lay.row >= 0] + 1.0
+    sums = np.repeat(np.add.reduceat(own, lay.first[lay.size > 0]), lay.size[lay.size > 0]) if lay.rows else own
     return {
-        "r": small(p.classes, p.width), "q": small(p.classes, p.width), "c": 1 + small(2, p.width),
-        "b": np.log(share).astype(np.float32),
+        "r": small(len(share), p.width), "q": small(len(share), p.width), "c": 1 + small(2, p.width), "b": np.log(share).astype(np.float32),
+        "w": np.zeros((lay.rows, p.width), np.float32), "v": np.log(own / np.maximum(sums, 1)).astype(np.float32),
     }
 
 
-def fit_nce(model: dict[str, np.ndarray], share: np.ndarray, before: np.ndarray, target: np.ndarray, p: Params, seed: int) -> dict[str, np.ndarray]:
+def fit_within(model: dict[str, np.ndarray], grown: dict[str, np.ndarray], h: np.ndarray, rows: np.ndarray, kinds: np.ndarray, lay: Layout, p: Params, rng: np.random.Generator) -> None:
+    """One Adagrad step for words of shared classes, in place: each against ``within`` words drawn evenly from its class."""
+    size = lay.size[kinds]
+    noise = lay.first[kinds][:, None] + (rng.random((len(rows), p.within)) * size[:, None]).astype(np.int64)
+    every = np.concatenate([rows[:, None], noise], axis=1)
+    score = np.einsum("nd,nkd->nk", h, model["w"][every]) + model["v"][every] - np.log(p.within / size)[:, None]
+    error = (1 / (1 + np.exp(-np.clip(score, -30, 30)))).astype(np.float32)
+    error[:, 0] -= 1
+    if not len(rows):
+        return
+    order = np.argsort(every.ravel())
+    flat, gv = every.ravel()[order], error.ravel()[order]
+    heads = np.flatnonzero(np.diff(flat, prepend=-1))
+    found, n = flat[heads], np.diff(np.append(heads, len(flat)))
+    gw = np.add.reduceat(gv[:, None] * h[order // every.shape[1]], heads)
+    gv = np.add.reduceat(gv, heads)
+    for k, g in (("w", gw / n[:, None].astype(np.float32)), ("v", gv / n.astype(np.float32))):
+        grown[k][found] += g * g
+        model[k][found] -= p.within_rate * g / np.sqrt(grown[k][found])
+
+
+def fit_nce(
+    model: dict[str, np.ndarray], share: np.ndarray, before: np.ndarray, target: np.ndarray, p: Params, seed: int, rows: np.ndarray | None = None, lay: Layout | None = None
+) -> dict[str, np.ndarray]:
     """One pass of noise-contrastive estimation over tokens in random order, Adagrad steps on minibatches.
 
-    ``before`` is n x 2. The noise words of a minibatch are shared, so their
+    ``before`` is n x 2; ``rows`` has the row of each token in a shared class,
+    -1 for the others. The noise classes of a minibatch are shared, so their
     scores are one matrix product.
     """
     rng = np.random.default_rng(seed)
-    r, q, c, b = (model[k].copy() for k in "rqcb")
+    model = {k: v.copy() for k, v in model.items()}
+    r, q, c, b = (model[k] for k in "rqcb")
+    classes = len(share)
     grown = {k: np.full_like(v, 1e-2) for k, v in (("r", r), ("q", q), ("c", c), ("b", b))}
+    within = {k: np.full_like(model[k], 1e-2) for k in "wv"}
     log_noise = np.log(p.noise * share).astype(np.float32)
     cum = np.cumsum(share)
     d = np.arange(p.width)
 
     def scatter(index: np.ndarray, g: np.ndarray) -> np.ndarray:
         flat = (index[:, None] * p.width + d).ravel()
-        return np.bincount(flat, weights=g.ravel(), minlength=p.classes * p.width).reshape(p.classes, p.width)
+        return np.bincount(flat, weights=g.ravel(), minlength=classes * p.width).reshape(classes, p.width)
 
     def step(name: str, value: np.ndarray, g: np.ndarray, n: int) -> None:
         g = (g / n).astype(np.float32)
@@ -126,12 +200,16 @@ def fit_nce(model: dict[str, np.ndarray], share: np.ndarray, before: np.ndarray,
 
     order = rng.permutation(len(target))
     for at in range(0, len(order), p.batch):
+        if lay is not None and rows is not None and at % p.within_batch == 0:
+            some = order[at : at + p.within_batch]
+            some = some[rows[some] >= 0]
+            fit_within(model, within, r[before[some, 0]] * c[0] + r[before[some, 1]] * c[1], rows[some], target[some], lay, p, rng)
         own = order[at : at + p.batch]
         w, c1, c2 = target[own], before[own, 0], before[own, 1]
         r1, r2 = r[c1], r[c2]
         h = r1 * c[0] + r2 * c[1]
         qw = q[w]
-        noise = np.minimum(np.searchsorted(cum, rng.random(p.noise)), p.classes - 1)
+        noise = np.minimum(np.searchsorted(cum, rng.random(p.noise)), classes - 1)
         qn = q[noise]
         true = 1 / (1 + np.exp(-((h * qw).sum(1) + b[w] - log_noise[w])))
         false = 1 / (1 + np.exp(-(h @ qn.T + b[noise] - log_noise[noise])))
@@ -139,7 +217,7 @@ def fit_nce(model: dict[str, np.ndarray], share: np.ndarray, before: np.ndarray,
         dh = e[:, None] * qw + false @ qn
         gq = scatter(w, e[:, None] * h)
         np.add.at(gq, noise, false.T @ h)
-        gb = np.bincount(w, weights=e, minlength=p.classes)
+        gb = np.bincount(w, weights=e, minlength=classes)
         np.add.at(gb, noise, false.sum(0))
         gr = scatter(c1, dh * c[0]) + scatter(c2, dh * c[1])
         gc = np.stack([(dh * r1).sum(0), (dh * r2).sum(0)])
@@ -148,7 +226,7 @@ def fit_nce(model: dict[str, np.ndarray], share: np.ndarray, before: np.ndarray,
         step("b", b, gb, n)
         step("r", r, gr, n)
         step("c", c, gc, n)
-    return {"r": r, "q": q, "c": c, "b": b}
+    return model
 
 
 def log_probabilities(model: dict[str, np.ndarray], contexts: np.ndarray, classes: int, block: int = 8192) -> np.ndarray:
@@ -174,26 +252,64 @@ def token_logs(model: dict[str, np.ndarray], before: np.ndarray, kinds: np.ndarr
     return out
 
 
+def within_logs(model: dict[str, np.ndarray], before: np.ndarray, kinds: np.ndarray, rows: np.ndarray, lay: Layout) -> np.ndarray:
+    """Natural logarithm of each token's word in its class and context: one matrix product for the tokens of a class, 0 where the class has one word."""
+    out = np.zeros(len(kinds))
+    some = np.flatnonzero(rows >= 0)
+    order = some[np.argsort(kinds[some], kind="stable")]
+    ends = np.append(np.flatnonzero(np.diff(kinds[order])) + 1, len(order)) if len(order) else []
+    at = 0
+    for end in ends:
+        own = order[at:end]
+        a, n = lay.first[kinds[own[0]]], lay.size[kinds[own[0]]]
+        for part in np.array_split(own, -(-len(own) // 65_536)):
+            h = model["r"][before[part, 0]] * model["c"][0] + model["r"][before[part, 1]] * model["c"][1]
+            z = h @ model["w"][a : a + n].T + model["v"][a : a + n]
+            z -= z.max(1, keepdims=True)
+            out[part] = z[np.arange(len(part)), rows[part] - a] - np.log(np.exp(z).sum(1))
+        at = end
+    return out
+
+
 def pack(model: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([model[k].ravel() for k in "rqcb"])
+    return np.concatenate([model[k].ravel() for k in "rqcbwv"])
 
 
 def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k in "rqcb":
+    for k in "rqcbwv":
         out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
         at += like[k].size
     return out
 
 
-_vocabulary: tuple[int, dict[bytes, int]] = (-1, {})
+def averaged(rows: DataFrame, size: int, p: Params) -> tuple[float, np.ndarray]:
+    """Tokens and mean model of ``rows (chunk, n, sums)``, sums being times n: chunks are added up apart, in two levels, so no task gets a whole model from each other."""
+    fan = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
+
+    def add(table: pa.Table) -> pa.Table:
+        every = table.column("sums").combine_chunks()
+        every = every.chunk(0) if isinstance(every, pa.ChunkedArray) else every
+        total = every.flatten().to_numpy().reshape(table.num_rows, -1).sum(0)
+        return pa.table({"chunk": table.column("chunk")[:1], "n": [sum(table.column("n").to_pylist())], "sums": pa.array([total], pa.list_(pa.float64()))})
+
+    dealt = rows.withColumn("part", F.spark_partition_id() % fan)
+    n, total = 0, np.zeros(size)
+    for r in dealt.groupBy("chunk", "part").applyInArrow(add, "chunk long, n long, sums array<double>").toLocalIterator():
+        n += r.n if r.chunk == 0 else 0
+        total[r.chunk * p.chunk : r.chunk * p.chunk + len(r.sums)] += r.sums
+    return n, total / max(n, 1)
+
+
+_vocabulary: tuple[str, dict[bytes, int]] = ("", {})
 
 
 def numbered(words) -> dict[bytes, int]:
-    """The head words by number, built once in each Python worker. ``words`` is a broadcast."""
+    """The head words by number, built once in each Python worker. ``words`` is a broadcast of a name of its own and the words."""
     global _vocabulary
-    if _vocabulary[0] != id(words.value):
-        _vocabulary = (id(words.value), {w: i for i, w in enumerate(words.value)})
+    name, head = words.value
+    if _vocabulary[0] != name:
+        _vocabulary = (name, {w: i for i, w in enumerate(head)})
     return _vocabulary[1]
 
 
@@ -219,31 +335,46 @@ def contexts_of(kinds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return before
 
 
-def train(rows: DataFrame, head: list[bytes], head_n: np.ndarray, total: int, p: Params) -> dict[str, np.ndarray]:
-    """Fits the model on every token of ``rows (id, text)``.
+def train(rows: DataFrame, words, lay: Layout, head_n: np.ndarray, total: int, p: Params) -> dict[str, np.ndarray]:
+    """Fits the model on every token of ``rows (id, text)``; ``words`` is the broadcast vocabulary.
 
-    Each task makes its pass from the same start; the models are averaged with
-    their numbers of tokens in two levels, so no task and not the driver gets
-    one for each partition.
+    The texts' hashes deal the rows to ``rounds`` shares. In a round each task
+    makes its pass over its part of a share from the same start, and the models
+    are averaged by their numbers of tokens; the next round starts there. The
+    draws are seeded by the texts, but the averages depend on how the rows lie
+    in tasks, so scores may differ in the last digits from one layout to another.
     """
     spark = rows.sparkSession
-    kinds = class_of(head, p)
-    share = unigram(kinds, head_n, total, p)
-    start = start_model(share, p)
-    words = spark.sparkContext.broadcast(head)
-    def run(batches):
-        number, model, tokens = numbered(words), start, 0
-        task = TaskContext.get().partitionId()
-        for i, b in enumerate(slices(batches, p.slice_bytes)):
-            _, codes, sizes = coded(b.column(1).to_pylist(), number)
-            own = np.where(codes >= 0, kinds[codes], OTHER) if len(head) else np.zeros(len(codes), np.int64)
-            model = fit_nce(model, share, contexts_of(own, sizes), own, p, p.seed + 1000 * task + i)
-            tokens += len(own)
+    share = unigram(lay, head_n, total)
+    model = start_model(share, lay, head_n, p)
+    for i in range(p.rounds):
+        shared = spark.sparkContext.broadcast((model, lay, share))
+
+        def run(batches, shared=shared, i=i):
+            number, (model, lay, share), tokens = numbered(words), shared.value, 0
+            for b in slices(batches, p.slice_bytes):
+                texts = b.column(1).to_pylist()
+                _, codes, sizes = coded(texts, number)
+                kind, row = looked_up(codes, lay)
+                model = fit_nce(model, share, contexts_of(kind, sizes), kind, p, p.seed + i + zlib.crc32(texts[0]), row, lay)
+                tokens += len(codes)
+            if tokens:
+                flat = pack(model).astype(np.float64) * tokens
+                for at in range(0, len(flat), p.chunk):
+                    yield pa.RecordBatch.from_arrays([pa.array([at // p.chunk]), pa.array([tokens]), pa.array([flat[at : at + p.chunk].astype(np.float32)], pa.list_(pa.float32()))], ["chunk", "n", "sums"])
+
+        dealt = rows.where(F.pmod(F.xxhash64("text"), F.lit(p.rounds)) == i)
+        tokens, mean = averaged(dealt.mapInArrow(run, "chunk long, n long, sums array<float>"), len(pack(model)), p)
         if tokens:
-            yield pa.RecordBatch.from_pydict({"n": [tokens], "sums": [(pack(model) * tokens).tolist()]})
+            model = unpack(mean, model)
+    return model
+
 
-    tokens, sums = added_up(rows.mapInArrow(run, "n long, sums array<double>"))
-    return unpack(sums / tokens, start) if tokens else start
+def looked_up(codes: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """Class and row of each token by its head number (-1: *other*)."""
+    if not len(lay.kind):
+        return np.zeros(len(codes), np.int64), np.full(len(codes), -1)
+    return np.where(codes >= 0, lay.kind[codes], OTHER), np.where(codes >= 0, lay.row[codes], -1)
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:  # noqa: B008
@@ -264,10 +395,10 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     counts = durable(count_tokens(learnt), "counts")
     total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     head, head_n = head_of(counts, p)
-    kinds = class_of(head, p)
-    model = train(learnt, head, head_n, total, p)
-    words = spark.sparkContext.broadcast(head)
-    own = kinds > OTHER  # words with a class of their own
+    lay = layout_of(head, p)
+    words = spark.sparkContext.broadcast((uuid.uuid4().hex, head))
+    model = spark.sparkContext.broadcast(train(learnt, words, lay, head_n, total, p))
+    own = lay.kind > OTHER  # words that the model knows
     other_n, other_v = total - int(head_n[own].sum()), distinct - int(own.sum())
     log10_n = np.log10(head_n + 1.0)
 
@@ -277,9 +408,9 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         for b in slices(batches, p.slice_bytes):
             texts, codes, sizes = coded(b.column(1).to_pylist(), number)
             known = codes >= 0
-            kind = np.where(known, kinds[codes], OTHER) if len(head) else np.zeros(len(codes), np.int64)
+            kind, row = looked_up(codes, lay)
             before = contexts_of(kind, sizes)
-            logs = token_logs(model, before, kind, p.classes) / np.log(10)
+            logs = (token_logs(model.value, before, kind, lay.classes) + within_logs(model.value, before, kind, row, lay)) / np.log(10)
             plain = np.where(known, log10_n[codes], 0.0) if len(head) else np.zeros(len(codes))
             first = np.cumsum(sizes) - sizes
             per = lambda x: np.add.reduceat(x, first)

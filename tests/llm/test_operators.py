@@ -219,7 +219,7 @@ def brute_base(held):
 @pytest.mark.parametrize("head", [1 << 18, 4, 0])
 def test_base_scores(docs, head):
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in DOCS]
-    got = lm.score(docs, crc_mod(docs["doc_id"], 7) == 2, p=lm.Params(head_words=head, classes=16, width=4)).collect()
+    got = lm.score(docs, crc_mod(docs["doc_id"], 7) == 2, p=lm.Params(head_words=head, singles=4, bands=((8, 2), (14, 3)), width=4)).collect()
     key = lambda r: (r[0] is None, r[0] or 0)
     for a, b in zip(sorted(got, key=key), sorted(brute_base(held), key=key), strict=True):
         assert tuple(a)[:5] == b[:5]
@@ -227,8 +227,56 @@ def test_base_scores(docs, head):
         assert a.score < 0
 
 
+def test_model_score_against_a_plain_loop(spark, monkeypatch):
+    """The score of each text, token by token with its definition, from the model that was trained."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[int(k)] for k in np.minimum(rng.geometric(0.1, 30) - 1, 39))) for i in range(60)] + [(60, None), (61, "unheard of words w1")]
+    p = lm.Params(head_words=30, singles=5, bands=((11, 3), (20, 4)), width=4, noise=5, chunk=16)
+    kept = {}
+    train = lm.train
+
+    def keep(rows, words, lay, *more):
+        kept.update(model=train(rows, words, lay, *more), lay=lay, head=words.value[1])
+        return kept["model"]
+
+    monkeypatch.setattr(lm, "train", keep)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.id: r for r in lm.score(docs, F.col("doc_id") == 61, p=p).collect()}
+    model, lay, head = kept["model"], kept["lay"], kept["head"]
+    number = {w: i for i, w in enumerate(head)}
+    tokens = {i: [*(t or "").lower().encode().split(), lm.END] for i, t in rows}
+    c = Counter(w for i, ws in tokens.items() if i != 61 for w in ws)
+    known = {w for w in head if lay.kind[number[w]] > lm.OTHER}
+    rest_n, rest_v = sum(n for w, n in c.items() if w not in known), sum(w not in known for w in c)
+    kind = lambda w: int(lay.kind[number[w]]) if w in number else lm.OTHER
+
+    def chance(w, c1, c2):
+        h = (model["r"][c1] * model["c"][0] + model["r"][c2] * model["c"][1]).astype(float)
+        z = model["q"].astype(float) @ h + model["b"]
+        out = z[kind(w)] - np.logaddexp.reduce(z)
+        if w not in known:
+            return out + math.log((c[w] + 1) / (rest_n + rest_v + 1))
+        if lay.row[number[w]] >= 0:
+            a, n = lay.first[kind(w)], lay.size[kind(w)]
+            z = model["w"][a : a + n].astype(float) @ h + model["v"][a : a + n]
+            out += z[lay.row[number[w]] - a] - np.logaddexp.reduce(z)
+        return out
+
+    for i, ws in tokens.items():
+        c1 = c2 = lm.STOP
+        total = 0.0
+        for w in ws:
+            total += chance(w, c1, c2)
+            c1, c2 = kind(w), c1
+        assert got[i].score == pytest.approx(total / math.log(10), rel=1e-4)
+    every = [math.exp(chance(w, 3, 4)) for w in c] + [math.exp(chance(b"no such word", 3, 4))]
+    assert sum(every) == pytest.approx(1, abs=1e-4)
+    assert len(known) > 15 and abs(model["w"]).max() > 0
+
+
 def test_model_is_normalised_and_learns():
-    p = lm.Params(classes=8, width=6, batch=256)
+    p = lm.Params(width=6, batch=256)
     rng = np.random.default_rng(0)
     seq = [2]
     for _ in range(20000):  # the next class follows from the last most of the time
@@ -236,8 +284,8 @@ def test_model_is_normalised_and_learns():
     kinds = np.array(seq)
     share = (np.bincount(kinds, minlength=8) + 1) / (len(kinds) + 8)
     before = lm.contexts_of(kinds, np.array([len(kinds)]))
-    start = lm.start_model(share, p)
-    model = start
+    lay = lm.layout_of([b"%d" % i for i in range(6)], p)
+    model = lm.start_model(share, lay, np.ones(6), p)
     for i in range(3):
         model = lm.fit_nce(model, share, before, kinds, p, i)
     contexts = before[:, 0] * 8 + before[:, 1]
@@ -247,6 +295,24 @@ def test_model_is_normalised_and_learns():
     assert logs[np.arange(len(kinds)), kinds].mean() > np.log(share)[kinds].mean() + 0.8
 
 
+def test_words_of_a_class_are_learnt():
+    """A word of a shared class follows from the context: the model must beat its share."""
+    p = lm.Params(singles=2, bands=((6, 4),), width=6, batch=256, within_batch=256, within=3)
+    lay = lm.layout_of([b"a", b"b", b"c", b"d", b"e", b"f"], p)
+    assert lay.kind.tolist() == [2, 3, 4, 4, 4, 4] and lay.row.tolist() == [-1, -1, 0, 1, 2, 3]
+    rng = np.random.default_rng(1)
+    codes = np.concatenate([[x, 2 + x if rng.random() < 0.9 else int(rng.integers(2, 6))] for x in rng.integers(0, 2, 8000)])
+    kind, row = lm.looked_up(codes, lay)
+    n = np.bincount(codes, minlength=6)
+    share = lm.unigram(lay, n, n.sum())
+    before = lm.contexts_of(kind, np.array([len(kind)]))
+    model = lm.start_model(share, lay, n, p)
+    plain = lm.within_logs(model, before, kind, row, lay)[row >= 0].mean()
+    for i in range(8):
+        model = lm.fit_nce(model, share, before, kind, p, i, row, lay)
+    assert lm.within_logs(model, before, kind, row, lay)[row >= 0].mean() > plain + 0.3
+
+
 def test_contexts_do_not_cross_texts():
     got = lm.contexts_of(np.array([5, 6, 1, 1, 7, 1]), np.array([3, 1, 2])).tolist()
     assert got == [[1, 1], [5, 1], [6, 5], [1, 1], [1, 1], [7, 1]]

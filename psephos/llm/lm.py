@@ -3,8 +3,8 @@
 Tokens are the ASCII-lower-cased words of a text and one end. Words are
 factored into frequency classes: the most frequent have one each, the next
 share small ones, and so on; the vocabulary grows with the corpus up to the
-last band. The model predicts the class of a token from the classes of the two
-before it: the log-bilinear score of class w is ``(sum_i r[c_i] * C_i) . q[w] +
+last band. The model predicts the class of a token from the two before it, of
+which a word of a shared class is known by its band: the log-bilinear score of class w is ``(sum_i r[c_i] * C_i) . q[w] +
 b[w]``, normalised over all classes by one matrix product for the distinct
 contexts of a batch. A word of a shared class has the score ``h . w[word] +
 v[word]`` with the same context vector h, normalised over its class by one
@@ -94,12 +94,13 @@ def head_of(counts: DataFrame, p: Params) -> tuple[list[bytes], np.ndarray]:
 
 @dataclass
 class Layout:
-    """Class of each head word, its row among the words of shared classes (-1: none), and the rows of each class."""
+    """Class of each head word, its row among the words of shared classes (-1: none), the rows of each class, and the class that stands for it as a context: the first of its band."""
 
     kind: np.ndarray
     row: np.ndarray
     first: np.ndarray
     size: np.ndarray
+    context: np.ndarray
 
     @property
     def classes(self) -> int:
@@ -120,14 +121,17 @@ def layout_of(words: list[bytes], p: Params) -> Layout:
     single = plain[: p.singles]
     kind[single] = np.arange(2, 2 + len(single))
     size = [0] * (2 + len(single))
+    context = list(range(len(size)))
     at = len(single)
     for top, each in p.bands:
+        begin = len(size)
         while at < min(top, len(plain)):
             own = plain[at : min(at + each, top)]
             kind[own], row[own] = len(size), sum(size) + np.arange(len(own))
             size.append(len(own))
+            context.append(begin)
             at += len(own)
-    return Layout(kind, row, np.cumsum(size) - np.array(size), np.array(size, np.int64))
+    return Layout(kind, row, np.cumsum(size) - np.array(size), np.array(size, np.int64), np.array(context))
 
 
 def unigram(lay: Layout, head_n: np.ndarray, total: int) -> np.ndarray:
@@ -356,7 +360,7 @@ def train(rows: DataFrame, words, lay: Layout, head_n: np.ndarray, total: int, p
                 texts = b.column(1).to_pylist()
                 _, codes, sizes = coded(texts, number)
                 kind, row = looked_up(codes, lay)
-                model = fit_nce(model, share, contexts_of(kind, sizes), kind, p, p.seed + i + zlib.crc32(texts[0]), row, lay)
+                model = fit_nce(model, share, contexts_of(lay.context[kind], sizes), kind, p, p.seed + i + zlib.crc32(texts[0]), row, lay)
                 tokens += len(codes)
             if tokens:
                 flat = pack(model).astype(np.float64) * tokens
@@ -409,7 +413,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             texts, codes, sizes = coded(b.column(1).to_pylist(), number)
             known = codes >= 0
             kind, row = looked_up(codes, lay)
-            before = contexts_of(kind, sizes)
+            before = contexts_of(lay.context[kind], sizes)
             logs = (token_logs(model.value, before, kind, lay.classes) + within_logs(model.value, before, kind, row, lay)) / np.log(10)
             plain = np.where(known, log10_n[codes], 0.0) if len(head) else np.zeros(len(codes))
             first = np.cumsum(sizes) - sizes

@@ -268,7 +268,7 @@ def test_model_score_against_a_plain_loop(spark, monkeypatch):
         total = 0.0
         for w in ws:
             total += chance(w, c1, c2)
-            c1, c2 = kind(w), c1
+            c1, c2 = int(lay.context[kind(w)]), c1
         assert got[i].score == pytest.approx(total / math.log(10), rel=1e-4)
     every = [math.exp(chance(w, 3, 4)) for w in c] + [math.exp(chance(b"no such word", 3, 4))]
     assert sum(every) == pytest.approx(1, abs=1e-4)

@@ -39,7 +39,7 @@ class Params:
 
     buckets: int = 1 << 16
     label_rows: int = 50_000
-    prior: float = 1.0
+    prior: float = 20.0
     errors: float = 2.0
     temper: int | None = None
     seed: int = 3

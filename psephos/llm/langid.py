@@ -31,6 +31,7 @@ class Params:
     ridge: float = 1e-4
     seed: int = 5
     slice_bytes: int = 1 << 20
+    slice_rows: int = 1024  # 64 MB of presence at most
 
 
 def presence(texts: Sequence[bytes], p: Params) -> np.ndarray:
@@ -95,7 +96,7 @@ def identify(
     each = max(4, p.landmarks // max(1, len(langs)))
 
     def shape(batches):
-        for b in slices(batches, p.slice_bytes):
+        for b in slices(batches, p.slice_bytes, max_rows=p.slice_rows):
             bits = [x.tobytes() for x in np.packbits(presence(b.column(0).to_pylist(), p) > 0, axis=1)]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(bits, pa.binary())], ["lang", "h", "bits"])
 
@@ -116,7 +117,7 @@ def identify(
         def sums(batches):
             landmarks, nystrom = shared.value
             gram, n = np.zeros((m, m + len(langs))), 0
-            for b in slices(batches, p.slice_bytes):
+            for b in slices(batches, p.slice_bytes, max_rows=p.slice_rows):
                 x = kernel(presence(b.column(0).to_pylist(), p), landmarks) @ nystrom
                 x = np.hstack([x, np.ones((len(x), 1))])
                 y = np.where(np.array(b.column(1).to_pylist())[:, None] == np.array(langs), 1.0, -1.0)
@@ -138,7 +139,7 @@ def identify(
         model = None
 
     def predict(batches):
-        for b in slices(batches, p.slice_bytes, "text"):
+        for b in slices(batches, p.slice_bytes, max_rows=p.slice_rows):
             letters = np.array(b.column(2).to_pylist(), bool)
             pred, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
             at = np.flatnonzero(letters)

@@ -302,19 +302,27 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def digests(sniffed: DataFrame) -> DataFrame:
-    """Reads back the samples of the first part of each row of ``sniff``: their digests and features."""
+    """Reads back the samples of the first part of each row of ``sniff``: their digests and features.
+
+    A row without parts, or whose first part is of a format that ``store``
+    doesn't write, has nulls.
+    """
 
     def run(batches):
         for b in slices(batches, 16 << 20, "media"):
             out = []
             for part, media, wrong in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p = part[0]
+                p = part[0] if part else None
+                if p is None or p["type"] not in KINDS:
+                    out.append((None,) * 6)
+                    continue
                 data = samples(media[p["offset"] : p["offset"] + p["length"]], p["type"])
                 x = np.frombuffer(data, np.uint8)
                 feature = f"{p['type']}{'!' if wrong else ''};samples={len(x)};mean={x.mean():.6f};spread={x.std():.6f};peak={x.max()};parts={len(part)}"
                 out.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), p["length"], p["sha256"], feature))
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x) for x in zip(*out, strict=True)]], ["id", *names])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]], ["id", *names])
 
     kind = sniffed.schema["id"].dataType.simpleString()
     schema = f"id {kind}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

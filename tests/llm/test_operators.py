@@ -502,6 +502,19 @@ def test_media_formats_are_found_and_carved(spark):
     assert got["inside"].declared == "text" and not any(got[k].parts for k in ("cut", "bad", "null", "empty"))
 
 
+def test_digests_of_other_media(spark):
+    rows = [(1, None), (2, b""), (3, b"plain"), (4, b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff\x2c\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02\x44\x01\x00\x3b"), (5, media.store(b"a" * 64, "wav"))]
+    sniffed = media.sniff(spark.createDataFrame(rows, "id int, media binary").withColumn("declared", F.lit("x")))
+    got = {r.id: r.payload_bytes for r in media.digests(sniffed).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: None, 5: 64} and media.digests(sniffed.limit(0)).count() == 0
+
+
+def test_many_short_texts(spark):
+    docs = spark.range(5000).select("id", F.lit("a").alias("text"), F.lit("en").alias("lang"))
+    got = langid.identify(docs, F.lit(False), id_col="id")
+    assert got.where("lang_pred = 'en'").count() == 5000
+
+
 def test_media_round_trip(docs):
     keyed = docs.select("doc_id", F.col("text").alias("t"), F.lit(1).alias("media"))
     got = media.digests(media.sniff(media.stored_texts(keyed, "doc_id", "t"))).collect()

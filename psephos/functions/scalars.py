@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,6 +71,16 @@ def scaled_delta(middle: Column, intensity: Column) -> Column:
     return clip(middle * intensity, -0.15, 0.15)
 
 
+# What a reaction says about a post.
+REACTIONS = {"LIKE": 1.0, "LOVE": 1.5, "WOW": 0.5, "HAHA": 0.5, "ANGRY": -1.5, "SAD": -1.0}
+
+
+def reaction_valence(counts: Mapping[str, Column], weights: Mapping[str, float] = REACTIONS) -> Column:
+    """Balance in [-1, 1] of counts by reaction, each at its weight; a missing or null count is 0."""
+    side = lambda up: reduce(add, [F.coalesce(counts[k], F.lit(0)) * abs(w) for k, w in weights.items() if (w > 0) == up and k in counts], F.lit(0.0))
+    return valence(side(True), side(False))
+
+
 def valence(positive: Column, negative: Column) -> Column:
     """Balance of reactions in [-1, 1]; 0 without any."""
     return F.when(positive + negative == 0, F.lit(0.0)).otherwise((positive - negative) / (positive + negative))

@@ -132,3 +132,8 @@ def class_counts(rows: DataFrame, classes: dict[str, Column]) -> DataFrame:
     """``name, n``: rows of each class, a row may be in several; one pass. A condition that is null doesn't count."""
     counted = rows.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in classes.items()])
     return counted.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("n")) for k in classes])).alias("x")).select("x.*")
+
+
+def frequent_classes(rows: DataFrame, name: str, least: int) -> DataFrame:
+    """``name, n`` of the classes with ``least`` rows or more; a null name is no class."""
+    return rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

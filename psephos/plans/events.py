@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from psephos import dims
 from psephos.functions import scalars
 from psephos.operators import aggregates, joins, sampling
+from psephos.plans.posts import KEPT
 from psephos.plans.registry import query, table
 from psephos.streaming import router
 
@@ -162,13 +163,16 @@ def reaction_valence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("event_type", F.round(scalars.valence(F.col("p"), F.col("m")), 9).alias("valence"))
 
 
-@query()
+@query(f"SELECT DISTINCT conv_id, turn, topic FROM conversations JOIN (VALUES ('alpha', 'the'), ('beta', 'eaux'), ('gamma', 'de')) k(topic, keyword) ON contains(lower(text), keyword) WHERE {KEPT}")
 def stream_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The firehose router as an incremental job over the files of ``conversations``."""
     return router.route_available(spark, f"{sf_dir}/conversations.parquet")
 
 
-@query()
+@query("""
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(DISTINCT event_id) AS n, round(avg(value), 6) AS mean FROM events
+GROUP BY ALL HAVING max(date_trunc('day', ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts with late events dropped after an hour and repeats removed within it."""
-    return router.windowed_available(spark, f"{sf_dir}/events.parquet")
+    """Daily counts with late events dropped after an hour and repeats removed within it; a day comes out when the watermark has passed it."""
+    out = router.windowed_available(spark, f"{sf_dir}/events.parquet")
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean", 6).alias("mean"))

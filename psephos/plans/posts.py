@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from psephos.functions import html, records, scalars, text
 from psephos.operators import aggregates, authors, joins, relational, sampling
-from psephos.plans.registry import query, table
+from psephos.plans.registry import ORACLES, query, table
 
 # A registry of topics and keywords for the given texts.
 KEYWORDS = [("alpha", "thion"), ("alpha", "stupid"), ("beta", "eaux"), ("beta", "ment"), ("gamma", "ción"), ("delta", "lich"), ("delta", "worthless")]
@@ -90,6 +90,10 @@ def body_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where(text.is_kept_body(F.col("text"))).select("conv_id", "turn")
 
 
+#: SQL for posts that a stream keeps.
+KEPT = ORACLES["body_filter"].partition(" WHERE ")[2] + " AND " + ORACLES["spam_filter"].partition(" WHERE ")[2]
+
+
 @query(r"""
 SELECT doc_id, len(w)::BIGINT AS n_words, array_to_string(w[1:128], ' ') AS head FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) >= 100""")
 def word_floor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.monte_carlo(spark, [r.c_mktsegment for r in shares], w / w.sum(), mu / mu.max(), 0.535, draws=10_000, seed=7)
 
 
-@query()
+@query("SELECT doc_id, least(1.0::DOUBLE, length(text) / 1000.0::DOUBLE) AS score FROM documents")
 def score_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pluggable scorer over batches of texts, here with a stand-in model."""
 

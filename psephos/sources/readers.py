@@ -85,11 +85,21 @@ def exit_poll_panel(polls: DataFrame) -> DataFrame:
     return means.select("cycle", "bloc", "vote_share", se.alias("se"), "source")
 
 
+def unwrapped(lines: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, ``raw, body`` of ``lines (value)``: each line's JSON as a variant, the payload of an envelope unwrapped; blank and malformed lines left out."""
+    parsed = lines.where(F.trim("value") != "").select(*keep, F.col("value").alias("raw"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
+    return parsed.select(*keep, "raw", F.coalesce(F.expr("try_variant_get(v, '$.payload', 'variant')"), F.col("v")).alias("body"))
+
+
 def json_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """``raw, body``: each line's JSON as a variant, the payload of an envelope unwrapped; blank and malformed lines left out. Reads .gz and .bz2 too."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select(F.col("value").alias("raw"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
-    return parsed.select("raw", F.coalesce(F.expr("try_variant_get(v, '$.payload', 'variant')"), F.col("v")).alias("body"))
+    """The lines of files, ``unwrapped``. Reads .gz and .bz2 too."""
+    return unwrapped(spark.read.text(path))
+
+
+def merged(lines: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, ``text, payload``: the records of all platforms' ``lines (value)`` without their envelopes; those without a text are left out."""
+    body = unwrapped(lines, *keep).withColumn("text", F.expr("try_variant_get(body, '$.text', 'string')"))
+    return body.where("text <> ''").select(*keep, "text", F.to_json("body").alias("payload"))
 
 
 def posts(spark: SparkSession, path: str | Sequence[str], platform: str, archive_id: str | None = None) -> DataFrame:

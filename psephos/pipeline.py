@@ -30,9 +30,9 @@ class Moments:
 
 
 def build_panel(*sources: DataFrame) -> DataFrame:
-    """``cycle, bloc, vote_share, se, source`` of all sources merged by inverse standard errors, imputed and validated."""
+    """``cycle, bloc, vote_share, se, source`` of all sources merged by inverse standard errors, imputed and validated; a row for a cycle and bloc, so it is kept in memory for its many readers."""
     merged = aggregates.inverse_se_merge(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources))
-    full = relational.impute(merged)
+    full = relational.impute(merged).persist()
     return relational.validate(relational.assert_unique(full, ["cycle", "bloc", "source"]), ["cycle", "bloc", "vote_share"], "panel")
 
 

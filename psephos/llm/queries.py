@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm import decontamination, langid, line_dedup, lm, media, pieces, quality, secrets, sharding, simhash
+from psephos.llm import decontamination, langid, line_dedup, lm, media, packing, pieces, quality, secrets, sharding, simhash, spelling, target_resampling
 from psephos.llm._shared import crc_mod
 
 
@@ -70,6 +70,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select(F.col("id").alias("doc_id"), "size", crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumnRenamed("id", "doc_id")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    length = (F.octet_length("ids") / 4).cast("long")
+    return packed.select(F.col("id").alias("doc_id"), "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", F.col("sequence").alias("sequence_id"), "offset")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
@@ -81,6 +97,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_secret_scan": op9_secret_scan,
     "op10_sharding": op10_sharding,
+    "op11_target_resampling": op11_target_resampling,
+    "op12_packing": op12_packing,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLES = {"op3_line_dedup": line_dedup.ORACLE_SQL}
+ORACLES = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op11_target_resampling": target_resampling.ORACLE_SQL, "op13_spelling_variants": spelling.ORACLE_SQL}

@@ -46,4 +46,4 @@ def test_line_query_against_sql(spark, sf_dir):
 
 
 def test_all_queries_are_registered():
-    assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 14))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import re
+import struct
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,55 +19,73 @@ from psephos.llm._shared import id_and_text, slices
 
 #: The characters of Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A run of white space and what follows it. A chunk starts where white space does, and there the tokenizer's own pieces part too.
-CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Chunks whose ids a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+#: Letters of Latin-1, and the ASCII characters that end a word of them: all but letters and the apostrophe.
+LETTER, AFTER = "A-Za-zÀ-ÖØ-öø-ÿ", r"\x00-\x26\x28-\x40\x5b-\x60\x7b-\x7f"
+#: A word with the space before it, if any; a line feed before a word; else a run of white space and what follows it. A chunk starts where the tokenizer's own pieces part too.
+CHUNK = re.compile(f" ?[{LETTER}]+(?=[{AFTER}])|\n(?=[{LETTER}])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Fixed value: how byte-level vocabularies of this kind part a text into pieces.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Chunks that a task remembers in each of two generations, and the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
 #: Characters of a text that are taken apart at once.
 WINDOW = 1 << 18
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit numbers.
+@functools.cache
+def loaded(path: str):
+    """The byte-level BPE of a file of the tokenizers library, once a process: its merges by rank, applied by tiktoken, whose ids are the same and take a fourth of the time. Other kinds are refused."""
+    import tiktoken
+
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
+    merged = ("".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", []))
+    if not plain or any(model["vocab"][m] != 256 + k for k, m in enumerate(merged)):
+        raise ValueError(f"{path} is no plain byte-level BPE whose ids follow its merges")
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file; the others follow 255
+    sign = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    ranks = {bytes(sign[c] for c in token): k for token, k in model["vocab"].items() if k < 256 + len(model["merges"])}
+    return tiktoken.Encoding(Path(path).stem, pat_str=PIECE, mergeable_ranks=ranks, special_tokens={})
+
+
+class Encoder(dict):
+    """Ids of texts as little-endian unsigned 32-bit numbers; a dictionary of the ids of chunks met of late.
 
     Equal to the tokenizer's ids for the whole text: no piece of a byte-level
-    vocabulary of this kind goes on from a character that is no white space to
-    white space, so chunks are encoded one by one, and frequent ones once.
-    Special strings in a text are ordinary text.
+    vocabulary of this kind goes on from other characters to white space, or
+    from a word to punctuation but the apostrophe. So chunks are encoded one by
+    one, and frequent ones once. Special strings in a text are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+        self.encode = loaded(path).encode_ordinary
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.before.get(chunk)
+        if found is None:
+            ids = self.encode(chunk)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
+            self[chunk] = found
+        return found
 
     def encoded(self, text: str) -> bytes:
         out, at = [], 0
         while at < len(text):
-            chunks = CHUNK.findall(text[at : at + WINDOW])
+            chunks = CHUNK.findall(text, at, at + WINDOW)
             if at + WINDOW < len(text) and len(chunks) > 1:
                 chunks.pop()  # it may go on
             elif at + WINDOW < len(text):
                 chunks = [CHUNK.match(text, at)[0]]  # longer than a window
             at += sum(map(len, chunks))
-            out.append(b"".join(self.looked_up(chunks)))
+            out.append(b"".join(map(self.__getitem__, chunks)))
         return b"".join(out)
 
-    def looked_up(self, chunks: list[str]) -> list[bytes]:
-        new = list(set(chunks).difference(self.known))
-        ids = {}
-        if new:
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            ids = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, found, strict=True)}
-            if len(self.known) > REMEMBERED:
-                self.known = {}
-                return self.looked_up(chunks)
-            self.known.update({c: x for c, x in ids.items() if len(c) <= LONGEST})
-        known = self.known
-        return [known[c] if c in known else ids[c] for c in chunks]
-
 
 def cost(n: np.ndarray | int, length: int):
     """Estimated cost of a document's piece of ``n`` tokens: a linear part for all layers, and a quadratic one for attention, which equals it at full length."""

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from psephos.operators import ordered
+
 
 def finite(c: Column) -> Column:
     """Neither null, NaN nor infinite."""
@@ -102,12 +104,12 @@ def slopes(rows: DataFrame, keys: Sequence[str], y: str, x: str, least: int = 3)
 
 
 def summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles (linear interpolation)."""
+    """Count, mean, deviation, extremes and exact quartiles (linear interpolation); quartiles come from ranks over ranges, so no group is gathered."""
     v = F.col(value)
-    return rows.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-        F.percentile(v, F.lit(0.25)).alias("q25"), F.percentile(v, F.lit(0.75)).alias("q75"), F.max(v).alias("max"),
-    )
+    plain = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    quartiles = ordered.quantiles(rows, keys, value, {"q25": 0.25, "q75": 0.75})
+    both = ordered.same(plain, quartiles, keys, "left")
+    return both.select(*keys, "n", "mean", "std", "min", "q25", "q75", "max")
 
 
 def two_level_mean(rows: DataFrame, record: Sequence[str], value: Column) -> DataFrame:

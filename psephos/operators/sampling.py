@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from psephos import dims
+from psephos.operators import ordered
 
-#: Buckets of the hash into which a stratum's rows are counted before ranks are given.
-BUCKETS = 4096
+#: Rows of a bucket of the hash in which ranks are given, about.
+BUCKET_ROWS = 1000
 
 
 def uniform(seed: int, *key: str) -> Column:
@@ -21,15 +22,19 @@ def ranked(rows: DataFrame, keys: Sequence[str], order: Column, name: str = "ran
     """``rows`` with their rank by a hash (a double in (0, 1)) in each group.
 
     A bucket of the hash is one window partition and the counts of earlier
-    buckets are added, so a large group is spread over many tasks. Ranks with
-    equal hashes follow the other columns.
+    buckets are added, so a large group is spread over many tasks. A group gets
+    as many buckets as its rows ask for. Ranks with equal hashes follow no
+    order.
     """
-    rows = rows.withColumn("_u", order).withColumn("_b", F.floor(F.col("_u") * BUCKETS).cast("int"))
+    rows = rows.withColumn("_u", order)
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("_many"))
+    sized = ordered.same(rows, sizes, keys) if keys else rows.crossJoin(F.broadcast(sizes))  # one row
+    rows = sized.withColumn("_b", F.floor(F.col("_u") * F.col("_many")).cast("long")).drop("_many")
     counts = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     starts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     here = Window.partitionBy(*keys, "_b").orderBy("_u")
-    return rows.withColumn("_r", F.row_number().over(here)).join(starts, [*keys, "_b"]).withColumn(name, F.col("_start") + F.col("_r")).drop("_u", "_b", "_r", "_start")
+    return ordered.same(rows.withColumn("_r", F.row_number().over(here)), starts, [*keys, "_b"]).withColumn(name, F.col("_start") + F.col("_r")).drop("_u", "_b", "_r", "_start")
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, fraction: float, seed: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from psephos import dims
 from psephos.functions import scalars
-from psephos.operators import aggregates, joins, sampling
+from psephos.operators import aggregates, joins, ordered, sampling
 from psephos.plans.posts import KEPT
 from psephos.plans.registry import query, table
 from psephos.streaming import router
@@ -66,6 +66,33 @@ def last_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("event_type", "name", F.round("value", 6).alias("value"))
 
 
+#: Each purchase is a moment; prices are the clicks and views, in whole microseconds, of the same bucket of users.
+_PRICES = "p AS (SELECT user_id % 50 AS k, epoch_us(ts) AS t, max(value) AS value FROM events WHERE event_type IN ('click', 'view') AND value IS NOT NULL GROUP BY ALL)"
+_MOMENTS = "q AS (SELECT event_id, user_id % 50 AS k, epoch_us(ts) AS moment FROM events WHERE event_type = 'purchase')"
+
+
+def prices_and_moments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("k", F.col("user_id") % 50)
+    moments = rows.where("event_type = 'purchase'").select("event_id", "k", F.col("us").alias("at"))
+    return rows.where("event_type IN ('click', 'view')").select("k", F.col("us").alias("t"), "value"), moments
+
+
+@query(f"WITH {_PRICES}, {_MOMENTS} SELECT event_id, value, (moment - t)::BIGINT AS age_us FROM q ASOF LEFT JOIN p ON q.k = p.k AND q.moment >= p.t")
+def as_of_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last price at or before each moment, and its age."""
+    points, moments = prices_and_moments(spark, sf_dir)
+    return ordered.as_of(points, moments, ["k"]).select("event_id", F.col("found").alias("value"), (F.col("at") - F.col("found_at")).alias("age_us"))
+
+
+@query(f"""
+WITH {_PRICES}, {_MOMENTS}
+SELECT event_id, arg_min(value, {{'d': abs(t - (moment - 86400000000)), 't': t}}) AS value FROM q LEFT JOIN p ON q.k = p.k AND t <= moment GROUP BY 1""")
+def price_a_day_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price nearest to a day before each moment, of those at or before the moment."""
+    points, moments = prices_and_moments(spark, sf_dir)
+    return ordered.nearest_until(points, moments, ["k"], 86_400_000_000).select("event_id", F.col("found").alias("value"))
+
+
 @query(f"""
 WITH e AS (SELECT event_type, floor({_T} / 86400)::BIGINT AS day, value AS price, CASE WHEN event_id % 3 > 0 AND event_id % 17 > 0 THEN (event_id % 17)::DOUBLE END AS volume FROM events WHERE isfinite(value)),
 m AS (SELECT *, avg(volume) OVER (PARTITION BY event_type, day) AS mean FROM e)

@@ -114,11 +114,16 @@ def run_shock(spark: SparkSession, m: Moments, deltas: dict[str, str], intensity
     yield "done", {}
 
 
-def sensitivity(spark: SparkSession, m: Moments, deltas: dict[str, str], seed: int = 7, draws: int = 10_000) -> list[tuple[float, float]]:
-    """Win probability for intensities from 0.5 to 2 in steps of 0.25."""
+def shock_on_panel(panel: DataFrame, deltas: dict[str, str], party: str = "democrat", intensity: float = 1.0, draws: int = 10_000, seed: int = 7) -> Iterator[tuple[str, dict]]:
+    """``run_shock`` with the moments of a panel, its draws spread by the panel's own past changes where there are enough of them."""
+    yield from run_shock(panel.sparkSession, estimate_moments(panel, party), deltas, intensity, draws, seed, delta_covariance(panel))
+
+
+def sensitivity(spark: SparkSession, m: Moments, deltas: dict[str, str], seed: int = 7, draws: int = 10_000, changes: np.ndarray | None = None) -> list[tuple[float, float]]:
+    """Win probability for intensities from 0.5 to 2 in steps of 0.25; ``changes`` as in ``run_shock``."""
     out = []
     for i in np.arange(0.5, 2.01, 0.25):
-        found = dict(run_shock(spark, m, deltas, float(i), draws, seed))
+        found = dict(run_shock(spark, m, deltas, float(i), draws, seed, changes))
         out.append((float(i), found["simulation"]["win_probability"]))
     return out
 
@@ -134,3 +139,12 @@ def moment_report(spark: SparkSession, m: Moments, benchmarks: DataFrame, thresh
     delta = F.col("estimated") - F.col("benchmark")
     flag = F.when(F.col("estimated").isNull(), "MISSING").when(F.abs(delta) > 2 * threshold, "ALERT").when(F.abs(delta) > threshold, "WARN").otherwise("ok")
     return found.select("bloc", "stratum", "estimated", "benchmark", delta.alias("delta"), flag.alias("flag"), "ord").orderBy("ord").drop("ord")
+
+
+def spectrum_report(spark: SparkSession, m: Moments) -> DataFrame:
+    """``bloc, variance, eigenvalue, share, condition``: the race blocs' variances beside the eigenvalues of their covariance in falling order, each one's share of the trace, and the condition number (null if the least is not over 0)."""
+    values = np.linalg.eigvalsh(m.sigma)[::-1]
+    condition = float(values[0] / values[-1]) if values[-1] > 0 else None
+    trace = float(values.sum())
+    rows = [(b, float(m.sigma[i, i]), float(values[i]), float(values[i]) / trace if trace > 0 else None, condition) for i, b in enumerate(dims.BLOCS["race"])]
+    return spark.createDataFrame(rows, "bloc string, variance double, eigenvalue double, share double, condition double")

@@ -49,6 +49,33 @@ def bootstrap_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.bootstrap_covariance(rows, "event_id", "value", "y", replicates=32, seed=7)
 
 
+@query()
+def bootstrap_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean covariance matrix of bootstrap replicates that draw line items in proportion to their quantity."""
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    matrices = simulate.bootstrap_matrices(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], names, replicates=50, seed=7, weight="l_quantity")
+    return simulate.bootstrap_mean(matrices).select("a", "b", *[F.round(c, 6).alias(c) for c in ("cov", "deviation")], "replicates")
+
+
+@query()
+def vector_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each label's vectors with odd ids stand to all with even ids: discrepancy, weight, principal components, correlations."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("real", F.col("vec_id") % 2 == 0)
+    found = simulate.diagnostics(rows, "real", "label", "vec_id", "embedding", seed=7)
+    return found.select("label", "n", *[F.round(c, 6).alias(c) for c in ("mmd", "mmd_weight", "lambda", "top2", "pcd")], "flagged")
+
+
+@query("""
+WITH p AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+r AS (SELECT a.i, b.i AS j, corr(a.x, b.x) AS r FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i <> b.i WHERE a.vec_id % 2 = 0 GROUP BY ALL),
+s AS (SELECT a.label, a.i, b.i AS j, corr(a.x, b.x) AS s FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i <> b.i WHERE a.vec_id % 2 = 1 GROUP BY ALL)
+SELECT label, round(sqrt(sum((r - s) * (r - s))) / count(*), 6) AS pcd FROM r JOIN s ON r.i = s.i AND r.j = s.j GROUP BY 1""")
+def correlation_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of each label's correlation matrix (odd ids) from that of all vectors with even ids."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("real", F.col("vec_id") % 2 == 0)
+    return simulate.diagnostics(rows, "real", "label", "vec_id", "embedding", seed=7, features=16).select("label", F.round("pcd", 6).alias("pcd"))
+
+
 @query()
 def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic-normal draws around the customers' segment shares: percentiles of each share and the share of wins."""

@@ -7,6 +7,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,11 +224,11 @@ def articles(rows: DataFrame, since: str | None = None, until: str | None = None
 
 
 def outlet_proxy(description: Column) -> Column:
-    """The weights of an outlet's readers, by bloc, from a description that is JSON with ``proxy``: ``{race, religion, gender}``; null without any."""
+    """The weights of an outlet's readers, by bloc, from a description that is JSON with ``proxy``: ``{race, religion, gender}``; null without any. A name in several strata has the first one's weight."""
     kind = "struct<proxy: struct<race: map<string,double>, religion: map<string,double>, gender: map<string,double>>>"
     proxy = F.from_json(description, kind)["proxy"]
     parts = [F.coalesce(proxy[s], F.create_map().cast("map<string,double>")) for s in ("race", "religion", "gender")]
-    both = F.map_concat(*parts)
+    both = reduce(lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, y)), parts)
     return F.when(F.size(both) > 0, both)
 
 

@@ -1,5 +1,8 @@
-"""Article text of web pages."""
+"""Articles of web pages: text, title and date."""
 
+from __future__ import annotations
+
+import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -7,48 +10,156 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Elements whose text is no article.
+from psephos.functions import scalars
+
+# Elements whose text is no article, and elements without an end.
 NOISE = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "iframe"}
-BLOCKS = {"p", "div", "article", "section", "li", "br", "h1", "h2", "h3", "td", "tr"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+# Where an article's text stands, first choice first: an element, a part of its class (``=``: one whole class).
+SELECTORS = [("article", ""), ("div", "=article-body"), ("div", "=entry-content"), ("div", "article-body"), ("div", "story-body"), ("div", "article__body"), ("div", "post-body"), ("div", "entry-content"), ("main", "")]
+# Attributes of meta elements that hold a date, first choice first.
+DATES = [("property", "article:published_time"), ("name", "publishdate"), ("name", "date"), ("name", "dc.date"), ("itemprop", "datepublished")]
+#: Words that make a chosen element an article.
+LEAST = 30
+
+
+class Page(HTMLParser):
+    """The spans of a page's elements over its words.
 
+    Start tags go on a stack and an end tag closes the nearest open element of
+    its name with all that is open above it; an end tag without one is passed over.
+    An element is a range of the list of words, so its words are a slice, and
+    what a selector or noise covers is an interval. Noise that no end tag of its
+    own closes covers nothing, so an open ``nav`` does not hide the page.
+    """
 
-class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip, self.inside, self.all, self.own = 0, 0, [], []
+        self.words: list[str] = []
+        self.tags = 0
+        self.open: list[tuple[str, str, int, int]] = []  # name, class or type, first word, number of the tag
+        self.noise: list[tuple[int, int, int, int]] = []  # first and last word and tag
+        self.chosen: list[list[tuple[int, int, int, int]]] = [[] for _ in SELECTORS]
+        self.paragraphs: list[tuple[int, int]] = []
+        self.titles: dict[str, tuple[int, int]] = {}
+        self.meta: dict[tuple[str, str], str] = {}
+        self.time = ""
+        self.scripts: list[str] = []
 
     def handle_starttag(self, tag, attrs):
-        self.skip += tag in NOISE
-        self.inside += tag in ("article", "main")
-        if tag in BLOCKS:
-            self.handle_data("\n")
+        got = {k: v or "" for k, v in attrs}
+        self.tags += 1
+        if tag == "meta":
+            for k in ("property", "name", "itemprop"):
+                if got.get(k) and got.get("content"):
+                    self.meta.setdefault((k, got[k].lower()), got["content"])
+        elif tag == "time" and got.get("datetime"):
+            self.time = self.time or got["datetime"]
+        if tag not in VOID:
+            kind = got.get("type", "") if tag == "script" else got.get("class", "")
+            self.open.append((tag, kind.lower(), len(self.words), self.tags))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        self.skip -= tag in NOISE and self.skip > 0
-        self.inside -= tag in ("article", "main") and self.inside > 0
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is not None:
+            for i, element in enumerate(self.open[at:]):
+                self.closed(*element, own=i == 0)
+            del self.open[at:]
+
+    def closed(self, tag: str, kind: str, start: int, number: int, own: bool) -> None:
+        span = (start, len(self.words))
+        if tag in NOISE and own:
+            self.noise.append((*span, number, self.tags))
+        if tag in ("title", "h1"):
+            self.titles.setdefault(tag, span)
+        if tag == "p":
+            self.paragraphs.append(span)
+        classes = kind.split()
+        for k, (name, part) in enumerate(SELECTORS):
+            if tag == name and (part[1:] in classes if part.startswith("=") else part in kind):
+                self.chosen[k].append((*span, number, self.tags))
 
     def handle_data(self, data):
-        if not self.skip:
-            self.all.append(data)
-            if self.inside:
-                self.own.append(data)
+        if self.open and self.open[-1][0] == "script" and self.open[-1][1] == "application/ld+json":
+            self.scripts.append(data)
+        self.words += data.split()
+
+    def close(self):
+        super().close()
+        for element in self.open:
+            self.closed(*element, own=False)
+        self.open = []
+
+    def outside_noise(self) -> list[bool]:
+        keep = [True] * len(self.words)
+        for a, b, *_ in self.noise:
+            keep[a:b] = [False] * (b - a)
+        return keep
 
+    def text(self) -> str:
+        """The first element of the first selector that has enough words; else all paragraphs, else all that is no noise."""
+        keep = self.outside_noise()
+        for t in ("title",):
+            if t in self.titles:
+                a, b = self.titles[t]
+                keep[a:b] = [False] * (b - a)
+        cut = lambda a, b: [w for w, k in zip(self.words[a:b], keep[a:b], strict=True) if k]
+        for spans in self.chosen:
+            spans = [s for s in spans if not any(first < s[2] and s[3] <= last for *_, first, last in self.noise)]
+            if spans and len(words := cut(*min(spans, key=lambda s: s[2])[:2])) >= LEAST:
+                return " ".join(words)
+        inside = [False] * len(self.words)
+        for a, b in self.paragraphs:
+            inside[a:b] = [True] * (b - a)
+        found = [w for w, p, k in zip(self.words, inside, keep, strict=True) if p and k]
+        return " ".join(found or cut(0, len(self.words)))
 
-def article(html: str | None, least: int = 30) -> str | None:
-    """The text of the article element if it has ``least`` words, else of the page without its frame."""
-    if html is None:
-        return None
-    p = _Text()
-    p.feed(html)
-    own, every = (" ".join("".join(x).split()) for x in (p.own, p.all))
-    return own if len(own.split()) >= least else every
+    def title(self) -> str:
+        og = self.meta.get(("property", "og:title"), "").strip()
+        return og or next((t for n in ("title", "h1") if n in self.titles and (t := " ".join(self.words[slice(*self.titles[n])]))), "")
+
+    def date(self) -> str | None:
+        """What the page says of its date: a meta element, a ``time`` element, or linked data."""
+        said = next((self.meta[d] for d in DATES if d in self.meta), None) or self.time
+        for s in self.scripts if not said else ():
+            try:
+                data = json.loads(s)
+            except ValueError:
+                continue
+            for d in data if isinstance(data, list) else [data]:
+                said = said or (isinstance(d, dict) and (d.get("datePublished") or d.get("dateModified"))) or ""
+        return str(said) if said else None
+
+
+def parsed(html: str) -> tuple[str, str, str | None]:
+    page = Page()
+    page.feed(html)
+    page.close()
+    return page.text(), page.title(), page.date()
 
 
 def article_text(html: Column) -> Column:
-    """``article`` of each page, in batches."""
+    """The text of each page's article; null for null."""
+    return article(html)["text"]
+
+
+def article(html: Column) -> Column:
+    """``text, title, date_said`` of each page, in batches; null for null."""
+
+    def pages(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([parsed(h) if h is not None else (None, None, None) for h in s], columns=["text", "title", "date_said"])
+
+    return F.pandas_udf(pages, "text string, title string, date_said string")(html)
 
-    def texts(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in pages:
-            yield s.map(article, na_action="ignore")
 
-    return F.pandas_udf(texts, "string")(html)
+def article_time(said: Column) -> Column:
+    """The time that a page's date stands for; null if it is none of the forms that are known."""
+    plain = F.trim(said)
+    named = [F.try_to_timestamp(plain, F.lit(f)) for f in ("MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy", "yyyy-MM-dd")]
+    return F.coalesce(*named, scalars.timestamp(plain))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.functions import scalars
+from psephos.functions import html, records, scalars
 from psephos.operators import aggregates, authors
 from psephos.plans.registry import query, table
-from psephos.sources import readers, surveys
+from psephos.sources import polls, readers, surveys
 
 
 @query("""
@@ -137,3 +137,49 @@ def article_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.when(F.col("page_id") % 4 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 60).cast("int")).cast("string"))
     rows = table(spark, sf_dir, "pages").select("page_id", "url", F.lower(F.split_part("url", F.lit("/"), F.lit(4))).alias("state"), day.alias("date"))
     return readers.articles(rows, "2024-01-10", "2024-02-10", ["es", "DE"], "Example.org").select("page_id")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_linenumber % 3 = 1 THEN l_returnflag || l_linestatus END) AS h, max(l_quantity) AS q, max(CASE WHEN l_tax > 0.02 THEN l_tax * 100 END) AS t FROM lineitem GROUP BY ALL),
+f AS (SELECT l_orderkey, l_linenumber, last_value(h IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS heading, q, t FROM l),
+u AS (SELECT l_orderkey, l_linenumber, heading, 'quantity' AS response, q AS pct FROM f UNION ALL SELECT l_orderkey, l_linenumber, heading, 'tax', round(t, 0) FROM f WHERE t IS NOT NULL)
+SELECT heading, response, count(*) AS n, round(sum(pct), 3) AS total, count(DISTINCT l_orderkey) AS tables FROM u GROUP BY ALL""")
+def poll_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide tables (an order's lines), whose headings stand in some lines only, as long rows."""
+    item = table(spark, sf_dir, "lineitem")
+    heading = F.when(F.col("l_linenumber") % 3 == 1, F.concat("l_returnflag", "l_linestatus"))
+    cells = item.groupBy("l_orderkey", "l_linenumber").agg(F.max(heading).alias("heading"), F.max("l_quantity").alias("q"), F.max(F.when(F.col("l_tax") > 0.02, F.col("l_tax") * 100)).alias("t"))
+    wide = cells.select("l_orderkey", "l_linenumber", "heading", F.concat(F.col("q").cast("int"), F.lit("%")).alias("quantity"), F.coalesce(F.round("t", 0).cast("int").cast("string"), F.lit("--")).alias("tax"))
+    rows = polls.long_rows(wide, "l_orderkey", "l_linenumber", ["heading"], ["quantity", "tax"])
+    return rows.groupBy("heading", "response").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("pct"), 3).alias("total"), F.count_distinct("l_orderkey").alias("tables"))
+
+
+@query("""
+SELECT conv_id, turn, 0 AS place, role AS said FROM conversations UNION ALL SELECT conv_id, turn, 1, text FROM conversations
+UNION ALL SELECT conv_id, turn, 2, text || role FROM conversations WHERE (conv_id + turn) % 3 = 0""")
+def model_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of arrays in a model's answers, made of whole turns, with a fence and words around them; two of three answers are cut off within the last object."""
+    item = lambda n, text: F.struct(F.col("turn").alias("turn"), F.lit(n).alias("n"), text.alias("said"))
+    whole = F.to_json(F.array(item(0, F.col("role")), item(1, F.col("text")), item(2, F.concat("text", "role"))))
+    part = (F.col("conv_id") + F.col("turn")) % 3
+    cut = F.when(part == 0, F.concat(whole, F.lit("\n```\nThat is all."))).otherwise(F.substring(whole, F.lit(1), (F.length(whole) - 1 - part).cast("int")))
+    answers = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("of"), F.concat(F.lit('Here is the "list":\n```json\n'), cut).alias("answer"))
+    return records.object_rows(answers, "of", "answer", "n int, said string").select("of.*", "place", "said")
+
+
+def _plain(html: str) -> str:
+    """SQL for the words of a piece of a page."""
+    marks = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+    said = f"regexp_replace({html}, '<[^>]*>', ' ', 'g')"
+    for a, b in marks:
+        said = f"replace({said}, '{a}', '{b}')"
+    return rf"trim(regexp_replace({said}, '\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS a, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages),
+t AS (SELECT page_id, {_plain("a")} AS a, {_plain("regexp_replace(a, '(?s)^<h1>.*?</h1>', '')")} AS p, {_plain("title")} AS title FROM p)
+SELECT page_id, CASE WHEN len(string_split(a, ' ')) >= 30 THEN a ELSE p END AS article, title FROM t""")
+def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article and title of each whole page."""
+    return table(spark, sf_dir, "pages").select("page_id", html.article(F.col("html")).alias("a")).select("page_id", F.col("a.text").alias("article"), F.col("a.title").alias("title"))

@@ -43,10 +43,10 @@ def user_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PENALTIES = ", ".join(f"({p}::DOUBLE)" for p in models.PENALTIES)
 
 
-@query(f"""
-WITH y AS (SELECT event_type AS bloc, user_id, avg(value) AS y FROM events WHERE event_id % 3 = 2 AND isfinite(value) GROUP BY ALL),
-x AS (SELECT event_type AS bloc, user_id, avg(value) FILTER (WHERE event_id % 3 = 0) AS a, avg(value) FILTER (WHERE event_id % 3 = 1) AS b FROM events WHERE isfinite(value) GROUP BY ALL),
-w AS (SELECT y.bloc, y, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM y LEFT JOIN x ON x.bloc = y.bloc AND x.user_id = y.user_id),
+def ridge_sql(rows: str) -> str:
+    """SQL of the fits to ``w (bloc, y, a, b)``, which ``rows`` defines: 2x2 systems are written out."""
+    return f"""
+WITH {rows},
 m AS (SELECT bloc, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM w GROUP BY 1),
 d AS (SELECT w.bloc, n, a - ma AS a, b - mb AS b, y - my AS y FROM w JOIN m ON w.bloc = m.bloc),
 s AS (SELECT bloc, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS cy, sum(y * y) AS yy FROM d GROUP BY 1),
@@ -57,8 +57,25 @@ e AS (SELECT f.bloc, p, any_value(yy) AS yy, any_value(wa) AS wa, any_value(wb)
       FROM f JOIN d ON f.bloc = d.bloc GROUP BY ALL),
 c AS (SELECT *, row_number() OVER (PARTITION BY bloc ORDER BY press, p) AS r FROM e)
 SELECT m.bloc, n, p AS penalty, round(my - wa * ma - wb * mb, 6) AS intercept, round(wa, 6) AS news, round(wb, 6) AS social, round(1 - press / yy, 6) AS cv_r2
-FROM m JOIN c ON m.bloc = c.bloc WHERE r = 1""")
+FROM m JOIN c ON m.bloc = c.bloc WHERE r = 1"""
+
+
+def shown(fits: DataFrame) -> DataFrame:
+    return fits.select("bloc", "n", "penalty", F.round("intercept", 6).alias("intercept"), *[F.round(F.col("coefficients")[s], 6).alias(s) for s in SOURCES], F.round("cv_r2", 6).alias("cv_r2"))
+
+
+@query(ridge_sql("""y AS (SELECT event_type AS bloc, user_id, avg(value) AS y FROM events WHERE event_id % 3 = 2 AND isfinite(value) GROUP BY ALL),
+x AS (SELECT event_type AS bloc, user_id, avg(value) FILTER (WHERE event_id % 3 = 0) AS a, avg(value) FILTER (WHERE event_id % 3 = 1) AS b FROM events WHERE isfinite(value) GROUP BY ALL),
+w AS (SELECT y.bloc, y, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM y LEFT JOIN x ON x.bloc = y.bloc AND x.user_id = y.user_id)"""))
 def elasticity_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the scores of two sources move each bloc: ridge regressions with the penalty of least leave-one-out error."""
-    fits = models.ridge_by_group(user_scores(spark, sf_dir), ["bloc"], SOURCES, "delta")
-    return fits.select("bloc", "n", "penalty", F.round("intercept", 6).alias("intercept"), *[F.round(F.col("coefficients")[s], 6).alias(s) for s in SOURCES], F.round("cv_r2", 6).alias("cv_r2"))
+    return shown(models.ridge_by_group(user_scores(spark, sf_dir), ["bloc"], SOURCES, "delta"))
+
+
+@query(ridge_sql("""w AS (SELECT lang AS bloc, quality::DOUBLE AS y, least(n_chars / 5000.0::DOUBLE, 2) AS a, toxic::DOUBLE AS b FROM documents JOIN labels ON documents.doc_id = labels.doc_id
+  WHERE lang IS NOT NULL AND quality IS NOT NULL AND n_chars IS NOT NULL AND toxic IS NOT NULL)"""))
+def quality_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How length and a verdict move the quality of each language's documents: a group holds as many rows as the table has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("bloc"), F.least(F.col("n_chars") / 5000.0, F.lit(2.0)).alias("news"))
+    rows = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("bloc", "news", F.col("toxic").cast("double").alias("social"), F.col("quality").cast("double").alias("delta")).dropna()
+    return shown(models.ridge_by_group(rows, ["bloc"], SOURCES, "delta"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from psephos.functions import html, records, scalars, text
-from psephos.operators import aggregates, authors, joins, relational, sampling
+from psephos.operators import aggregates, authors, joins, ordered, relational, sampling
 from psephos.plans.registry import ORACLES, query, table
 
 # A registry of topics and keywords for the given texts.
@@ -77,11 +77,22 @@ def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean_post(F.col("text")).alias("cleaned"))
 
 
-@query(rf"""
-SELECT conv_id, turn FROM conversations WHERE NOT (regexp_matches(text, '^RT @') OR regexp_matches(trim(text, {_STRIP}), '^(https?://\S+|www\.\S+)$')
-  OR length(trim(regexp_replace(regexp_replace(text, 'https?://\S+|www\.\S+', '', 'g'), '@[0-9A-Za-z_]+', '', 'g'), {_STRIP})) < 10)""")
+def spam_sql(said: str) -> str:
+    """SQL for texts that are no spam."""
+    return rf"""NOT (regexp_matches({said}, '^(?i:RT)\s+@[0-9A-Za-z_]+') OR regexp_matches(trim({said}, {_STRIP}), '^(https?://\S+)$') OR regexp_replace({said}, '{text.EMOJI}', '', 'g') = ''
+  OR length(trim(regexp_replace(regexp_replace({said}, 'https?://\S+', '', 'g'), '@[0-9A-Za-z_]+', '', 'g'), {_STRIP})) < 10)"""
+
+
+_PLANTED = "CASE (conv_id + turn) % 9 WHEN 0 THEN 'rt  @someone ' || text WHEN 1 THEN 'https://example.org/' || conv_id WHEN 2 THEN 'www.example.org/a/long/path' WHEN 3 THEN 'art @someone ' || text WHEN 4 THEN '@a @b https://x.org short' ELSE text END"
+
+
+@query(f"SELECT conv_id, turn FROM (SELECT conv_id, turn, {_PLANTED} AS said FROM conversations) WHERE {spam_sql('said')}")
 def spam_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where(~text.is_spam(F.col("text"))).select("conv_id", "turn")
+    """Turns that are no spam; some begin like retweets, or are a link or nearly so."""
+    k = (F.col("conv_id") + F.col("turn")) % 9
+    said = F.when(k == 0, F.concat(F.lit("rt  @someone "), "text")).when(k == 1, F.concat(F.lit("https://example.org/"), "conv_id")).when(k == 2, "www.example.org/a/long/path")
+    said = said.when(k == 3, F.concat(F.lit("art @someone "), "text")).when(k == 4, "@a @b https://x.org short").otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").where(~text.is_spam(said)).select("conv_id", "turn")
 
 
 @query(f"""
@@ -91,7 +102,7 @@ def body_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: SQL for posts that a stream keeps.
-KEPT = ORACLES["body_filter"].partition(" WHERE ")[2] + " AND " + ORACLES["spam_filter"].partition(" WHERE ")[2]
+KEPT = ORACLES["body_filter"].partition(" WHERE ")[2] + " AND " + spam_sql("text")
 
 
 @query(r"""
@@ -231,6 +242,26 @@ def record_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+WITH p AS (SELECT source, documents.doc_id, quality FROM documents JOIN labels ON documents.doc_id = labels.doc_id WHERE quality IS NOT NULL)
+SELECT d.doc_id, p.quality AS quality, d.doc_id - p.doc_id AS gap FROM documents d ASOF LEFT JOIN p ON d.source = p.source AND d.doc_id >= p.doc_id""")
+def last_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last verdict on a document of the same source at or before each document, ids standing for time: an as-of join with a hot source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    verdicts = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("source", F.col("doc_id").alias("t"), "quality")
+    found = ordered.as_of(verdicts, docs, ["source"], "t", "quality", "doc_id")
+    return found.select("doc_id", F.col("found").alias("quality"), (F.col("doc_id") - F.col("found_at")).alias("gap"))
+
+
+@query("""
+SELECT source, lang, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS min, round(quantile_cont(n_chars, 0.25), 6) AS q25,
+       round(quantile_cont(n_chars, 0.75), 6) AS q75, max(n_chars) AS max FROM documents GROUP BY ALL""")
+def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary of the documents' lengths by source and language, with exact quartiles."""
+    out = aggregates.summary(table(spark, sf_dir, "documents"), ["source", "lang"], "n_chars")
+    return out.select("source", "lang", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std")], "min", *[F.round(c, 6).alias(c) for c in ("q25", "q75")], "max")
+
+
 @query()
 def html_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", html.article_text(F.col("html")).alias("article"))

@@ -57,6 +57,15 @@ def bootstrap_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.bootstrap_mean(matrices).select("a", "b", *[F.round(c, 6).alias(c) for c in ("cov", "deviation")], "replicates")
 
 
+@query()
+def bootstrap_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean covariance matrix of bootstrap replicates that draw labelled documents in proportion to their length."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("chars"))
+    rows = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "chars", F.log1p("chars").alias("length"), "quality", "toxic")
+    matrices = simulate.bootstrap_matrices(rows, ["doc_id"], ["length", "quality", "toxic"], replicates=100, seed=7, weight="chars")
+    return simulate.bootstrap_mean(matrices).select("a", "b", *[F.round(c, 6).alias(c) for c in ("cov", "deviation")], "replicates")
+
+
 @query()
 def vector_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each label's vectors with odd ids stand to all with even ids: discrepancy, weight, principal components, correlations."""

@@ -15,8 +15,8 @@ probabilities of all known words and one unknown word sum to one.
 
 from __future__ import annotations
 
+import math
 import uuid
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -37,8 +37,10 @@ class Params:
     """``head_words`` and ``word_bytes`` bound what is broadcast: words with their counts, 12 MB at most.
 
     ``singles`` words have a class of their own; up to each rank of ``bands``
-    classes hold so many words. ``rounds`` is the number of times that tasks
-    train on a share of the rows each and models are averaged.
+    classes hold so many words. ``rounds`` is the number of times that groups
+    of rows are gone through and their models are averaged; a round of
+    ``group_tokens`` times k squared tokens has k groups. ``run_tokens`` is what
+    is worked on at once.
     """
 
     singles: int = 510
@@ -55,7 +57,8 @@ class Params:
     seed: int = 11
     head_words: int = 1 << 18
     word_bytes: int = 40
-    slice_bytes: int = 4 << 20
+    group_tokens: int = 1 << 17
+    run_tokens: int = 1 << 19
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
@@ -287,14 +290,14 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return out
 
 
-def averaged(rows: DataFrame, size: int, p: Params) -> tuple[float, np.ndarray]:
-    """Tokens and mean model of ``rows (chunk, n, sums)``, sums being times n: chunks are added up apart, in two levels, so no task gets a whole model from each other."""
-    fan = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
+def averaged(rows: DataFrame, size: int, p: Params, tasks: int) -> tuple[int, np.ndarray]:
+    """Tokens and mean model of ``rows (chunk, n, sums)`` from so many tasks, sums being times n: chunks are added up apart, in two levels, so no task gets a whole model from each other."""
+    fan = max(1, int(tasks**0.5))
 
     def add(table: pa.Table) -> pa.Table:
         every = table.column("sums").combine_chunks()
         every = every.chunk(0) if isinstance(every, pa.ChunkedArray) else every
-        total = every.flatten().to_numpy().reshape(table.num_rows, -1).sum(0)
+        total = every.flatten().to_numpy().reshape(table.num_rows, -1).sum(0, dtype=np.float64)
         return pa.table({"chunk": table.column("chunk")[:1], "n": [sum(table.column("n").to_pylist())], "sums": pa.array([total], pa.list_(pa.float64()))})
 
     dealt = rows.withColumn("part", F.spark_partition_id() % fan)
@@ -317,15 +320,57 @@ def numbered(words) -> dict[bytes, int]:
     return _vocabulary[1]
 
 
-def coded(texts: list[bytes], number: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each text; head number of each token (ends included, -1: not in the head); tokens of each text."""
-    words = [t.lower().split() for t in texts]
-    for w in words:
-        w.append(END)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    get = number.get
-    codes = np.fromiter((get(w, -1) for ws in words for w in ws), np.int64, int(sizes.sum()))
-    return words, codes, sizes
+def coded(rows: DataFrame, words) -> DataFrame:
+    """``row, id, held_out, key, codes, rare`` of ``rows (id, text, held_out)``.
+
+    ``codes`` has the head number of each token (32 bits, ends included, -1: not
+    in the head), ``rare`` the words outside the head; ``key`` is a hash of id
+    and text, which orders rows alike under any layout. ``row`` numbers them, so
+    the result has to be written before it is used twice.
+    """
+
+    def run(batches):
+        number = numbered(words)
+        get, task, serial = number.get, TaskContext.get().partitionId() << 40, 0
+        for b in slices(batches, 4 << 20):
+            codes, rare = [], []
+            for t in b.column(1).to_pylist():
+                own = t.lower().split()
+                own.append(END)
+                found = np.fromiter((get(w, -1) for w in own), np.int32, len(own))
+                codes.append(found.tobytes())
+                rare.append([own[i] for i in np.flatnonzero(found < 0).tolist()])
+            columns = {
+                "row": pa.array(task + serial + np.arange(b.num_rows)), "id": b.column(0), "held_out": b.column(2), "key": b.column(3),
+                "codes": pa.array(codes, pa.binary()), "rare": pa.array(rare, pa.list_(pa.binary())),
+            }
+            serial += b.num_rows
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    key = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "text", "held_out", key.alias("key")).mapInArrow(run, f"row long, id {kind}, held_out boolean, key long, codes binary, rare array<binary>")
+
+
+def decoded(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Head number of each token, and the tokens of each text."""
+    return np.frombuffer(b"".join(codes), np.int32).astype(np.int64), np.array([len(c) // 4 for c in codes], np.int64)
+
+
+def runs_of(batches, most: int):
+    """``group, key, codes`` for each run of a group's texts with ``most`` tokens or just over, wherever the batches end; ``key`` is the first text's."""
+    held, n, now, first = [], 0, None, 0
+    for b in batches:
+        for group, key, codes in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if held and (group != now or n >= most):
+                yield now, first, held
+                held, n = [], 0
+            if not held:
+                now, first = group, key
+            held.append(codes)
+            n += len(codes) // 4
+    if held:
+        yield now, first, held
 
 
 def contexts_of(kinds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -340,35 +385,41 @@ def contexts_of(kinds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def train(rows: DataFrame, words, lay: Layout, head_n: np.ndarray, total: int, p: Params) -> dict[str, np.ndarray]:
-    """Fits the model on every token of ``rows (id, text)``; ``words`` is the broadcast vocabulary.
-
-    The texts' hashes deal the rows to ``rounds`` shares. In a round each task
-    makes its pass over its part of a share from the same start, and the models
-    are averaged by their numbers of tokens; the next round starts there. The
-    draws are seeded by the texts, but the averages depend on how the rows lie
-    in tasks, so scores may differ in the last digits from one layout to another.
+    """Fits the model on every token of ``rows (key, codes)``.
+
+    Hashes of the key deal the rows to ``rounds`` shares and each share to
+    groups. Their number grows with the square root of the tokens, so groups
+    become more and larger. A group is gone through in the order of the keys
+    from the round's start, and a round ends with the mean of its groups'
+    models, weighted by tokens. All of it follows from the rows: how they lie in
+    partitions only changes the order in which models are added up.
     """
     spark = rows.sparkSession
     share = unigram(lay, head_n, total)
     model = start_model(share, lay, head_n, p)
+    groups = max(1, math.ceil(math.sqrt(total / (p.rounds * p.group_tokens))))
+    group = F.pmod(F.xxhash64(F.lit(p.seed), "key"), F.lit(groups)).cast("int").alias("group")
     for i in range(p.rounds):
         shared = spark.sparkContext.broadcast((model, lay, share))
 
         def run(batches, shared=shared, i=i):
-            number, (model, lay, share), tokens = numbered(words), shared.value, 0
-            for b in slices(batches, p.slice_bytes):
-                texts = b.column(1).to_pylist()
-                _, codes, sizes = coded(texts, number)
+            start, lay, share = shared.value
+            every, sums, now, model, n = 0, np.zeros(len(pack(start))), None, start, 0
+            for group, key, held in runs_of(batches, p.run_tokens):
+                if group != now:
+                    sums, now, model, n = sums + pack(model) * float(n), group, start, 0
+                codes, sizes = decoded(held)
                 kind, row = looked_up(codes, lay)
-                model = fit_nce(model, share, contexts_of(lay.context[kind], sizes), kind, p, p.seed + i + zlib.crc32(texts[0]), row, lay)
-                tokens += len(codes)
-            if tokens:
-                flat = pack(model).astype(np.float64) * tokens
-                for at in range(0, len(flat), p.chunk):
-                    yield pa.RecordBatch.from_arrays([pa.array([at // p.chunk]), pa.array([tokens]), pa.array([flat[at : at + p.chunk].astype(np.float32)], pa.list_(pa.float32()))], ["chunk", "n", "sums"])
-
-        dealt = rows.where(F.pmod(F.xxhash64("text"), F.lit(p.rounds)) == i)
-        tokens, mean = averaged(dealt.mapInArrow(run, "chunk long, n long, sums array<float>"), len(pack(model)), p)
+                model = fit_nce(model, share, contexts_of(lay.context[kind], sizes), kind, p, p.seed + i + (key & 0xFFFFFFFF), row, lay)
+                every, n = every + len(codes), n + len(codes)
+            if every:
+                sums += pack(model) * float(n)
+                for at in range(0, len(sums), p.chunk):
+                    yield pa.RecordBatch.from_arrays([pa.array([at // p.chunk]), pa.array([every]), pa.array([sums[at : at + p.chunk]], pa.list_(pa.float64()))], ["chunk", "n", "sums"])
+
+        own = rows.where(F.pmod(F.xxhash64(F.lit(p.seed + 1), "key"), F.lit(p.rounds)) == i).select(group, "key", "codes")
+        dealt = own.repartitionById(groups, "group").sortWithinPartitions("group", "key", "codes")
+        tokens, mean = averaged(dealt.mapInArrow(run, "chunk long, n long, sums array<double>"), len(pack(model)), p, groups)
         if tokens:
             model = unpack(mean, model)
     return model
@@ -395,49 +446,39 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"), held_out.alias("held_out"))
-    learnt = rows.where(~F.col("held_out")).select("id", "text")
-    counts = durable(count_tokens(learnt), "counts")
+    counts = durable(count_tokens(rows.where(~F.col("held_out")).select("id", "text")), "counts")
     total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     head, head_n = head_of(counts, p)
     lay = layout_of(head, p)
     words = spark.sparkContext.broadcast((uuid.uuid4().hex, head))
-    model = spark.sparkContext.broadcast(train(learnt, words, lay, head_n, total, p))
+    tokens = durable(coded(rows, words), "coded")
+    model = spark.sparkContext.broadcast(train(tokens.where(~F.col("held_out")).select("key", "codes"), words, lay, head_n, total, p))
     own = lay.kind > OTHER  # words that the model knows
     other_n, other_v = total - int(head_n[own].sum()), distinct - int(own.sum())
     log10_n = np.log10(head_n + 1.0)
 
     def run(batches):
-        number = numbered(words)
-        task, serial = TaskContext.get().partitionId() << 40, 0
-        for b in slices(batches, p.slice_bytes):
-            texts, codes, sizes = coded(b.column(1).to_pylist(), number)
+        for b in slices(batches, 4 * p.run_tokens, "codes"):
+            codes, sizes = decoded(b.column(3).to_pylist())
             known = codes >= 0
             kind, row = looked_up(codes, lay)
             before = contexts_of(lay.context[kind], sizes)
             logs = (token_logs(model.value, before, kind, lay.classes) + within_logs(model.value, before, kind, row, lay)) / np.log(10)
-            plain = np.where(known, log10_n[codes], 0.0) if len(head) else np.zeros(len(codes))
+            plain = np.where(known, log10_n[codes], 0.0) if len(log10_n) else np.zeros(len(codes))
             first = np.cumsum(sizes) - sizes
             per = lambda x: np.add.reduceat(x, first)
-            rest, flat = np.flatnonzero(~known), [w for ws in texts for w in ws]
-            offsets = np.concatenate([[0], np.cumsum(per((~known).astype(np.int64)))]).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array([flat[i] for i in rest.tolist()], pa.binary()))
             columns = {
-                "row": pa.array(task + serial + np.arange(b.num_rows)), "id": b.column(0), "held_out": b.column(2),
+                "row": b.column(0), "id": b.column(1), "held_out": b.column(2),
                 "n_tokens": pa.array(sizes), "n_head": pa.array(per(known.astype(np.int64))), "n_other": pa.array(per((kind == OTHER).astype(np.int64))),
-                "plain": pa.array(per(plain)), "plain_other": pa.array(per(np.where(kind == OTHER, plain, 0.0))), "model": pa.array(per(logs)), "rare": rare,
+                "plain": pa.array(per(plain)), "plain_other": pa.array(per(np.where(kind == OTHER, plain, 0.0))), "model": pa.array(per(logs)),
             }
-            serial += b.num_rows
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kind_of_id = rows.schema["id"].dataType.simpleString()
-    scored = durable(
-        rows.select("id", "text", "held_out").mapInArrow(
-            run,
-            f"row long, id {kind_of_id}, held_out boolean, n_tokens long, n_head long, n_other long, plain double, plain_other double, model double, rare array<binary>",
-        ),
-        "scored",
+    scored = tokens.select("row", "id", "held_out", "codes").mapInArrow(
+        run, f"row long, id {kind_of_id}, held_out boolean, n_tokens long, n_head long, n_other long, plain double, plain_other double, model double"
     )
-    rare = scored.select("row", F.explode("rare").alias("word"))
+    rare = tokens.select("row", F.explode("rare").alias("word"))
     found = rare.join(counts, "word").groupBy("row").agg(F.count(F.lit(1)).alias("n_rare"), F.sum(F.log10(F.col("n") + 1)).alias("rare_log"))
     base = F.col("plain") + F.coalesce("rare_log", F.lit(0.0))
     others = F.col("plain_other") + F.coalesce("rare_log", F.lit(0.0))

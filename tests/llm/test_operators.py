@@ -299,6 +299,20 @@ def test_model_score_against_a_plain_loop(spark, monkeypatch):
     assert len(known) > 15 and abs(model["w"]).max() > 0
 
 
+def test_scores_do_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in rng.geometric(0.05, rng.integers(0, 60)))) for i in range(400)] + [(7, "a copy of one row")] * 30 + [(None, None)] * 2
+    p = lm.Params(singles=20, bands=((60, 8),), width=4, noise=5, chunk=64, group_tokens=500, run_tokens=300)
+    found = []
+    for parts, batch in ((1, 10_000), (7, 5)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = lm.score(docs, crc_mod(docs["doc_id"], 7) == 2, p=p).collect()
+        found.append(sorted((r.id is None, r.id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in got))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found[0]) == len(rows) and np.allclose(np.array(found[0], float), np.array(found[1], float), rtol=1e-6)
+
+
 def test_model_is_normalised_and_learns():
     p = lm.Params(width=6, batch=256)
     rng = np.random.default_rng(0)

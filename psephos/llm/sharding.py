@@ -19,6 +19,14 @@ def home(id_col: Column, shards: int, seed: int) -> Column:
     return best["s"] if shards > 1 else F.lit(0)
 
 
+def copied(rows: DataFrame, at_once: int = 1 << 16) -> DataFrame:
+    """The rows with ``copy``, the number among equal rows from 0; copies of a row are counted, and written out by as many tasks as there are parts of ``at_once``."""
+    counts = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    parts = counts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / at_once).cast("long")))).repartition("turn", "_part")
+    start = F.col("_part") * at_once
+    return parts.withColumn("copy", F.explode(F.sequence(start, F.least(start + at_once, "_n") - 1))).drop("_n", "_part")
+
+
 def shuffle_into_shards(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, seed: int = 7, bucket_bytes: int = 4 << 20, task_bytes: int = 32 << 20
 ) -> DataFrame:
@@ -37,13 +45,14 @@ def shuffle_into_shards(
     comes from the bytes and each task draws for its buckets in order.
 
     Rows of a bucket of over four times its size, as rows that repeat id and
-    text make it, are dealt anew over all buckets of their shard, by their
-    position in the input. ``size`` is the text's UTF-8 bytes plus 8 (null
+    text make it, are dealt anew over all buckets of their shard, by the number
+    of the copy: equal rows are counted and written out again, so nothing
+    depends on the order in which they came. ``size`` is the text's UTF-8 bytes plus 8 (null
     text: 8). A null id counts as the empty one. An empty table gives an empty
     result.
     """
     size = F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long") + 8
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), size.alias("size"), F.monotonically_increasing_id().alias("at"))
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), size.alias("size"))
     rows = rows.withColumn("shard", home(F.col("id"), shards, seed))
     total = {r.shard: r.bytes for r in rows.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}  # a row for each shard
     many = F.element_at(F.array(*[F.lit(max(1, -(-total.get(s, 0) // bucket_bytes))).cast("long") for s in range(shards)]), F.col("shard") + 1)
@@ -56,8 +65,10 @@ def shuffle_into_shards(
     sizes = counted(dealt)
     large = sizes.where((F.col("bytes") > 4 * bucket_bytes) & (F.col("n") > 1)).select("shard", "bucket", F.lit(True).alias("large"))
     if not large.isEmpty():
-        anew = F.when(F.col("large"), F.pmod(F.xxhash64(F.lit(seed + 2), "at"), many)).otherwise(F.col("bucket"))
-        dealt = dealt.join(large, ["shard", "bucket"], "left").withColumn("bucket", anew)
+        marked = dealt.join(large, ["shard", "bucket"], "left")
+        anew = F.pmod(F.xxhash64(F.lit(seed + 2), "turn", "copy"), many)
+        copies = copied(marked.where("large").select("id", "text", "size", "shard", "turn")).withColumn("bucket", anew).drop("copy")
+        dealt = marked.where("large IS NULL").drop("large").unionByName(copies)
         sizes = counted(dealt)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import wave
 import zlib
@@ -147,29 +148,37 @@ def gzip_length(b: memoryview, at: int) -> int | None:
     return min(i, len(b)) - len(d.unused_data) - at if d.eof else None
 
 
-def zip_length(b: memoryview, at: int) -> int | None:
-    """The first end record whose central directory lies just before it and points back to the start."""
-    raw, i = b.obj, at
-    while (i := raw.find(b"PK\x05\x06", i + 1)) >= 0:
-        if i + 22 > len(b):
-            return None
-        size, offset, comment = struct.unpack_from("<IIH", b, i + 12)
-        if offset + size == i - at and bytes(b[at + offset : at + offset + 4]) == b"PK\x01\x02" and i + 22 + comment <= len(b):
-            return i + 22 + comment - at
-    return None
+def zip_ends(raw: bytes) -> dict[int, int]:
+    """Length of the archive by its start, for every end record with a central directory just before it: one pass over a blob."""
+    out: dict[int, int] = {}
+    i = -1
+    while (i := raw.find(b"PK\x05\x06", i + 1)) >= 0 and i + 22 <= len(raw):
+        size, offset, comment = struct.unpack_from("<IIH", raw, i + 12)
+        at, stop = i - size - offset, i + 22 + comment
+        if at >= 0 and raw[i - size : i - size + 4] == b"PK\x01\x02" and stop <= len(raw):
+            out.setdefault(at, stop - at)
+    return out
+
+
+XREF = re.compile(rb"startxref\s{1,4}([0-9]{1,12})\s{1,4}%%EOF")
+TABLE = re.compile(rb"\s{0,4}(?:xref\s|[0-9]{1,10}\s{1,4}[0-9]{1,10}\s{1,4}obj)")
 
 
 def pdf_length(b: memoryview, at: int) -> int | None:
-    """A version, a cross-reference start and an end mark; the last mark before another start counts."""
+    """A version, and an end mark whose offset leads to a cross-reference table or an object; the last such mark before another start counts."""
     raw = b.obj
     if at + 8 > len(b) or not raw[at + 5 : at + 6].isdigit() or raw[at + 6 : at + 7] != b".":
         return None
     stop = raw.find(b"%PDF-", at + 5)
-    end = raw.rfind(b"%%EOF", at, stop if stop >= 0 else len(b))
-    return end + 5 - at if end >= 0 and raw.find(b"startxref", at, end) >= 0 else None
+    length = None
+    for end in XREF.finditer(raw, at, stop if stop >= 0 else len(b)):
+        table = at + int(end[1])
+        if at + 8 <= table < end.start() and TABLE.match(raw, table):
+            length = end.end() - at
+    return length
 
 
-LENGTH = {"bmp": bmp_length, "gif": gif_length, "gzip": gzip_length, "jpeg": jpeg_length, "pdf": pdf_length, "png": png_length, "wav": wav_length, "zip": zip_length}
+LENGTH = {"bmp": bmp_length, "gif": gif_length, "gzip": gzip_length, "jpeg": jpeg_length, "pdf": pdf_length, "png": png_length, "wav": wav_length}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -184,10 +193,14 @@ def automaton() -> ahocorasick.Automaton:
 def parts(blob: bytes, a: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """``type, offset, length`` of the outermost valid media in a blob, in order; what lies inside one isn't looked at again."""
     out: list[tuple[str, int, int]] = []
-    view, end = memoryview(blob), 0
+    view, end, archives = memoryview(blob), 0, None
     for last, (kind, n) in a.iter(blob.decode("latin-1")):
         at = last + 1 - n
-        if at >= end and (length := LENGTH[kind](view, at)):
+        if at < end:
+            continue
+        if kind == "zip" and archives is None:
+            archives = zip_ends(blob)
+        if length := archives.get(at) if kind == "zip" else LENGTH[kind](view, at):
             out.append((kind, at, length))
             end = at + length
     return out

@@ -26,7 +26,8 @@ RUN = (
     "|(?:AKIA|ASIA|gh[pousr]_|glpat-|sk_live_|sk-|xox[abprs]-|AIza)[A-Za-z0-9_\\-]{10,}"
     "|(?:(?=[A-Za-z+/_\\-]{0,64}[0-9])[A-Za-z0-9+/_\\-]{16,}|[A-Za-z0-9+/_\\-]{20,})={0,2}"
 )
-PEM = "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]{1,50000}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+# A key block of any length. Headers as of encrypted keys may hold single dashes, 64 at most.
+PEM = "-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----[^-]++(?:-(?!----)[^-]*+){0,64}+-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
 BLOCK = "-----BLOCK-----"  # stands for such a block among the words
 LOGIN = "://[^\\s:/@]+:([^\\s/@]{3,})@"
 
@@ -34,9 +35,9 @@ LOGIN = "://[^\\s:/@]+:([^\\s/@]{3,})@"
 SECRET_WORDS = "token|secret|passw|pwd|api_?key|apikey|access_?key|auth|credential|bearer|private|client_?secret|signature"
 PLAIN_WORDS = "commit|revision|checksum|sha1|sha256|md5|hash|digest|uuid|guid|order|invoice|phone|tel|card|isbn|build|version|figure|page|file|image"
 
-ASSIGNED = f"(?i)(?:{SECRET_WORDS})[a-z0-9_.\\-]*[\"'`]?[=:]+"  # at the end of the text before a value, or before a value in a word
+ASSIGNED = f"(?i)(?:{SECRET_WORDS}|(?<![a-z])key(?![a-z]))[a-z0-9_.\\-]*[\"'`]?[=:]+"  # at the end of the text before a value, or before a value in a word
 PASSED = "(?i)^[\"'(]*(?:bearer|token|secret|password|passwd|pwd)[\"':]*$"
-VALUE = "[\"'`]?([^\"'`,;]{6,})"
+VALUE = "[\"'`]?([^\"'`,;]{4,})"
 
 FEATURES = [
     "length", "digits", "uppers", "lowers", "signs", "transitions", "variety", "hex_only", "digits_only",
@@ -63,12 +64,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``id, word_at, run_at`` and the columns of a finding for every candidate; null and empty texts have none. A block of a private key counts as one word."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     some = rows.where(F.col("text").rlike(f"{RUN}|{ASSIGNED}|(?i:bearer|token|secret|passw|pwd)\\S*\\s|{LOGIN}|{PEM}"))
-    has = F.col("text").contains("PRIVATE KEY-----")
+    has = F.col("text").contains("PRIVATE KEY")
     some = some.withColumn("blocks", F.when(has, F.regexp_extract_all("text", F.lit(PEM), F.lit(0))).otherwise(F.array().cast("array<string>")))
     some = some.withColumn("text", F.when(has, F.regexp_replace("text", PEM, f" {BLOCK} ")).otherwise(F.col("text"))).withColumn("words", F.split("text", "[\\x20\\x09-\\x0D]+", -1))
     spot = lambda i, d: F.coalesce(F.get("words", i + d), F.lit(""))
-    # a word of six characters or more after "key =", "key: =" or a word that announces a secret
-    follows = lambda w, i: (F.length(w) >= 6) & (spot(i, -1).rlike(PASSED) | (spot(i, -1).rlike("[=:]$") & F.concat(spot(i, -2), spot(i, -1)).rlike(f"{ASSIGNED}$")))
+    # a word of four characters or more after "key =", "key: =" or a word that announces a secret
+    follows = lambda w, i: (F.length(w) >= 4) & (spot(i, -1).rlike(PASSED) | (spot(i, -1).rlike("[=:]$") & F.concat(spot(i, -2), spot(i, -1)).rlike(f"{ASSIGNED}$")))
     wanted = lambda x: x["w"].rlike(f"{RUN}|{ASSIGNED}{VALUE}|{LOGIN}|^{BLOCK}$") | follows(x["w"], x["i"])
     marked = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), wanted)
     near = lambda d: spot(F.col("m.i"), d)
@@ -144,7 +145,7 @@ def featured(findings: DataFrame, pairs: list[str], quads: list[str]) -> DataFra
 def derived_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:  # noqa: B008
     """Labelled findings where none are given: a finding's columns and ``label``.
 
-    About ``p.sample`` documents, drawn by a seeded hash of the id, give nineteen
+    About ``p.sample`` documents, drawn by a seeded hash of the id, give twenty
     findings each. Random strings come from digests of the id, and words from
     the text. Secrets are such strings where a secret is assigned or passed, or with
     a known prefix anywhere, chosen passwords, dotted tokens and key blocks; the
@@ -190,12 +191,14 @@ def derived_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dotted = finding(1, F.concat(F.lit("eyJ"), F.substring(mixed, F.lit(1), F.lit(20)), F.lit("."), F.substring(mixed, F.lit(21), F.lit(40))), pick(25, "token", "Authorization:", "jwt"), pick(26, "=", "Bearer", ":"), quote, quote)
     letters = finding(1, F.translate(F.substring(mixed, F.lit(30), F.lit(24)), "0123456789", "qzXwvKjyBf"), name, mark, quote, quote)
     key = finding(1, F.concat(F.lit("-----BEGINRSAPRIVATEKEY-----"), mixed, mixed, F.lit("-----ENDRSAPRIVATEKEY-----")), word(1), word(2), "", "")
+    brief = F.substring(F.regexp_replace(mixed, "^[A-Za-z]*", ""), F.lit(1), pick(36, 5, 6, 8, 9))
+    short = finding(1, brief, pick(37, word(2), ""), pick(38, "password:", "pwd", "passwd:", ""), pick(39, "pwd=", "KEY=", "password=", "key:", "secret="), "")
     joined = F.substring(F.concat(*[word(i) for i in range(1, 9)]), F.lit(1), pick(33, 20, 22, 26, 32))
     compound = finding(0, joined, word(9), word(10), "", pick(27, "", ".", ","))
     name_like = finding(0, F.initcap(joined), word(9), pick(34, word(10), "token", ""), "", pick(35, "", ".", ","))
     spoken = finding(0, word(2), pick(28, "password", "token", "secret", "the"), pick(29, ":", "=", "is:"), "", pick(30, "", ".", ","))
     ruler = finding(0, F.repeat(pick(31, "-", "=", "_", "a", "ha"), 24), word(1), word(2), "", "")
-    more = F.array(password, login, dotted, letters, key, compound, name_like, spoken, ruler)
+    more = F.array(password, login, dotted, letters, key, short, compound, name_like, spoken, ruler)
     return drawn.select(F.explode(F.concat(given, more)).alias("f")).select("f.*").where(F.length("candidate") >= 3)
 
 

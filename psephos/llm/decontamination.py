@@ -6,7 +6,8 @@ counts pick the seeds of each passage, its rarest n-grams; an equi-join of
 places and seeds names passages and documents, and only the documents with
 enough seeds of a passage near one diagonal are read again and aligned.
 
-Nothing of the benchmark or the documents comes to the driver but the filter.
+Items of equal words are one class, and a result names the class once. Nothing
+of the benchmark or the documents comes to the driver but the filters.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,12 @@ class Params:
     passage of under three). An n-gram in at most ``rare`` documents is a seed;
     of the others the ``fewest`` rarest of a passage are, if it has not as many
     rare ones. A passage of ``long`` words or more needs two seeds, a shorter
-    one one. n-grams of more than ``common`` items weigh less in the alignment,
-    and are no seeds unless a passage has no others. ``filter_bits`` bounds what
-    is broadcast (16 MB).
+    one one. Less than
+    ``evidence`` aligned words are no match. n-grams of more than ``common``
+    classes of items weigh less in the alignment, and are no seeds unless a
+    passage has no others. ``filter_bits`` bounds what is broadcast at a time
+    (16 MB); a benchmark whose n-grams do not get ``gram_bits`` each is looked
+    up in several passes.
     """
 
     n: int = 3
@@ -48,10 +53,12 @@ class Params:
     chunk: int = 64
     stride: int = 32
     least: float = 0.4
+    evidence: int = 5
     rare: int = 1000
     fewest: int = 6
     common: int = 5
     filter_bits: int = 1 << 27
+    gram_bits: int = 12
     slice_bytes: int = 4 << 20
     pairs: int = 2048
 
@@ -78,29 +85,53 @@ def grams_of(numbers: np.ndarray, n: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def signed_digest(numbers: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(numbers.tobytes()) - (1 << 63)
+
+
 def seed_words(length: int, p: Params) -> int:
     return length if length < 3 else 2 if length < p.short else p.n
 
 
 def passages_of(items: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
-    """``item, passage, words``: the passages of each item, ``chunk`` words at most, as word hashes; equal passages have one number."""
+    """``item, whole, passage, words``: the passages of each item, ``chunk`` words at most, as word hashes.
+
+    Equal passages have one number ``passage``, items of equal words one
+    ``whole``. Items of under ``evidence`` words have no passages.
+    """
 
     def run(batches):
         for b in batches:
             rows = []
             for i, t in enumerate(b.column(1).to_pylist()):
                 own = numbered(words_of(t), {}).view(np.int64)
-                for at in range(0, max(1, len(own) - p.chunk + p.stride), p.stride) if len(own) > p.chunk else [0]:
+                if len(own) < p.evidence:
+                    continue
+                for at in range(0, len(own) - p.chunk + p.stride, p.stride) if len(own) > p.chunk else [0]:
                     part = own[at : at + p.chunk]
-                    if len(part):
-                        rows.append((i, xxhash.xxh64_intdigest(part.tobytes()) - (1 << 63), part))
-            at, passage, words = list(zip(*rows, strict=True)) or ([], [], [])
+                    rows.append((i, signed_digest(own), signed_digest(part), part))
+            at, whole, passage, words = list(zip(*rows, strict=True)) or ([], [], [], [])
+            same = [pa.array(x, pa.int64()) for x in (whole, passage)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at, pa.int64())), pa.array(passage, pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["item", "passage", "words"]
+                [b.column(0).take(pa.array(at, pa.int64())), *same, pa.array(words, pa.list_(pa.int64()))], ["item", "whole", "passage", "words"]
             )
 
     rows = items.select(items[id_col].alias("item"), F.coalesce(items[text_col].cast("string").cast("binary"), F.lit(b"")).alias("text"))
-    return rows.mapInArrow(run, f"item {rows.schema['item'].dataType.simpleString()}, passage long, words array<long>")
+    return rows.mapInArrow(run, f"item {rows.schema['item'].dataType.simpleString()}, whole long, passage long, words array<long>")
+
+
+def telling(owned: DataFrame, p: Params) -> DataFrame:
+    """``passage, whole``: the passages that speak for a class of items: those of ``common`` classes at most. A class without any keeps its rarest."""
+    owners = owned.select("passage", "whole").distinct()
+    shared = owners.join(owners.groupBy("passage").agg(F.count(F.lit(1)).alias("classes")), "passage")
+    rarest = shared.groupBy("whole").agg(F.min(F.struct("classes", "passage"))["passage"].alias("rarest"))
+    return shared.join(rarest, "whole").where((F.col("classes") <= p.common) | (F.col("passage") == F.col("rarest"))).select("passage", "whole")
+
+
+def item_classes(items: DataFrame, item_col: str = "item_id", item_text: str = "text", p: Params = Params()) -> DataFrame:  # noqa: B008
+    """``item_id, class_id``: the class of each item that can match, the smallest id of those of equal words. Null ids are left out."""
+    owned = passages_of(items, item_col, item_text, p).select("item", "whole").where("item IS NOT NULL").distinct()
+    return owned.join(owned.groupBy("whole").agg(F.min("item").alias("class_id")), "whole").select(F.col("item").alias("item_id"), "class_id")
 
 
 def gram_rows(passages: DataFrame, p: Params) -> DataFrame:
@@ -124,8 +155,8 @@ def probes(grams: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def bloom_filter(grams: DataFrame, p: Params) -> np.ndarray:
-    """A Bloom filter of the column ``gram``, of 32 bits for each, within ``filter_bits``; a fuller one lets more through, which the join drops."""
-    many = grams.count()
+    """A Bloom filter of the column ``gram``, of 32 bits for each, within ``filter_bits``; what it lets through in error, the join drops."""
+    many = grams.select("gram").distinct().count()
     bits = min(p.filter_bits, 1 << max(10, (32 * many - 1).bit_length()))
 
     def run(batches):
@@ -150,8 +181,24 @@ def passes(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return own
 
 
-def places(rows: DataFrame, sizes: list[int], table, p: Params) -> DataFrame:
-    """``gram, doc, pos, once`` for each place of an n-gram of the benchmark in ``rows (doc, text)``; ``once`` marks the first in its text."""
+def all_places(rows: DataFrame, grams: DataFrame, p: Params) -> DataFrame:
+    """``places`` of the column ``gram`` of ``grams``, in as many passes over the rows as filters of ``filter_bits`` are needed."""
+    many = grams.select("gram").distinct().count()
+    parts = max(1, -(-many * p.gram_bits // p.filter_bits))
+    sizes = sorted(r.n for r in grams.select("n").distinct().collect())  # three at most
+    found = []
+    for part in range(parts):
+        table = rows.sparkSession.sparkContext.broadcast(bloom_filter(grams.where(F.pmod("gram", F.lit(parts)) == part), p))
+        found.append(places(rows, sizes, table, (part, parts), p))
+    return reduce(DataFrame.unionByName, found)
+
+
+def places(rows: DataFrame, sizes: list[int], table, own_part: tuple[int, int], p: Params) -> DataFrame:
+    """``gram, doc, pos, once`` for each place of an n-gram of the benchmark in ``rows (doc, text)``; ``once`` marks the first in its text.
+
+    ``own_part`` (k, m) keeps the n-grams that leave k modulo m.
+    """
+    part, parts = own_part
 
     def run(batches):
         known: dict[str, int] = {}
@@ -169,6 +216,7 @@ def places(rows: DataFrame, sizes: list[int], table, p: Params) -> DataFrame:
                 inside = text[: len(grams)] == text[n - 1 :][: len(grams)]
                 own = passes(table.value, grams)
                 own = own[inside[own]]
+                own = own[grams[own] % parts == part]
                 g, t = grams[own], text[own]
                 order = np.lexsort((g, t))
                 new = np.ones(len(order), bool)
@@ -231,7 +279,7 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], p: Params) ->
 
 
 def weighed(grams: DataFrame, spread: DataFrame, passages: DataFrame, p: Params) -> DataFrame:
-    """``passage, words, weights``: the weight of a word is 1, or ``common`` over the items that hold the rarest n-gram over it."""
+    """``passage, words, weights``: the weight of a word is 1, or ``common`` over the classes that hold the rarest n-gram over it."""
     w = F.least(F.lit(1.0), p.common / F.col("spread"))
     over = grams.join(spread, "gram").select("passage", F.explode(F.sequence(F.col("position"), F.col("position") + F.col("n") - 1)).alias("at"), w.alias("w"))
     each = over.groupBy("passage", "at").agg(F.max("w").alias("w"))
@@ -263,28 +311,42 @@ def windows_of(hits: DataFrame, p: Params) -> DataFrame:
     return enough.select("doc", "passage", F.greatest(start, F.lit(0)).alias("start"), (start + 2 * F.col("step") + F.col("size")).alias("stop"))
 
 
-def alignments(rows: DataFrame, p: Params) -> DataFrame:
-    """``doc_id, passage, score, start, stop`` of ``rows (doc_id, text, windows)``."""
+def window_words(rows: DataFrame, p: Params) -> DataFrame:
+    """``doc_id, passage, start, window`` of ``rows (doc_id, text, windows)``: the words of each window, in a row of its own."""
 
     def run(batches):
         for b in slices(batches, p.slice_bytes):
-            best: dict[tuple[int, int], tuple[float, int, int]] = {}
-            texts = [numbered(words_of(t), {}).view(np.int64) for t in b.column(1).to_pylist()]
-            wanted = ((i, w) for i, own in enumerate(b.column(2).to_pylist()) for w in own)
+            texts = (numbered(words_of(t.as_py()), {}).view(np.int64) for t in b.column(1))
+            wanted = ((i, w, own[w["start"] : w["stop"]]) for i, own in enumerate(texts) for w in b.column(2)[i].as_py())
             for some in batched(wanted, p.pairs):
-                pairs = [(np.array(w["words"], np.int64), np.array(w["weights"], np.float32), texts[i][w["start"] : w["stop"]]) for i, w in some]
-                for (i, w), (score, x, y) in zip(some, align(pairs, p), strict=True):
-                    size = len(w["words"])
-                    key = i, w["passage"]
-                    if score >= p.least - 1e-6 and score * size > min(p.n, size) - 0.5 and (key not in best or score > best[key][0]):
-                        best[key] = score, w["start"] + x, w["start"] + y
-            hits = sorted(best.items())
-            ids = b.column(0).take(pa.array([d for (d, _), _ in hits], pa.int64()))
-            rest = [pa.array([v[i] for _, v in hits], pa.int64() if i else pa.float64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([k for (_, k), _ in hits], pa.int64()), *rest], ["doc_id", "passage", "score", "start", "stop"])
+                ids = b.column(0).take(pa.array([i for i, _, _ in some], pa.int64()))
+                rest = [pa.array([w[c] for _, w, _ in some], pa.int64()) for c in ("passage", "start")]
+                yield pa.RecordBatch.from_arrays([ids, *rest, pa.array([x for _, _, x in some], pa.list_(pa.int64()))], ["doc_id", "passage", "start", "window"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "windows").mapInArrow(run, f"doc_id {kind}, passage long, score double, start long, stop long")
+    return rows.select("doc_id", "text", "windows").mapInArrow(run, f"doc_id {kind}, passage long, start long, window array<long>")
+
+
+def alignments(rows: DataFrame, p: Params) -> DataFrame:
+    """``doc_id, passage, score, start, stop`` of ``rows (doc_id, passage, start, window, words, weights)`` that align."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, p.pairs):
+                b = whole.slice(at, p.pairs)
+                pairs = [
+                    (np.array(a, np.int64), np.array(w, np.float32), np.array(x, np.int64))
+                    for a, w, x in zip(*(b.column(i).to_pylist() for i in (4, 5, 3)), strict=True)
+                ]
+                hits = [(i, h) for i, h in enumerate(align(pairs, p)) if h[0] >= p.least - 1e-6 and h[0] * len(pairs[i][0]) > p.evidence - 0.5]
+                own = b.take(pa.array([i for i, _ in hits], pa.int64()))
+                start = own.column(2).to_numpy()
+                ends = [pa.array(start + np.array([h[i] for _, h in hits], np.int64)) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([h[0] for _, h in hits], pa.float64()), *ends], ["doc_id", "passage", "score", "start", "stop"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = rows.select("doc_id", "passage", "start", "window", "words", "weights")
+    return rows.mapInArrow(run, f"doc_id {kind}, passage long, score double, start long, stop long")
 
 
 def batched(rows: Iterator, n: int) -> Iterator[list]:
@@ -301,37 +363,43 @@ def batched(rows: Iterator, n: int) -> Iterator[list]:
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", p: Params = Params()  # noqa: B008
 ) -> DataFrame:
-    """``doc_id, item_id, score, start, stop`` for each document and item that align with a share of ``least`` or more.
-
-    ``score`` is the best local alignment's score over that of a full match of
-    the passage (an item, or ``chunk`` words of a longer one); ``start`` and
-    ``stop`` are its words in the document. Words are compared in lower case
-    without punctuation; a character of a script without spaces is a word. An
-    alignment with a score of under ``n`` words does not count, unless the whole
-    item is shorter and matches in full. Text that more than ``common`` items
-    share weighs less, so it makes no match alone. Null and empty items never
-    match, nor do null and empty texts. Rows with one id give one row for an
-    item, the best; a null id is kept. Every document is read whole, once, and
-    those with a candidate a second time.
+    """``doc_id, item_id, items, score, start, stop`` for each document and class of items that align with a share of ``least`` or more.
+
+    A class is the items of equal words; ``item_id`` is its smallest id and
+    ``items`` their number (``item_classes`` has the members), so equal items
+    are not paired with every document. ``score`` is the best local alignment's
+    score over that of a full match of the passage (an item, or ``chunk`` words
+    of a longer one); ``start`` and ``stop`` are its words in the document.
+    Words are compared in lower case without punctuation; a character of a
+    script without spaces is a word. An alignment of under ``evidence`` words
+    does not count, so an item of fewer words never matches. Text that more
+    than ``common`` classes share weighs less, so it makes no match alone; a
+    whole passage that so many share (a preamble) speaks for none of them,
+    unless the item has no other. Null and empty items never match, nor do null
+    and empty texts. Rows with one id give one row for a class, the best; a
+    null id is kept. Every document is read whole, once for each filter (one,
+    up to eleven million n-grams), and those with a candidate once more.
     """
     owned = durable(passages_of(items, item_col, item_text, p), "passages")
-    owners, passages = owned.select("passage", "item").distinct(), owned.select("passage", "words").dropDuplicates(["passage"])
-    grams = durable(gram_rows(passages, p), "grams")
-    spread = grams.join(owners, "passage").select("gram", "item").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("spread"))
+    owners = durable(telling(owned, p), "owners")
+    passages = owned.select("passage", "words").dropDuplicates(["passage"])
+    every = durable(gram_rows(passages, p), "grams")
+    spread = every.join(owned.select("passage", "whole").distinct(), "passage").select("gram", "whole").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("spread"))
+    spread = durable(spread, "spread")
+    grams = durable(every.join(owners.select("passage"), "passage", "left_semi"), "own-grams")
     passages = durable(weighed(grams, spread, passages, p), "weighed")
-    sizes = sorted(r.n for r in grams.select("n").distinct().collect())  # three at most
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(docs[id_col], text).alias("doc"))
-    table = docs.sparkSession.sparkContext.broadcast(bloom_filter(grams, p))
-    found = durable(places(rows.select("doc", "text"), sizes, table, p), "places")
+    found = durable(all_places(rows.select("doc", "text"), grams, p), "places")
     counts = found.where("once").groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
     seeds = durable(seeds_of(grams, counts, spread, p), "seeds")
     windows = windows_of(found.select("gram", "doc", "pos").join(seeds, "gram"), p)
-    each = windows.join(passages, "passage").groupBy("doc").agg(F.collect_list(F.struct("passage", "start", "stop", "words", "weights")).alias("windows"))
-    some = durable(each, "candidates")
-    aligned = alignments(rows.join(some, "doc"), p).join(owners, "passage")
-    best = aligned.groupBy("doc_id", F.col("item").alias("item_id")).agg(F.max(F.struct("score", -F.col("start"), "stop")).alias("b"))
-    return best.select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("start"), "b.stop")
+    some = durable(windows.groupBy("doc").agg(F.collect_list(F.struct("passage", "start", "stop")).alias("windows")), "candidates")  # 24 bytes a window
+    cut = window_words(rows.join(some, "doc"), p)
+    aligned = alignments(cut.join(passages, "passage"), p).join(owners, "passage")
+    best = aligned.groupBy("doc_id", "whole").agg(F.max(F.struct("score", -F.col("start"), "stop")).alias("b"))
+    classes = owned.groupBy("whole").agg(F.min("item").alias("item_id"), F.count_distinct("item").alias("items"))
+    return best.join(classes, "whole").select("doc_id", "item_id", "items", "b.score", (-F.col("b.col2")).alias("start"), "b.stop")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:

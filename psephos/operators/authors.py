@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from psephos.operators.joins import bounded
+from psephos.operators.joins import bounded, lexicon_hits
 
 #: Stands for methods that say nothing about a single author.
 WEAK = "language_prior"
@@ -13,8 +13,7 @@ WEAK = "language_prior"
 
 def keyword_weights(posts: DataFrame, key: str, text: Column, lexicon: DataFrame) -> DataFrame:
     """``key, weights``: for each stratum the blocs of the lexicon's keywords in the text, normalised to 1. ``lexicon``: stratum, keyword, bloc, weight; small."""
-    words = bounded(lexicon.select("stratum", F.lower("keyword").alias("_keyword"), "bloc", "weight"))
-    hits = posts.select(key, text.alias("_text")).join(words, F.lower("_text").contains(F.col("_keyword")))
+    hits = posts.select(key, F.inline(lexicon_hits(text, lexicon.select("stratum", "keyword", "bloc", "weight"))))
     sums = hits.groupBy(key, "stratum", "bloc").agg(F.sum("weight").alias("w"))
     # an author's blocs are a dimension: fifteen at most
     packed = sums.groupBy(key, "stratum").agg(F.sum("w").alias("all"), F.collect_list(F.struct("bloc", "w")).alias("own"))

@@ -42,6 +42,24 @@ def matched(text: Column, keywords: DataFrame) -> Column:
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
+def lexicon_hits(text: Column, lexicon: DataFrame) -> Column:
+    """An array of the rows of ``lexicon`` whose ``keyword`` is in the lower-cased text, as structs of its other columns; ``SMALL_ROWS`` rows at most.
+
+    One narrow pass, where a join on ``contains`` would be a nested loop.
+    """
+    rows = lexicon.withColumn("keyword", F.lower("keyword")).where("keyword IS NOT NULL").limit(SMALL_ROWS + 1).collect()
+    if len(rows) > SMALL_ROWS:
+        raise ValueError(f"more than {SMALL_ROWS} keywords")
+    rest = [f for f in lexicon.schema if f.name != "keyword"]
+    by: dict[str, list[Column]] = {}
+    for r in rows:
+        by.setdefault(r.keyword, []).append(F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in rest]))
+    low = F.lower(text)
+    hits = [F.when(low.contains(k), F.array(*own)) for k, own in by.items()]
+    none = F.array().cast("array<struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in rest) + ">>")
+    return F.flatten(F.array_compact(F.array(*hits))) if hits else none
+
+
 def routed_first(posts: DataFrame, key: str, text: Column, keywords: DataFrame) -> DataFrame:
     """``key, topic``: the topic that sorts first."""
     return routed(posts.select(key, text.alias("_text")), F.col("_text"), keywords).groupBy(key).agg(F.min("topic").alias("topic"))

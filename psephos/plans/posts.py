@@ -21,6 +21,12 @@ def keywords(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KEYWORDS, "topic string, keyword string")
 
 
+def lexicon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, stratum, bloc, weight`` for each keyword of the lexicon in a document."""
+    lexicon = spark.createDataFrame(LEXICON, "stratum string, keyword string, bloc string, weight double")
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(joins.lexicon_hits(F.col("text"), lexicon)))
+
+
 @query(f"SELECT DISTINCT doc_id, topic FROM documents JOIN (VALUES {_KW}) k(topic, keyword) ON contains(lower(text), keyword)")
 def keyword_route_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.routed(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), keywords(spark)).select("doc_id", "topic").distinct()
@@ -40,8 +46,7 @@ def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH hits AS (SELECT doc_id, stratum, bloc, sum(weight) AS w FROM documents JOIN (VALUES {_LEX}) l(stratum, keyword, bloc, weight) ON contains(lower(text), keyword) GROUP BY ALL)
 SELECT doc_id, stratum, bloc, round((w / sum(w) OVER (PARTITION BY doc_id, stratum))::DOUBLE, 9) AS weight FROM hits""")
 def lexicon_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = joins.bounded(spark.createDataFrame(LEXICON, "stratum string, keyword string, bloc string, weight double"))
-    hits = table(spark, sf_dir, "documents").join(lexicon, F.lower("text").contains(F.col("keyword"))).groupBy("doc_id", "stratum", "bloc").agg(F.sum("weight").alias("w"))
+    hits = lexicon_rows(spark, sf_dir).groupBy("doc_id", "stratum", "bloc").agg(F.sum("weight").alias("w"))
     return aggregates.share_within(hits, ["doc_id", "stratum"], "w").select("doc_id", "stratum", "bloc", F.round("share", 9).alias("weight"))
 
 
@@ -52,9 +57,7 @@ _ORDER = "CASE stratum WHEN 'religion' THEN 0 WHEN 'race' THEN 1 ELSE 2 END"
 WITH hits AS (SELECT doc_id, {_ORDER} AS o, bloc, max(weight) AS w FROM documents JOIN (VALUES {_LEX}) l(stratum, keyword, bloc, weight) ON contains(lower(text), keyword) GROUP BY ALL)
 SELECT doc_id, arg_min(bloc, {{'o': o, 'w': -w, 'b': bloc}}) AS bloc FROM hits GROUP BY 1""")
 def top_bloc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = joins.bounded(spark.createDataFrame(LEXICON, "stratum string, keyword string, bloc string, weight double"))
-    hits = table(spark, sf_dir, "documents").join(lexicon, F.lower("text").contains(F.col("keyword")))
-    return hits.groupBy("doc_id").agg(F.min_by("bloc", F.struct(F.expr(_ORDER), -F.col("weight"), "bloc")).alias("bloc"))
+    return lexicon_rows(spark, sf_dir).groupBy("doc_id").agg(F.min_by("bloc", F.struct(F.expr(_ORDER), -F.col("weight"), "bloc")).alias("bloc"))
 
 
 @query("""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from psephos.functions import html, records, scalars
 from psephos.operators import aggregates, authors
 from psephos.plans.registry import query, table
-from psephos.sources import polls, readers, surveys
+from psephos.sources import platforms, polls, readers, surveys
 
 
 @query("""
@@ -183,3 +183,36 @@ SELECT page_id, CASE WHEN len(string_split(a, ' ')) >= 30 THEN a ELSE p END AS a
 def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article and title of each whole page."""
     return table(spark, sf_dir, "pages").select("page_id", html.article(F.col("html")).alias("a")).select("page_id", F.col("a.text").alias("article"), F.col("a.title").alias("title"))
+
+
+_POSTS_OF = """
+WITH d AS (SELECT doc_id, lang AS l, source AS s, n_chars AS n, doc_id % 6 AS k, trim(CASE doc_id % 6 WHEN 4 THEN coalesce(text, '') || ' end' ELSE text END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents)
+SELECT doc_id, ['reddit', 'webhose', '3dlnews', 'discord', 'telegram', 'tiktok'][k + 1] || ':' || CASE k WHEN 0 THEN 'p' || doc_id ELSE doc_id::VARCHAR END AS id, sha256(t) AS text_sha256,
+  CASE WHEN k IN (1, 5) THEN coalesce(nullif(l, ''), 'en') ELSE 'en' END AS lang, ['reddit', 'news', 'news', 'discord', 'telegram', 'tiktok'][k + 1] AS platform,
+  CASE k WHEN 0 THEN 'reddit:' || nullif(s, '') WHEN 3 THEN 'discord:' || n WHEN 4 THEN 'telegram:' || nullif(s, '') WHEN 5 THEN 'tiktok:' || n END AS author_did,
+  CASE k WHEN 0 THEN nullif(s, '') WHEN 1 THEN coalesce(split_part(s || '.com', '.', 1), 'unknown') WHEN 2 THEN coalesce(nullif(s, ''), 'unknown') WHEN 3 THEN nullif(s, '') END AS author_handle,
+  CASE k WHEN 0 THEN 1600000000 + doc_id WHEN 3 THEN 1600000000 + doc_id END AS created
+FROM d WHERE t <> '' AND NOT (k = 0 AND t IN ('[deleted]', '[removed]'))"""
+
+
+@query(_POSTS_OF)
+def platform_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as six platforms write their posts, read back by each platform's rules in one pass."""
+    j = lambda **c: F.to_json(F.struct(*[x.alias(n) for n, x in c.items()]))
+    c, own = F.col, F.col("doc_id").cast("string")
+    moment = (1600000000 + c("doc_id")).cast("string")
+    said = [
+        j(selftext=F.lit(""), body=c("text"), name=F.concat(F.lit("p"), own), created_utc=moment, author=c("source")),
+        j(text=c("text"), uuid=own, thread=F.struct(F.concat(F.lit("www."), "source", F.lit(".com")).alias("site")), language=c("lang")),
+        j(content=c("text"), url=own, outlet=c("source")),
+        j(content=c("text"), message_id=own, author=F.struct(c("n_chars").alias("id"), c("source").alias("username")), timestamp=moment),
+        j(text=F.array(F.struct(c("text").alias("text")), F.struct(F.lit("end").alias("text"))), id=c("doc_id"), **{"from": c("source")}),
+        j(desc=c("text"), id=own, author=F.struct(c("n_chars").alias("uid")), textLanguage=c("lang")),
+    ]
+    k = F.pmod("doc_id", F.lit(6))
+    value, kind = F.when(k == 0, said[0]), F.when(k == 0, "reddit")
+    for i, name in enumerate(["webhose", "3dlnews", "discord", "telegram", "tiktok"], 1):
+        value, kind = value.when(k == i, said[i]), kind.when(k == i, name)
+    lines = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), value.alias("value"))
+    posts = platforms.platform_posts(readers.unwrapped(lines, "doc_id", "kind"), F.col("kind"), None, None, "doc_id")
+    return posts.select("doc_id", "id", F.sha2("text", 256).alias("text_sha256"), "lang", "platform", "author_did", "author_handle", F.unix_seconds("created_at").alias("created"))

@@ -153,6 +153,15 @@ def columns_of(key: str, p: Platform) -> dict[str, Column]:
     }
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is worked out once a row.
+
+    Filters and projections are not merged with what lies under a generator, so
+    the many columns that read this one do not each hold its whole expression.
+    """
+    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def by_kind(rules: dict[str, Column]) -> Column:
     return F.coalesce(*[F.when(F.col("_kind") == k, c) for k, c in rules.items()])
 
@@ -165,12 +174,14 @@ def platform_posts(bodies: DataFrame, kind: Column, archive: Column | None = Non
     of ``keywords (topic, keyword)`` with a keyword in the text. One narrow pass.
     """
     given = F.lit(None).cast("string") if archive is None else archive
-    rows = bodies.withColumns({"_kind": kind, "_archive": given}).withColumn("_said", by_kind({k: said_by(p) for k, p in PLATFORMS.items()}))
+    rows = once(bodies.select(*keep, kind.alias("_kind"), given.alias("_archive"), "body"), "body", F.col("body"))
+    rows = once(rows, "_said", by_kind({k: said_by(p) for k, p in PLATFORMS.items()}))
     gone = by_kind({k: F.col("_said.said").isin("", *p.gone) for k, p in PLATFORMS.items()})
     rows = rows.where(~gone & F.col("_said.fits")).withColumn("text", F.col("_said.said"))
     rules = {k: columns_of(k, p) for k, p in PLATFORMS.items()}
     names = next(iter(rules.values())).keys()
-    found = rows.select(*keep, "text", *[by_kind({k: r[c] for k, r in rules.items()}).alias(c) for c in names])
+    rows = once(rows, "_post", F.struct(*[by_kind({k: r[c] for k, r in rules.items()}).alias(c) for c in names]))
+    found = rows.select(*keep, "text", "_post.*")
     shock = F.lit(None).cast("string") if keywords is None else F.try_element_at(joins.matched(F.col("text"), keywords), F.lit(1)).cast("string")
     last = {
         "source": F.lit("archive"),

@@ -40,6 +40,16 @@ def test_title_and_date(page, title, date):
     assert html.parsed(page)[1:] == (title, date)
 
 
+@pytest.mark.parametrize("said, want", [
+    ("a&amp", "a&amp"), ("a&am", "a&am"), ("&lt &#39 &copy=1", "&lt &#39 &copy=1"), ("&ampx; &nosuch; &", "&ampx; &nosuch; &"),
+    ("&amp;lt; &&amp; &#39;&#x41;&eacute;", "&lt; && 'Aé"),
+])
+def test_only_whole_references_count(said, want):
+    page = f"<title>{said}</title><meta property='og:image' content='x?a=1&copy=2'><!-- <script> --><article>{said} {WORDS}</article>"
+    assert html.parsed(page)[:2] == (f"{want} {WORDS}", want)
+    assert html.parsed('<script type="application/ld+json">{"datePublished": "a&amp"}</script>')[2] == "a&amp"
+
+
 def test_nested_pages_against_a_tree():
     """Random well-formed pages: the text equals that of a plain recursive walk."""
     rng = random.Random(5)

@@ -41,6 +41,8 @@ MARK = "▁"  # stands for a space in pieces
 #: Runs of spaces with the word after them; a line feed or a mark in the text stands alone.
 CHUNK = re.compile(f" +[^ \n{MARK}]*|[\n{MARK}]|[^ \n{MARK}]+")
 _MASK = (1 << 64) - 1
+#: Characters of new chunks whose lattices are built at once, and arcs whose queue entries are made at once: a bound on memory, not on texts.
+BLOCK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -65,8 +67,32 @@ def load(model_file: str, zipf: float = 10.0) -> Model:
     return Model(pieces, sp.piece_to_id("<0x00>"), -float(np.log(2.0 * sp.get_piece_size() + zipf)), sp.get_piece_size())
 
 
+class Room:
+    """An array with room for ``least`` entries that grows beyond them; adding copies what is added only, and room that was never used takes no memory."""
+
+    def __init__(self, kind: type, least: int) -> None:
+        self.held, self.size, self.least = np.empty(least, kind), 0, least
+
+    def clear(self) -> None:
+        """Room that is used again is not given back, which would leave gaps between what else was allocated; what it grew by is."""
+        self.size = 0
+        if len(self.held) > self.least:
+            self.held = np.empty(self.least, self.held.dtype)
+
+    def add(self, new: np.ndarray) -> np.ndarray:
+        """All that was added so far, with ``new`` at its end."""
+        size = self.size + len(new)
+        if size > len(self.held):
+            held = np.empty(max(size, len(self.held) * 3 // 2), self.held.dtype)
+            held[: self.size] = self.held[: self.size]
+            self.held = held
+        self.held[self.size : size] = new
+        self.size = size
+        return self.held[:size]
+
+
 class Lattices:
-    """Arcs of all chunks seen so far, in arrays; starts anew beyond ``max_arcs``."""
+    """Arcs of all chunks seen so far, in arrays; starts anew beyond ``max_arcs``. New chunks are built in blocks, which bounds what a build holds besides."""
 
     def __init__(self, model: Model, max_arcs: int = 3_000_000) -> None:
         self.model, self.max_arcs = model, max_arcs
@@ -85,6 +111,8 @@ class Lattices:
         self.at = np.full(1 << 20, -1, np.int32)  # place of a transition by its hash; one of those that share a hash
         self.at[self.slot(self.keys)] = np.arange(len(self.keys))
         self.id, self.lp = np.array([i for _, i, _ in model.pieces], np.int32), np.array([w for _, _, w in model.pieces])
+        least = max_arcs + (max_arcs >> 2)  # the last slice goes beyond
+        self.room = {n: Room(t, least) for n, t in (("start", np.int64), ("first", np.int64), ("cum", np.float32), ("log", float), ("rest", float), ("next", np.int32), ("piece", np.int32))}
         self.clear()
 
     @staticmethod
@@ -114,8 +142,10 @@ class Lattices:
         self.number: dict[str, int] = {}
         self.unknown: dict[str, int] = {}  # characters outside the vocabulary, numbered after the pieces
         self.unknown_bytes: list[bytes] = []
+        for r in self.room.values():
+            r.clear()
         self.start = np.zeros(0, np.int64)  # of each chunk, its last node, where paths start
-        self.first = np.zeros(1, np.int64)  # of each node, its first arc; one more at the end
+        self.first = self.room["first"].add(np.zeros(1, np.int64))  # of each node, its first arc; one more at the end
         self.cum = np.zeros(0, np.float32)  # of each arc: cumulative probability in its node
         self.log, self.rest = np.zeros(0), np.zeros(0)  # log-probability of each arc, and the probability of its siblings together
         self.next, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)  # next node (-1: start of the chunk)
@@ -127,7 +157,13 @@ class Lattices:
         new = [c for c in dict.fromkeys(chunks) if c not in self.number]
         if new:
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.build(new)
+            start, size = 0, 0
+            for i, c in enumerate(new):
+                if i > start and size + len(c) > BLOCK:
+                    self.build(new[start:i])
+                    start, size = i, 0
+                size += len(c)
+            self.build(new[start:])
         return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
 
     def fallback(self, c: str) -> tuple[int, float]:
@@ -199,11 +235,12 @@ class Lattices:
             likely = log > -0.5
             rest = np.where(likely, np.add.reduceat(np.where(likely, 0.0, prob), first[:-1])[here], 1 - prob)
         arcs_before, nodes_before = len(self.cum), len(self.first) - 1
-        self.start = np.concatenate([self.start, node[begin + sizes - 1] + nodes_before])
-        self.first = np.concatenate([self.first[:-1], first + arcs_before])
-        self.cum, self.log, self.rest = np.concatenate([self.cum, cum]), np.concatenate([self.log, log]), np.concatenate([self.rest, rest])
-        self.next = np.concatenate([self.next, np.where(ahead < 0, np.int32(-1), ahead + np.int32(nodes_before))])
-        self.piece = np.concatenate([self.piece, piece])
+        add = lambda name, new: self.room[name].add(new)
+        self.start = add("start", node[begin + sizes - 1] + nodes_before)
+        self.first = add("first", first[1:] + arcs_before)
+        self.cum, self.log, self.rest = add("cum", cum), add("log", log), add("rest", rest)
+        self.next = add("next", np.where(ahead < 0, np.int32(-1), ahead + np.int32(nodes_before)))
+        self.piece = add("piece", piece)
 
     def ids(self, arcs: np.ndarray) -> np.ndarray:
         """Piece ids of a path in the order of the text; an unknown character becomes the ids of its bytes."""
@@ -373,7 +410,18 @@ def top_k(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> Iterator
 
 
 def entries(lat: Lattices, paths: list[tuple[np.ndarray, np.ndarray]], since: list[int], values: np.ndarray, seeds: np.ndarray, turn: int) -> list[tuple[Found, Entries]]:
-    """The new path (arcs, chunks) of each text, and its queue entries from ``since`` on, where it leaves an old one; all texts at once."""
+    """The new path (arcs, chunks) of each text, and its queue entries from ``since`` on, where it leaves an old one; all texts of a block at once."""
+    out: list[tuple[Found, Entries]] = []
+    ends = np.cumsum([0, *(len(x) for x, _ in paths)])
+    a = 0
+    while a < len(paths):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + BLOCK, "right")) - 1)
+        out += block_entries(lat, paths[a:b], since[a:b], values[a:b], seeds[a:b], turn)
+        a = b
+    return out
+
+
+def block_entries(lat: Lattices, paths: list[tuple[np.ndarray, np.ndarray]], since: list[int], values: np.ndarray, seeds: np.ndarray, turn: int) -> list[tuple[Found, Entries]]:
     sizes = np.array([len(x) for x, _ in paths], np.int64)
     arcs = np.concatenate([x for x, _ in paths]) if paths else np.zeros(0, np.int64)
     log, total = lat.log[arcs], np.empty(len(arcs))

@@ -5,6 +5,7 @@ import io
 import itertools
 import math
 import time
+import tracemalloc
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -438,6 +439,27 @@ def test_segmentation_does_not_depend_on_batches():
     assert together == alone
 
 
+def test_segmentation_holds_little_besides_its_lattices():
+    """A slice of new words: what it takes for a while is small, and rooms that grow or are used again change nothing."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(3, 12, 1000)) for _ in range(60)]
+    seeds, model = list(range(60)), pieces.load(MODEL)
+    large, small = pieces.Lattices(model), pieces.Lattices(model, max_arcs=1000)
+    one = [[(large.ids(f.arcs).tolist(), f.value) for f in own] for own, _ in pieces.top_k(large, texts, seeds, 2)]
+    for a in range(0, 60, 20):
+        for got, want in zip(pieces.top_k(small, texts[a : a + 20], seeds[a : a + 20], 2), one[a : a + 20], strict=True):
+            assert [small.ids(f.arcs).tolist() for f in got[0]] == [x for x, _ in want]
+            assert [f.value for f in got[0]] == pytest.approx([v for _, v in want])
+    large.clear()
+    tracemalloc.start()
+    try:
+        for _ in pieces.top_k(large, texts, seeds, 2):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 90e6
+    finally:
+        tracemalloc.stop()
+
+
 def brute_alignment(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):

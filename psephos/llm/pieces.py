@@ -502,6 +502,10 @@ def sampled(docs: DataFrame, model_file: str, k: int, id_col: str, text_col: str
                 made.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32())))
             names = ["sample", "log_prob", "perturbed", "inclusion", *(["n_pieces", "ids_sha256", "round_trip"] if digest else ["ids"])]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(columns[0], pa.int64())), *made], ["id", *names])
+            made = None
+            pa.default_memory_pool().release_unused()
+        b = None  # Spark keeps the worker, which holds no more of the last batch while it waits
+        pa.default_memory_pool().release_unused()
 
     text = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
     key = F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary")

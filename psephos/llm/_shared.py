@@ -1,11 +1,12 @@
-"""Helpers that several operators share: the shared folder, durable tables, bytes batches, components."""
+"""Helpers that several operators share: the shared folder, durable tables, bytes batches, tasks that give memory back, components."""
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,23 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int, text: str = "text"
             yield b.slice(start)
 
 
+def give_back() -> None:
+    """Free memory of Arrow and of the C library goes back to the system, which they keep by themselves."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which its worker is small: Spark keeps workers, more of them than cores, and those that wait take an executor's memory too."""
+
+    def wrapped(batches):
+        yield from run(batches)  # its variables are gone afterwards
+        give_back()
+
+    return wrapped
+
+
 def added_up(rows: DataFrame) -> tuple[int, np.ndarray | None]:
     """Sums of ``n long, sums array<double>`` rows, one for each task, in two levels; null sums without rows."""
     fan = max(1, int(rows.rdd.getNumPartitions() ** 0.5))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from psephos.llm._shared import durable, slices
+from psephos.llm._shared import durable, lean, slices
 
 #: Scripts that are written without spaces: each of their characters is a word.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
@@ -225,7 +225,7 @@ def places(rows: DataFrame, sizes: list[int], table, own_part: tuple[int, int],
                 once[order] = new
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(docs[t]), pa.array(own - first[t]), pa.array(once)], ["gram", "doc", "pos", "once"])
 
-    return rows.mapInArrow(run, "gram long, doc long, pos long, once boolean")
+    return rows.mapInArrow(lean(run), "gram long, doc long, pos long, once boolean")
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -324,7 +324,7 @@ def window_words(rows: DataFrame, p: Params) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, *rest, pa.array([x for _, _, x in some], pa.list_(pa.int64()))], ["doc_id", "passage", "start", "window"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "windows").mapInArrow(run, f"doc_id {kind}, passage long, start long, window array<long>")
+    return rows.select("doc_id", "text", "windows").mapInArrow(lean(run), f"doc_id {kind}, passage long, start long, window array<long>")
 
 
 def alignments(rows: DataFrame, p: Params) -> DataFrame:
@@ -346,7 +346,7 @@ def alignments(rows: DataFrame, p: Params) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.select("doc_id", "passage", "start", "window", "words", "weights")
-    return rows.mapInArrow(run, f"doc_id {kind}, passage long, score double, start long, stop long")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, passage long, score double, start long, stop long")
 
 
 def batched(rows: Iterator, n: int) -> Iterator[list]:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm._shared import slices
+from psephos.llm._shared import lean, slices
 
 MARK = "▁"  # stands for a space in pieces
 #: Runs of spaces with the word after them; a line feed or a mark in the text stands alone.
@@ -94,7 +94,7 @@ class Room:
 class Lattices:
     """Arcs of all chunks seen so far, in arrays; starts anew beyond ``max_arcs``. New chunks are built in blocks, which bounds what a build holds besides."""
 
-    def __init__(self, model: Model, max_arcs: int = 3_000_000) -> None:
+    def __init__(self, model: Model, max_arcs: int = 1_500_000) -> None:
         self.model, self.max_arcs = model, max_arcs
         # a trie of the pieces: transitions by (node, character), the piece that ends at each node or -1
         node, step, ends = {"": 0}, {}, [-1]
@@ -504,17 +504,15 @@ def sampled(docs: DataFrame, model_file: str, k: int, id_col: str, text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(columns[0], pa.int64())), *made], ["id", *names])
             made = None
             pa.default_memory_pool().release_unused()
-        b = None  # Spark keeps the worker, which holds no more of the last batch while it waits
-        pa.default_memory_pool().release_unused()
 
     text = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
     key = F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary")
     rows = docs.select(docs[id_col].alias("id"), key.alias("key"), text.alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {SAMPLE}, {what}")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, {SAMPLE}, {what}")
 
 
 def sample_segmentations(
-    docs: DataFrame, model_file: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, slice_bytes: int = 1 << 20
+    docs: DataFrame, model_file: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, slice_bytes: int = 1 << 19
 ) -> DataFrame:
     """``id, sample, log_prob, perturbed, inclusion, ids``: k distinct segmentations of each text, the largest perturbed first.
 
@@ -526,7 +524,7 @@ def sample_segmentations(
 
 
 def segmentation_digests(
-    docs: DataFrame, model_file: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, slice_bytes: int = 1 << 20
+    docs: DataFrame, model_file: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, slice_bytes: int = 1 << 19
 ) -> DataFrame:
     """As ``sample_segmentations``, with ``n_pieces``, ``ids_sha256`` and ``round_trip`` (the ids decode to the text) in place of the ids."""
     return sampled(docs, model_file, k, id_col, text_col, seed, slice_bytes, "n_pieces long, ids_sha256 string, round_trip boolean", True)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from psephos.llm._shared import durable, slices
+from psephos.llm._shared import durable, lean, slices
 
 #: Runs of word characters (any byte of a non-ASCII character is one) or runs of other visible characters.
 TOKEN = re.compile(rb"[\w\x80-\xff]+|[^\w\s\x80-\xff]+")
@@ -80,7 +80,7 @@ def bucket_counts(rows: DataFrame, p: Params) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at), pa.array(n[at])], ["good", "bucket", "n"])
 
-    return rows.select("good", "text").mapInArrow(run, "good boolean, bucket long, n long").groupBy("good", "bucket").agg(F.sum("n").alias("n"))
+    return rows.select("good", "text").mapInArrow(lean(run), "good boolean, bucket long, n long").groupBy("good", "bucket").agg(F.sum("n").alias("n"))
 
 
 def gumbel(seed: int, *key: Column) -> Column:
@@ -163,7 +163,7 @@ def importance(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str,
     row = F.struct(*[docs[c] for c in kept]) if kept else F.lit(None).cast("boolean")
     rows = docs.select(docs[text_col].alias("text"), row.alias("row"), gumbel(p.seed, docs[id_col], docs[text_col]).alias("noise"))
     own = f"text {rows.schema['text'].dataType.simpleString()}, " if text_col in carry else ""
-    scored = rows.mapInArrow(run, schema_of(own, rows))
+    scored = rows.mapInArrow(lean(run), schema_of(own, rows))
     back = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in carry]
     return durable(scored.select(F.struct(*back).alias("row"), "log_ratio", "gumbel_key"), "scored")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from psephos.llm import simhash
-from psephos.llm._shared import components, durable, id_and_text, slices
+from psephos.llm._shared import components, durable, id_and_text, lean, slices
 from psephos.llm.simhash import SEED, fingerprint, shingle_hashes, signed
 
 BANDS, EACH = 20, 5  # bands, minima in each
@@ -53,7 +53,7 @@ def sketches(rows: DataFrame, words_each: int) -> DataFrame:
             keys = lists([np.array(band_keys(s) if len(s) else [], np.int64) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(digest_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(fingerprint, sets), pa.int64()), keys], ["id", "fp", "n", "sim", "keys"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long, n long, sim long, keys array<long>")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, fp long, n long, sim long, keys array<long>")
 
 
 def shingle_sets(rows: DataFrame, words_each: int) -> DataFrame:
@@ -64,7 +64,7 @@ def shingle_sets(rows: DataFrame, words_each: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t, words_each)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(digest_of, sets), pa.int64()), lists([s.view(np.int64) for s in sets], pa.int64())], ["fp", "shingles"])
 
-    return rows.mapInArrow(run, "fp long, shingles array<long>")
+    return rows.mapInArrow(lean(run), "fp long, shingles array<long>")
 
 
 def candidates(nodes: DataFrame, least: float, bucket_rows: int) -> tuple[DataFrame, DataFrame]:

@@ -4,11 +4,15 @@ import hashlib
 import io
 import itertools
 import math
+import os
+import subprocess
+import sys
 import time
 import tracemalloc
 import zipfile
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -460,6 +464,42 @@ def test_segmentation_holds_little_besides_its_lattices():
         tracemalloc.stop()
 
 
+WORKER = """
+import re, sys, threading, time
+from unittest.mock import MagicMock
+import numpy as np, pyarrow as pa
+from psephos.llm import pieces
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+pieces.F, docs = MagicMock(), MagicMock()
+docs.sparkSession.sparkContext.broadcast = lambda x: MagicMock(value=x)
+pieces.sample_segmentations(docs, sys.argv[1])
+run = docs.select.return_value.mapInArrow.call_args[0][0]
+rng = np.random.default_rng(3)
+texts = [" ".join("".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(3, 12, 1000)).encode() for _ in range(400)]
+batch = pa.record_batch([pa.array(range(400)), pa.array([b"%d" % i for i in range(400)]), pa.array(texts)], ["id", "key", "text"])
+texts, most, over, before = None, [0.0], [], held()
+def watch():
+    while not over:
+        most[0] = max(most[0], held())
+        time.sleep(0.01)
+thread = threading.Thread(target=watch)
+thread.start()
+rows = sum(b.num_rows for b in run(iter([batch])))
+over.append(True)
+thread.join()
+print(rows, most[0] - before, held() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+def test_an_encoding_worker_is_small_and_smaller_while_it_waits():
+    """3 MB of new words in one task: MB at most, and MB that the worker keeps for later tasks."""
+    run = subprocess.run([sys.executable, "-c", WORKER, MODEL], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    rows, most, kept = map(float, run.stdout.split())
+    assert rows == 800 and most < 180 and kept < 45
+
+
 def brute_alignment(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
